@@ -1,0 +1 @@
+"""The operators of the league engine; every function takes and returns DataFrames."""

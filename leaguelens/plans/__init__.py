@@ -1,0 +1 @@
+"""The plans of the league engine; every function takes and returns DataFrames."""

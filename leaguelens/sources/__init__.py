@@ -1,0 +1 @@
+"""The sources of the league engine; every function takes and returns DataFrames."""

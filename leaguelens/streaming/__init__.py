@@ -1,0 +1 @@
+"""The streaming of the league engine; every function takes and returns DataFrames."""
