@@ -10,11 +10,14 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leaguelens.llm import langid, simhash
+from leaguelens.llm import langid, packing, pii, simhash, suffixdedup
 
 STAGES = [
     ("language_id", langid.keep_identified),
     ("simhash_near_dedup", simhash.keep_one),
+    ("suffix_array_dedup", suffixdedup.without_repeats),
+    ("pii", pii.redact),
+    ("best_fit_packing", packing.packed),
 ]
 
 #: SQL can't express the stages (a trained model, Golay decoding, boosted trees); tests/llm has brute-force versions.

@@ -71,3 +71,11 @@ def texts(column: pa.Array) -> list[str]:
 def partitions_for(spark: SparkSession, size: float, target: float) -> int:
     """Partitions of about `target` bytes each for `size` bytes, and no fewer than the session's number."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / target))
+
+
+def stretches(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the stretches of equal neighbours."""
+    if not len(values):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    starts = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
+    return starts, np.append(starts[1:], len(values))

@@ -1,10 +1,13 @@
 """The queries of this package, by name, and their DuckDB SQL where SQL can express them."""
 
-from leaguelens.llm import langid, simhash
+from leaguelens.llm import langid, packing, pii, simhash, suffixdedup
 
 QUERIES = {
+    "op1_pii": pii.op1_pii,
     "op2_simhash_golay": simhash.op2_simhash_golay,
+    "op7_packing": packing.op7_packing,
     "op8_language_id": langid.op8_language_id,
+    "op9_suffix_dedup": suffixdedup.op9_suffix_dedup,
 }
 
 ORACLES: dict[str, str] = {}

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leaguelens.llm.common import bounded_batches, checkpointed, partitions_for
+from leaguelens.llm.common import bounded_batches, checkpointed, partitions_for, stretches
 from leaguelens.llm.components import roots
 
 SHINGLE = 4
@@ -133,8 +133,8 @@ def links(keys: np.ndarray, fps: np.ndarray, small: int = 48) -> np.ndarray:
     """
     order = np.lexsort((fps, keys))
     keys, fps = keys[order], fps[order]
-    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-    sizes = np.diff(np.append(starts, len(keys)))
+    starts, ends = stretches(keys)
+    sizes = ends - starts
     out = []
     left = np.repeat(sizes, sizes) <= small
     at = np.flatnonzero(left)
@@ -206,8 +206,7 @@ def near_links(fps: DataFrame, buckets: int) -> DataFrame:
             bucket = ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % buckets
             order = np.argsort(bucket, kind="stable")
             row, key, bucket = row[order], key[order], bucket[order]
-            cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-            end = np.append(cut[1:], len(bucket))
+            cut, end = stretches(bucket)
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array(bucket[cut]), pa.array([key[a:b].tobytes() for a, b in zip(cut, end, strict=True)], pa.binary()), pa.array([own[row[a:b]].tobytes() for a, b in zip(cut, end, strict=True)], pa.binary())], ["bucket", "keys", "fps"])
 
