@@ -1,13 +1,16 @@
 """The queries of this package, by name, and their DuckDB SQL where SQL can express them."""
 
-from leaguelens.llm import langid, packing, pii, simhash, suffixdedup
+from leaguelens.llm import cws, htmlmain, langid, packing, pii, simhash, suffixdedup, topk
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
     "op2_simhash_golay": simhash.op2_simhash_golay,
+    "op4_pivot_topk": topk.op4_pivot_topk,
+    "op5_weighted_sampling": cws.op5_weighted_sampling,
     "op7_packing": packing.op7_packing,
     "op8_language_id": langid.op8_language_id,
     "op9_suffix_dedup": suffixdedup.op9_suffix_dedup,
+    "op10_html_main_text": htmlmain.op10_html_main_text,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op4_pivot_topk": topk.OP4_SQL}
