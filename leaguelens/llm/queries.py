@@ -1,12 +1,14 @@
 """The queries of this package, by name, and their DuckDB SQL where SQL can express them."""
 
-from leaguelens.llm import cws, htmlmain, langid, packing, pii, simhash, suffixdedup, topk
+from leaguelens.llm import cws, htmlmain, langid, packing, pii, sentencepieces, simhash, suffixdedup, topk, toxicity
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
     "op2_simhash_golay": simhash.op2_simhash_golay,
+    "op3_sentencepiece": sentencepieces.op3_sentencepiece,
     "op4_pivot_topk": topk.op4_pivot_topk,
     "op5_weighted_sampling": cws.op5_weighted_sampling,
+    "op6_toxicity": toxicity.op6_toxicity,
     "op7_packing": packing.op7_packing,
     "op8_language_id": langid.op8_language_id,
     "op9_suffix_dedup": suffixdedup.op9_suffix_dedup,
