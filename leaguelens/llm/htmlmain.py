@@ -17,11 +17,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leaguelens.llm.common import bounded_batches
+from leaguelens.llm.common import bounded_batches, checkpointed
 
 #: A subtree is a template if it is in at least so many different pages of the host, and in this share of them. So a
 #: host has at most (subtrees of a page on average) / TEMPLATE_SHARE templates, however many pages it has.
 TEMPLATE_PAGES, TEMPLATE_SHARE = 4, 0.3
+#: Measured size up to which all templates are broadcast, and the tasks over which a host is spread beyond it.
+BROADCAST_BYTES, SALTS = 48 << 20, 32
 
 # Fixed values of the HTML standard.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -266,11 +268,23 @@ def templates(pages: DataFrame) -> DataFrame:
     seen = pages.where("host <> ''").select("host", "html").mapInArrow(run, "host string, signature long, subtree long")
     # The first grouping spreads a large host over its subtrees and pages; the counts that follow are pre-aggregated.
     counted = seen.distinct().groupBy("host", "subtree").agg(F.count("*").alias("pages"))
+    counted = checkpointed(counted.where(F.col("subtree").isNull() | (F.col("pages") >= TEMPLATE_PAGES)))
     own = counted.where("subtree is null").select("host", F.col("pages").alias("of"))
-    many = counted.where(F.col("subtree").isNotNull() & (F.col("pages") >= TEMPLATE_PAGES)).join(own, "host").where(F.col("pages") >= TEMPLATE_SHARE * F.col("of"))
+    many = counted.where("subtree is not null").join(own, "host").where(F.col("pages") >= TEMPLATE_SHARE * F.col("of"))
     return many.groupBy("host").agg(F.collect_set("subtree").alias("templates"))
 
 
+def with_templates(hosted: DataFrame, found: DataFrame) -> DataFrame:
+    """Each page with its host's templates. Their size is measured: up to BROADCAST_BYTES they are broadcast, and no page
+    is shuffled; beyond it pages are shuffled by host and salt, so that a large host is spread over SALTS tasks."""
+    found = checkpointed(found)
+    size = found.agg(F.sum(F.size("templates") * 8 + F.length("host") + 64)).first()[0] or 0
+    if size <= BROADCAST_BYTES:
+        return hosted.join(F.broadcast(found), "host", "left")
+    salted = found.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return hosted.withColumn("_salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS))).join(salted, ["host", "_salt"], "left")
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of each row of pages (page_id, url, html).
 
@@ -286,8 +300,7 @@ def extract(pages: DataFrame) -> DataFrame:
             text = [main_text(s or "", t) for s, t in zip(batch.column(2).to_pylist(), known, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    # A host's templates are few (see TEMPLATE_SHARE), its pages may be many: AQE splits the heavy side of this join.
-    joined = hosted.join(templates(hosted), "host", "left").select("page_id", "url", "html", "templates")
+    joined = with_templates(hosted, templates(hosted)).select("page_id", "url", "html", "templates")
     return joined.mapInArrow(run, "page_id long, url string, text string, n_chars long")
 
 

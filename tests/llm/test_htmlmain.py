@@ -1,6 +1,8 @@
 import html as stdlib_html
 import re
 
+import pytest
+
 from leaguelens.llm import htmlmain as H
 
 
@@ -35,7 +37,9 @@ def test_what_is_dropped_and_kept():
     assert H.main_text("<p title=\"broken>x</p><p>y") != ""
 
 
-def test_templates_by_host(spark):
+@pytest.mark.parametrize("limit", [H.BROADCAST_BYTES, 0])
+def test_templates_by_host(spark, monkeypatch, limit):
+    monkeypatch.setattr(H, "BROADCAST_BYTES", limit)
     notice = "<div><p>Sign up and get the best of our site</p></div>"
     rows = [(i, "https://A.example/x", f"<body><article><h1>T{i}</h1>{notice if i != 3 else ''}<p>{'Own text %d. ' % i * 9}</p></article>") for i in range(6)]
     rows += [(10 + i, "https://b.example/x", f"<body><article><p>{'Same article, copied. ' * 9}</p></article>") for i in range(6)]
