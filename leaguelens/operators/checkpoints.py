@@ -15,3 +15,19 @@ def checkpointed(df: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="league-checkpoint-")
         context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df as a table just written to that folder and read again, so that its plan is a plain scan: a checkpoint keeps the
+    constraints of the plan it replaces, which grow from round to round of a loop."""
+    import uuid
+
+    spark = df.sparkSession
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        import tempfile
+
+        folder = tempfile.mkdtemp(prefix="league-table-")
+    path = f"{folder.rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

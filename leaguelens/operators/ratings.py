@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leaguelens.functions import scalars as S
-from leaguelens.operators.checkpoints import checkpointed
+from leaguelens.operators.checkpoints import written
 
 BASE_RATING, MAX_RD, BASE_VOLATILITY = 1000.0, 350.0, 0.06
 TAU, TOLERANCE = 1.2, 1e-6
@@ -119,7 +119,7 @@ def fold_rounds(boards: DataFrame, rounds: list[int], fields: list[str], solve:
     schema = "player_id string, seq long, " + ", ".join(f"{f} double" for f in fields)
     spark = boards.sparkSession
     columns = ["seq", "player_a", "player_b", "outcome_a", *extra]
-    boards = checkpointed(boards.select(*columns))
+    boards = written(boards.select(*columns))
     state, steps = spark.createDataFrame([], schema), []
 
     def run(batches):
@@ -136,7 +136,7 @@ def fold_rounds(boards: DataFrame, rounds: list[int], fields: list[str], solve:
         now = now.select(*columns, *(f"{s}_{f}" for s in "ab" for f in ["seq", *fields]))
         new = now.mapInArrow(run, schema).select(F.col("player_id").alias("_id"), *(F.col(f).alias(f"_{f}") for f in ["seq", *fields]))
         both = state.join(new, F.col("player_id") == F.col("_id"), "full")
-        state = checkpointed(both.select(F.coalesce("_id", "player_id").alias("player_id"), *(F.when(F.col("_id").isNotNull(), F.col(f"_{f}")).otherwise(F.col(f)).alias(f) for f in ["seq", *fields])))
+        state = written(both.select(F.coalesce("_id", "player_id").alias("player_id"), *(F.when(F.col("_id").isNotNull(), F.col(f"_{f}")).otherwise(F.col(f)).alias(f) for f in ["seq", *fields])))
         steps.append(state.where(F.col("seq") == seq))
     out = spark.createDataFrame([], schema)
     for s in steps:
@@ -217,7 +217,7 @@ def whole_history(played: DataFrame, rounds: list[int], passes: int = PASSES, fi
     """RAT-8: the trajectory of the last pass."""
     out = forward_pass(played, rounds) if first is None else first
     for _ in range(passes - 1):
-        out = checkpointed(fixed_pass(played, out))
+        out = written(fixed_pass(played, out))
     return out
 
 

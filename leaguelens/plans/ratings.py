@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from leaguelens.operators import asof, setops
 from leaguelens.operators import ratings as R
-from leaguelens.operators.checkpoints import checkpointed
+from leaguelens.operators.checkpoints import written
 from leaguelens.plans.registry import query
 
 _KEPT: dict[tuple, object] = {}
@@ -20,7 +20,7 @@ def trajectory(lg, passes: int = R.PASSES):
     key = (lg.spark.sparkContext.applicationId, lg.sf_dir, passes)
     if key not in _KEPT:
         if passes == 1:
-            _KEPT[key] = checkpointed(R.forward_pass(lg.played, round_list(lg)))
+            _KEPT[key] = written(R.forward_pass(lg.played, round_list(lg)))
         else:
             _KEPT[key] = R.whole_history(lg.played, round_list(lg), passes, trajectory(lg, 1))
     return _KEPT[key]
