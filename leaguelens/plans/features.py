@@ -1 +1,62 @@
-"""Queries."""
+"""Matchup features of the league."""
+
+from pyspark.sql import functions as F
+
+from leaguelens.operators import features as X
+from leaguelens.operators.checkpoints import written
+from leaguelens.plans.ratings import trajectory
+from leaguelens.plans.registry import query
+
+_KEPT: dict[tuple, object] = {}
+
+
+def features(lg):
+    """Computed once in an application and table folder, like the trajectory it is made from."""
+    key = (lg.spark.sparkContext.applicationId, lg.sf_dir)
+    if key not in _KEPT:
+        _KEPT[key] = written(X.side_features(lg.sides, trajectory(lg, 1)))
+    return _KEPT[key]
+
+
+@query("fea_1")
+def fea_1(lg):
+    b = X.boards(features(lg))
+    return b.select("match_id", "seq", F.col("a.player_id").alias("player_a"), F.col("b.player_id").alias("player_b"), "outcome_a", "max_score_norm")
+
+
+@query("fea_2", ", w AS (SELECT player_id, seq, count(*) FILTER (NOT rated) OVER (PARTITION BY player_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS walkovers_received, rated, match_id FROM sides WHERE player_id <> 'WLKOVR') SELECT match_id, player_id, walkovers_received FROM w WHERE rated")
+def fea_2(lg):
+    return features(lg).select("match_id", "player_id", "walkovers_received")
+
+
+@query(
+    "fea_2_counts",
+    """SELECT match_id, player_id, count(*) OVER p AS career_boards, count(*) OVER y AS season_boards, round((coalesce(sum(outcome) OVER h, 0) + 1.5) / (count(*) OVER h + 3.0), 9) AS vs_hall_rate FROM played
+    WINDOW p AS (PARTITION BY player_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), y AS (PARTITION BY player_id, year ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), h AS (PARTITION BY player_id, opp_hall_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""",
+)
+def fea_2_counts(lg):
+    """The features that don't depend on ratings."""
+    return features(lg).select("match_id", "player_id", "career_boards", "season_boards", F.round("vs_hall_rate", 9).alias("vs_hall_rate"))
+
+
+@query("fea_4")
+def fea_4(lg):
+    return X.boards(features(lg)).select("match_id", X.effective("a", 6.0).alias("effective_a"), X.effective("b", 6.0).alias("effective_b"))
+
+
+@query("fea_5")
+def fea_5(lg):
+    return X.vectors(X.boards(features(lg)), 6.0).select("match_id", "anti", "sym")
+
+
+@query("fea_6")
+def fea_6(lg):
+    """Vectors of swapped boards, one side's seat set to 1."""
+    return X.vectors(X.with_seat(X.swapped(X.boards(features(lg))), "a", F.lit(1)), 6.0).select("match_id", "anti", "sym")
+
+
+@query("fea_7")
+def fea_7(lg):
+    """Boards of the last round's opponents as they would meet again."""
+    pairs = lg.played.where("seq = 26 and side = 0").select(F.col("player_id").alias("player_a"), F.col("opp_player_id").alias("player_b"))
+    return X.vectors(X.hypothetical(pairs, X.latest_sides(features(lg)), 4), 6.0).select("player_a", "player_b", "anti")

@@ -1 +1,80 @@
-"""Queries."""
+"""Matchup models of the league."""
+
+from pyspark.sql import functions as F
+
+from leaguelens.operators import features as X
+from leaguelens.operators import models as M
+from leaguelens.operators.checkpoints import written
+from leaguelens.plans.features import features
+from leaguelens.plans.registry import query
+
+BASE, LOGISTIC = "baseline", "logistic"
+_KEPT: dict[tuple, object] = {}
+
+
+def boards(lg):
+    return X.boards(features(lg))
+
+
+@query("mdl_1")
+def mdl_1(lg):
+    b = boards(lg)
+    return M.baseline(b, M.draw_rate(b)).select("match_id", "p_win", "p_draw", "p_loss")
+
+
+@query("mdl_2")
+def mdl_2(lg):
+    """The weights of the logistic model over all boards."""
+    b = boards(lg)
+    m = M.fit_logistic(b, 6.0, 1.0)
+    return b.agg(F.count("*").alias("trained_boards")).select("trained_boards", F.lit([float(x) for x in m.draw]).alias("draw_weights"), F.lit([float(x) for x in m.win]).alias("win_weights"))
+
+
+@query("mdl_3")
+def mdl_3(lg):
+    b = boards(lg)
+    return M.predict_logistic(b, M.fit_logistic(b, 6.0, 1.0)).select("match_id", "p_win", "p_draw", "p_loss")
+
+
+def backtest(lg):
+    key = (lg.spark.sparkContext.applicationId, lg.sf_dir)
+    if key not in _KEPT:
+        b = written(boards(lg))
+        rounds = [r.seq for r in b.select("seq").distinct().orderBy("seq").collect()]
+        families = {BASE: lambda train, test: M.baseline(test, M.draw_rate(train)), LOGISTIC: lambda train, test: M.predict_logistic(test, M.fit_logistic(train, 6.0, 3.0))}
+        _KEPT[key] = written(M.walk_forward(b, families, rounds[M.burn_in(b) :], stride=6))
+    return _KEPT[key]
+
+
+@query("mdl_10")
+def mdl_10(lg):
+    """Walk-forward predictions; models are refitted every six rounds."""
+    return backtest(lg)
+
+
+@query("mdl_12")
+def mdl_12(lg):
+    return M.champion(M.scores(backtest(lg), ["model"]), BASE)
+
+
+@query("rep_11")
+def rep_11(lg):
+    """Quality of each family over its predictions."""
+    return M.scores(backtest(lg), ["model"])
+
+
+@query("mdl_13", "SELECT hall_id, 'elo.r27.' || substr(sha256('{\"hall\":' || hall_id || '}'), 1, 8) AS model_version FROM (SELECT DISTINCT hall_id FROM status)")
+def mdl_13(lg):
+    """Version names of one model for each hall."""
+    halls = lg.status.select("hall_id").distinct()
+    return halls.select("hall_id", M.version("elo", F.lit(27), F.to_json(F.struct(F.col("hall_id").alias("hall")))).alias("model_version"))
+
+
+@query("mdl_15")
+def mdl_15(lg):
+    return M.top_factors(X.vectors(boards(lg), 6.0))
+
+
+@query("mdl_17")
+def mdl_17(lg):
+    return features(lg).select("match_id", "player_id", M.reliability_note("rd", "career_boards", "insularity").alias("note"))
