@@ -4,7 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from leaguelens.operators import standings as A
-from leaguelens.plans.registry import query
+from leaguelens.plans.base import query
 
 # A plain stand-in for a model's predictions, so that SQL can repeat it: from the ratings' difference alone.
 PREDICTED = """, pr AS (SELECT b.match_id, b.seq, b.outcome0 AS outcome, least(0.9, greatest(0.05, 0.475 + (a.rating_value - c.rating_value) / 400)) AS p_win, 'elo' AS model FROM boards b JOIN ratings a ON a.player_id = b.player_id0 AND a.seq = b.seq JOIN ratings c ON c.player_id = b.player_id1 AND c.seq = b.seq WHERE b.rated),

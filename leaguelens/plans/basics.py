@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from leaguelens.functions import scalars as S
 from leaguelens.operators import setops
-from leaguelens.plans.registry import query
+from leaguelens.plans.base import query
 from leaguelens.sources.league_view import BASE_RD, SENTINEL
 from leaguelens.sources.round_files import raw_rows
 

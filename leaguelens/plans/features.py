@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from leaguelens.operators import features as X
 from leaguelens.operators.checkpoints import written
 from leaguelens.plans.ratings import trajectory
-from leaguelens.plans.registry import query
+from leaguelens.plans.base import query
 
 _KEPT: dict[tuple, object] = {}
 

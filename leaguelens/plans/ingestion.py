@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from leaguelens.operators import validation as V
 from leaguelens.plans.basics import RAW
-from leaguelens.plans.registry import query
+from leaguelens.plans.base import query
 from leaguelens.sources import round_files as R
 from leaguelens.sources import sinks
 

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from leaguelens.operators import asof, setops
-from leaguelens.plans.registry import query
+from leaguelens.plans.base import query
 
 V = "rating_value, rating_deviation, volatility"
 

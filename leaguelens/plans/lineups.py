@@ -1 +1,79 @@
-"""Queries."""
+"""Lineups of the league's halls; win probabilities come from the stand-in ratings."""
+
+from pyspark.sql import functions as F
+
+from leaguelens.operators import lineups as L
+from leaguelens.operators import setops
+from leaguelens.plans.base import query
+
+NOW = 26
+DIST = """, sw AS (SELECT hall_id, player_id, max(seq) AS last_seq, """ + ", ".join(f"coalesce(sum(CASE WHEN seat = {s} THEN exp(-ln(2.0) / 10 * (26 - seq)) END), 0) + 0.02 AS w{s}" for s in range(1, 6)) + """ FROM played GROUP BY 1, 2),
+ sd AS (SELECT hall_id, player_id, last_seq, [w1 / t, w2 / t, w3 / t, w4 / t, w5 / t] AS probs FROM (SELECT *, w1 + w2 + w3 + w4 + w5 AS t FROM sw)),
+ ro AS (SELECT *, CAST(row_number() OVER (PARTITION BY hall_id ORDER BY last_seq DESC, player_id) AS INTEGER) AS place FROM sd QUALIFY place <= 5)
+"""
+
+
+def roster(lg):
+    return L.expected_roster(L.seat_distribution(lg.played, NOW))
+
+
+@query("lin_1", DIST + "SELECT hall_id, player_id, " + ", ".join(f"round(probs[{s}], 8) AS p{s}" for s in range(1, 6)) + " FROM sd")
+def lin_1(lg):
+    d = L.seat_distribution(lg.played, NOW)
+    return d.select("hall_id", "player_id", *(F.round(F.col("probs")[s - 1], 8).alias(f"p{s}") for s in range(1, 6)))
+
+
+@query("lin_2", DIST + "SELECT hall_id, player_id, place FROM ro")
+def lin_2(lg):
+    return roster(lg).select("hall_id", "player_id", "place")
+
+
+PERMS = """, five AS (SELECT unnest([1, 2, 3, 4, 5]) AS i),
+ perms AS (SELECT a.i AS a, b.i AS b, c.i AS c, d.i AS d, e.i AS e FROM five a, five b, five c, five d, five e WHERE a.i <> b.i AND a.i <> c.i AND a.i <> d.i AND a.i <> e.i AND b.i <> c.i AND b.i <> d.i AND b.i <> e.i AND c.i <> d.i AND c.i <> e.i AND d.i <> e.i),
+ tm AS (SELECT hall_id, list(player_id ORDER BY place) AS ids, list(probs ORDER BY place) AS pr FROM ro GROUP BY 1 HAVING count(*) = 5),
+ ow AS (SELECT hall_id, ids[a] || ',' || ids[b] || ',' || ids[c] || ',' || ids[d] || ',' || ids[e] AS ordering, pr[a][1] * pr[b][2] * pr[c][3] * pr[d][4] * pr[e][5] AS weight FROM tm CROSS JOIN perms)
+"""
+
+
+@query("lin_3", DIST + PERMS + "SELECT hall_id, CAST(row_number() OVER (PARTITION BY hall_id ORDER BY round(weight, 12) DESC, ordering) AS INTEGER) AS n, ordering, round(weight / sum(weight) OVER (PARTITION BY hall_id), 8) AS probability FROM ow QUALIFY n <= 24")
+def lin_3(lg):
+    return L.top_orderings(roster(lg)).select("hall_id", "n", F.concat_ws(",", "ordering").alias("ordering"), F.round("probability", 8).alias("probability"))
+
+
+@query("lin_4", DIST + "SELECT hall_id, player_id, round(-list_sum(list_transform(probs, lambda p: p * ln(p) / ln(2.0))), 7) AS entropy, CASE WHEN -list_sum(list_transform(probs, lambda p: p * ln(p) / ln(2.0))) < 0.5 THEN 'fixed' WHEN -list_sum(list_transform(probs, lambda p: p * ln(p) / ln(2.0))) < 1.3 THEN 'leaning' ELSE 'variable' END AS habit FROM ro")
+def lin_4(lg):
+    """How fixed each expected player's seat is."""
+    e = -F.aggregate(F.transform("probs", lambda p: p * F.log2(p)), F.lit(0.0), lambda s, v: s + v)
+    return roster(lg).select("hall_id", "player_id", F.round(e, 7).alias("entropy"), F.when(e < 0.5, "fixed").when(e < 1.3, "leaning").otherwise("variable").alias("habit"))
+
+
+@query("lin_7")
+def lin_7(lg):
+    """Win, tie and loss of every match of a season from its boards' probabilities."""
+    from leaguelens.plans.aggregates import predictions
+
+    p = predictions(lg).where("model = 'elo'").select("match_id", "p_win", "p_draw")
+    b = lg.sides.where("side = 0 and year = 1998 and hall_id <> -1 and opp_hall_id <> -1").join(p, "match_id", "left")
+    b = b.withColumns({"p_win": F.coalesce("p_win", "outcome"), "p_draw": F.coalesce("p_draw", F.lit(0.0))})  # a walkover is sure
+    m = b.groupBy("year", "round_order", "hall_id", "opp_hall_id").agg(F.collect_list(F.struct("p_win", "p_draw")).alias("boards"))  # five at most
+    five = m.where(F.size("boards") == L.SEATS).withColumn("r", L.team_result(F.col("boards")))
+    return five.select("year", "round_order", "hall_id", "opp_hall_id", "r.*")
+
+
+@query("lin_8")
+def lin_8(lg):
+    """Best and safest lineups of all pairs of halls that met in the last round."""
+    r = setops.latest(lg.ratings, ["player_id"], "seq", {"rating": "rating_value"})
+    people = roster(lg).join(r, "player_id")
+    struct = F.struct("player_id", "rating")
+    nominal = people.groupBy("hall_id").agg(F.array_sort(F.collect_list(F.struct("place", struct.alias("s")))).alias("t")).where(F.size("t") == L.SEATS).select("hall_id", F.transform("t", lambda x: x["s"]).alias("team"))
+    o = L.top_orderings(roster(lg))
+    seated = o.select("hall_id", "n", "probability", F.posexplode("ordering").alias("seat", "player_id")).join(r, "player_id")
+    ordered = seated.groupBy("hall_id", "n", "probability").agg(F.array_sort(F.collect_list(F.struct("seat", struct.alias("s")))).alias("t")).select("hall_id", "probability", F.transform("t", lambda x: x["s"]).alias("ordering"))
+    met = lg.played.where(F.col("seq") == NOW).select("hall_id", "opp_hall_id").distinct()
+
+    def probability(a, b, seat):
+        win = F.least(F.lit(0.9), F.greatest(F.lit(0.05), 0.475 + (a["rating"] - b["rating"]) / 400))
+        return F.struct(win.alias("p_win"), F.lit(0.05).alias("p_draw"))
+
+    return L.best_response(met, nominal, ordered, probability)

@@ -6,7 +6,7 @@ from leaguelens.operators import features as X
 from leaguelens.operators import models as M
 from leaguelens.operators.checkpoints import written
 from leaguelens.plans.features import features
-from leaguelens.plans.registry import query
+from leaguelens.plans.base import query
 
 BASE, LOGISTIC = "baseline", "logistic"
 _KEPT: dict[tuple, object] = {}

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from leaguelens.operators import reports as P
 from leaguelens.operators import standings
-from leaguelens.plans.registry import query
+from leaguelens.plans.base import query
 
 RANKING = """, lr AS (SELECT player_id, rating_value, rating_deviation FROM ratings WHERE year = 1998 AND round_order <= 3 QUALIFY row_number() OVER (PARTITION BY player_id ORDER BY seq DESC) = 1),
  nm AS (SELECT player_id, name FROM names QUALIFY row_number() OVER (PARTITION BY player_id ORDER BY (first_seen_year <= 1998 AND last_seen_year >= 1998) DESC, last_seen_year DESC, name DESC) = 1),

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from leaguelens.operators import running as W
 from leaguelens.operators import standings
 from leaguelens.plans.basics import RAW
-from leaguelens.plans.registry import query
+from leaguelens.plans.base import query
 from leaguelens.sources.round_files import raw_rows
 
 WON = ", real AS (SELECT * FROM sides WHERE player_id <> 'WLKOVR')\n"
