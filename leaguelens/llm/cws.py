@@ -21,7 +21,7 @@ from leaguelens.llm.common import bounded_batches
 
 SAMPLES = 128
 #: Documents of a bucket of neighbours, and of a numpy batch inside it, about.
-BUCKET_ROWS, BATCH = 2000, 400
+BUCKET_ROWS, BATCH = 2000, 600
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -132,9 +132,9 @@ def compare(docs: DataFrame) -> DataFrame:
         rows = sorted(zip(table["last"].to_pylist(), table["doc_id"].to_pylist(), table["text"].to_pylist(), strict=True), key=lambda r: (r[0], r[1] is None, -(r[1] or 0), r[2]))
         texts, n = [r[2] for r in rows], len(rows) - 1
         edited = [t[: len(t) - len(t) // 2] + texts[i + 1][: len(t) // 2] for i, t in enumerate(texts[:n])]
-        every = [*texts, *edited]
+        every = [t for pair in zip(texts, edited, strict=False) for t in pair] + texts[n:]  # a text and its edited one share terms
         signs = np.concatenate([signatures(every[at : at + BATCH]) for at in range(0, len(every), BATCH)])
-        own, new = signs[: n + 1], signs[n + 1 :]
+        own, new = signs[::2], signs[1::2]
         return pa.table(
             {
                 "doc_id": pa.array([r[1] for r in rows[:n]], pa.int64()),
