@@ -122,6 +122,13 @@ def walk_forward(b: DataFrame, fit_predict: dict, rounds: list[int], stride: int
     return out
 
 
+def prediction_log(p: DataFrame) -> DataFrame:
+    """MDL-14: the likeliest outcome of each board and its probability; equal ones go to a win, then to a draw."""
+    most = F.greatest("p_win", "p_draw", "p_loss")
+    said = F.when(F.col("p_win") == most, "a").when(F.col("p_draw") == most, "draw").otherwise("b")
+    return p.select("match_id", "model", said.alias("predicted"), most.alias("probability"))
+
+
 def champion(quality: DataFrame, base: str, least: int = 50) -> DataFrame:
     """MDL-12: of the models with at least `least` predicted boards and a Brier score strictly below the baseline's the
     best; no row if there is none. Ties go to the earlier name."""

@@ -6,6 +6,7 @@ from leaguelens.operators import features as X
 from leaguelens.operators import models as M
 from leaguelens.operators.checkpoints import written
 from leaguelens.plans.features import features
+from leaguelens.plans.aggregates import PREDICTED, predictions
 from leaguelens.plans.base import query
 
 BASE, LOGISTIC = "baseline", "logistic"
@@ -70,6 +71,27 @@ def mdl_13(lg):
     return halls.select("hall_id", M.version("elo", F.lit(27), F.to_json(F.struct(F.col("hall_id").alias("hall")))).alias("model_version"))
 
 
+@query(
+    "mdl_14",
+    PREDICTED + "SELECT match_id, model, CASE WHEN p_win = greatest(p_win, p_draw, p_loss) THEN 'a' WHEN p_draw = greatest(p_win, p_draw, p_loss) THEN 'draw' ELSE 'b' END AS predicted, round(greatest(p_win, p_draw, p_loss), 8) AS probability FROM preds WHERE abs(p_win - p_loss) > 1e-9 OR model = 'flat'",
+)
+def mdl_14(lg):
+    """The log of the stand-in predictions; boards whose sides are equal up to rounding are left to the flat model."""
+    p = predictions(lg).where("abs(p_win - p_loss) > 1e-9 or model = 'flat'")
+    return M.prediction_log(p).withColumn("probability", F.round("probability", 8))
+
+
+@query("mdl_18")
+def mdl_18(lg):
+    """The last round's opponents meeting again: both families' probabilities side by side."""
+    b = boards(lg)
+    pairs = lg.played.where("seq = 26 and side = 0").select(F.col("player_id").alias("player_a"), F.col("opp_player_id").alias("player_b"))
+    again = X.hypothetical(pairs, X.latest_sides(features(lg)), 4)
+    one = lambda df, name: df.select("player_a", "player_b", *(F.col(c).alias(f"{name}_{c}") for c in ("p_win", "p_draw", "p_loss")))
+    base = one(M.baseline(again, M.draw_rate(b)), BASE)
+    return base.join(one(M.predict_logistic(again, M.fit_logistic(b, 6.0, 1.0)), LOGISTIC), ["player_a", "player_b"])
+
+
 @query("mdl_15")
 def mdl_15(lg):
     return M.top_factors(X.vectors(boards(lg), 6.0))
