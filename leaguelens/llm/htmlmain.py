@@ -3,8 +3,8 @@
 A page is read into a tree of elements. Each subtree that has text gets a hash of its tags and texts. Spark counts for
 each host in how many different pages a subtree occurs; pages whose longest text is the same count as one, so copies of
 an article don't look like a template. Subtrees found in many of a host's pages are its template and are deleted, as are
-elements whose tag, role, class or id says that they hold no article text. What remains of the article is put out block
-by block.
+elements whose tag, role, class or id says that they hold no article text. All that remains is put out block by block,
+in however many <article>, <main> or other elements it stands.
 """
 
 from __future__ import annotations
@@ -51,7 +51,6 @@ _ROLES = frozenset("navigation banner contentinfo complementary search form dial
 _NAMES = frozenset(
     "nav navbar navigation menu submenu header masthead footer foot sidebar aside rail ad ads adv advert adverts advertisement advertising sponsor sponsored promo promoted promotion banner cookie cookies consent gdpr notice notices notification alert popup modal overlay comment comments commentlist respond disqus reply replies share sharing social related recommended recommendations newsletter subscribe subscription signup login breadcrumb breadcrumbs pagination pager widget toolbar skip".split()
 )
-_BODY_NAMES = frozenset("content article post entry story main maincontent articlebody body text".split())
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<data>.*?)\]\]>|<[!?/](?![a-zA-Z])[^>]*>|<![^>]*>"
@@ -185,14 +184,16 @@ def unwanted(node: Node) -> bool:
 
 
 def _names(a: dict[str, str]) -> set[str]:
-    return set(_PART.findall(_CAMEL.sub(" ", f"{a.get('class', '')} {a.get('id', '')}").lower()))
+    names = f"{a.get('class', '')} {a.get('id', '')}"
+    return set(_PART.findall(f"{_CAMEL.sub(' ', names)} {names}".lower()))  # sideBar is side, bar and sidebar
 
 
 def main_text(source: str, templates: frozenset[int] | set[int] = frozenset()) -> str:
-    """Blocks of the article, joined by two line feeds; templates: subtree hashes of the host's templates."""
+    """Blocks of all that is neither template nor unwanted, in page order, joined by two line feeds; templates: subtree
+    hashes of the host's templates."""
     root = parse(source)
     measure(root)
-    gone, held = set(), {}
+    gone = set()
     todo = [(root, False)]
     while todo:  # parents first: what is in a dropped element is not looked at
         node, inside = todo.pop()
@@ -204,18 +205,7 @@ def main_text(source: str, templates: frozenset[int] | set[int] = frozenset()) -
         if unwanted(node) or (node.size and signed(node.hash) in templates):
             gone.add(id(node))
             continue
-        kind = 0 if node.tag == "article" else 1 if node.tag == "main" or (node.attrs and "role" in node.attrs and node.attributes().get("role") == "main") else None
-        if kind is None and node.tag in ("div", "section", "td") and node.attrs and _names(node.attributes()) & _BODY_NAMES:
-            kind = 2
-        if kind is not None:
-            held.setdefault(kind, []).append(node)
         todo.extend((c, inside or node.tag == "article") for c in node.children if isinstance(c, Node))
-    for kind in (0, 1, 2):
-        if kind in held:
-            chosen = max(held[kind], key=lambda n: n.size)
-            text = blocks(chosen, gone)
-            if text:
-                return text
     return blocks(root, gone)
 
 

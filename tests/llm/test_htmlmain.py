@@ -37,6 +37,14 @@ def test_what_is_dropped_and_kept():
     assert H.main_text("<p title=\"broken>x</p><p>y") != ""
 
 
+def test_text_in_several_containers():
+    assert H.main_text("<article>One</article><div><article>Two, longer</article></div><div class=text>Three</div>").split("\n\n") == ["One", "Two, longer", "Three"]
+    card = "<main><p>First</p><article><p>Card</p></article><p>Last</p></main><p>Beside</p>"
+    assert H.main_text(card).split("\n\n") == ["First", "Card", "Last", "Beside"]
+    noisy = f"<div class=post><p>Text</p></div><div class=post><div class=comments>{'Chat. ' * 50}</div><p>More</p></div>"
+    assert H.main_text(noisy).split("\n\n") == ["Text", "More"]
+
+
 @pytest.mark.parametrize("limit", [H.BROADCAST_BYTES, 0])
 def test_templates_by_host(spark, monkeypatch, limit):
     monkeypatch.setattr(H, "BROADCAST_BYTES", limit)
