@@ -1,8 +1,8 @@
 """Main text of web pages: site templates are removed by counting element subtrees for each host.
 
 A page is read into a tree of elements. Each subtree that has text gets a hash of its tags and texts. Spark counts for
-each host in how many different pages a subtree occurs; pages whose longest text is the same count as one, so copies of
-an article don't look like a template. Subtrees found in many of a host's pages are its template and are deleted, as are
+each host in how many different pages a block-level subtree occurs; pages whose longest text is the same count as one, so
+copies of an article don't look like a template. Subtrees found in many of a host's pages are its template and are deleted, as are
 elements whose tag, role, class or id says that they hold no article text. All that remains is put out block by block,
 in however many <article>, <main> or other elements it stands.
 """
@@ -19,9 +19,9 @@ from pyspark.sql import functions as F
 
 from leaguelens.llm.common import bounded_batches, checkpointed
 
-#: A subtree is a template if it is in at least so many different pages of the host, and in this share of them. So a
-#: host has at most (subtrees of a page on average) / TEMPLATE_SHARE templates, however many pages it has.
-TEMPLATE_PAGES, TEMPLATE_SHARE = 4, 0.3
+#: A subtree is a template if it is in at least so many different pages of the host, and in at least the square root of
+#: their number: 4 of 16 pages, 100 of 10,000. Only elements of _COUNTED with at least so many characters are counted.
+TEMPLATE_PAGES, TEMPLATE_CHARS = 4, 12
 #: Measured size up to which all templates are broadcast, and the tasks over which a host is spread beyond it.
 BROADCAST_BYTES, SALTS = 48 << 20, 32
 
@@ -31,6 +31,8 @@ _RAW = frozenset("script style textarea title xmp iframe noembed noframes noscri
 _BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody tfoot thead tr ul".split()
 )
+#: Elements that can be a template by their number: blocks, without headings and parts of tables.
+_COUNTED = _BLOCK - frozenset("article body caption dt h1 h2 h3 h4 h5 h6 hgroup html legend main summary tbody tfoot thead tr".split())
 _CLOSES_P = _BLOCK - frozenset("caption dd dt legend li tbody tfoot thead tr body html".split())
 #: An element of the first name ends when one of these begins.
 _ENDED_BY = {
@@ -163,10 +165,10 @@ def signed(h: int) -> int:
 
 
 def subtrees(source: str) -> tuple[int, set[int]]:
-    """The page's signature, and the hashes of all its subtrees that have text, but for the page as a whole."""
+    """The page's signature, and the hashes of its block-level subtrees with enough text, but for the page as a whole."""
     root = parse(source)
     signature = measure(root)
-    return signed(signature), {signed(n.hash) for n in walk(root) if n.size and n.tag not in ("#root", "html", "body", "head", "main", "article")}
+    return signed(signature), {signed(n.hash) for n in walk(root) if n.size >= TEMPLATE_CHARS and n.tag in _COUNTED}
 
 
 def unwanted(node: Node) -> bool:
@@ -197,7 +199,7 @@ def main_text(source: str, templates: frozenset[int] | set[int] = frozenset()) -
     todo = [(root, False)]
     while todo:  # parents first: what is in a dropped element is not looked at
         node, inside = todo.pop()
-        if node.tag == "header" and inside and not (node.hash in templates):  # an article's own header: only its headings stay
+        if node.tag == "header" and inside and signed(node.hash) not in templates:  # an article's own header: only its headings stay
             heads = [n for n in walk(node) if n.tag in ("h1", "h2")]
             if heads and not any(signed(n.hash) in templates for n in heads):
                 node.tag, node.children = "section", heads[::-1] if len(heads) > 1 else heads
@@ -260,7 +262,7 @@ def templates(pages: DataFrame) -> DataFrame:
     counted = seen.distinct().groupBy("host", "subtree").agg(F.count("*").alias("pages"))
     counted = checkpointed(counted.where(F.col("subtree").isNull() | (F.col("pages") >= TEMPLATE_PAGES)))
     own = counted.where("subtree is null").select("host", F.col("pages").alias("of"))
-    many = counted.where("subtree is not null").join(own, "host").where(F.col("pages") >= TEMPLATE_SHARE * F.col("of"))
+    many = counted.where("subtree is not null").join(own, "host").where(F.col("pages") >= F.sqrt("of"))
     return many.groupBy("host").agg(F.collect_set("subtree").alias("templates"))
 
 

@@ -61,3 +61,13 @@ def test_templates_by_host(spark, monkeypatch, limit):
     assert H.extract(pages.limit(0)).count() == 0
     twice = H.extract(pages.where("page_id = 22").union(pages.where("page_id = 22")))
     assert twice.count() == 2
+
+
+def test_template_of_one_layout_among_many(spark):
+    notice = "<div><p>Sign up and get the best of our site</p></div>"
+    small = "<h2>Summary of it all</h2><p><b>Note, and read it well:</b> NR</p><table><tr><td>0</td><td>a longer cell text</td></tr></table>"
+    page = lambda i: f"<body>{notice if i % 6 == 0 else ''}<article>{small}<p>{'Own text %d. ' % i * 9}</p></article>"
+    rows = [(i, "https://a.example/x", page(i).replace("NR", f"{i}").replace("</table>", f"<tr><td>{i}</td></tr></table>")) for i in range(60)]
+    got = {r.page_id: r.text for r in H.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all("Sign up" not in t for t in got.values())  # on 10 of 60 pages
+    assert all(w in t for t in got.values() for w in ("Summary of it all", "Note, and read it well:", "0 a longer cell text"))
