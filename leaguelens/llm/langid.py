@@ -2,23 +2,26 @@
 
 A text is lower-cased, everything but letters becomes a space, and each of its byte 2-, 3- and 4-grams is hashed to a
 row of an embedding table. The mean of those rows goes through one linear layer and a softmax. Both are trained by
-stochastic gradient descent in numpy on a bounded sample of labelled texts, cut into pieces of several lengths so that
-short texts are learned as well. A temperature and a rejection threshold are then set on pieces that were kept aside.
+stochastic gradient descent in numpy on a bounded sample of each language's labelled texts, cut into pieces of several
+lengths so that short texts are learned as well. A temperature and a rejection threshold are then set on pieces that were
+kept aside, with each language weighted by how many labelled documents it has.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from leaguelens.llm.common import bounded_batches, bounded_sample, fold, text_bytes
 
-#: Labelled documents at most in a training sample.
-TRAIN_ROWS = 1200
+#: Labelled documents of each language at most in a training sample.
+TRAIN_ROWS = 300
 #: The label of a text without any letter.
 UNDETERMINED = "und"
 ORDERS = (2, 3, 4)
@@ -99,8 +102,11 @@ def pieces_of(text: str, rng: np.random.Generator) -> list[bytes]:
     return out
 
 
-def train(rows: list[tuple[str, str]], epochs: int = 3, rate: float = 4.0, seed: int = 8) -> Model:
-    """Fits the model to (text, lang) pairs. Without any pair the model knows no language."""
+def train(rows: list[tuple[str, str]], epochs: int = 3, rate: float = 4.0, seed: int = 8, counts: dict[str, int] | None = None) -> Model:
+    """Fits the model to (text, lang) pairs. Without any pair the model knows no language.
+
+    counts: how many documents each language has, if rows are a sample of them; else those in rows count.
+    """
     rows = sorted({(t, g) for t, g in rows if t and g})
     langs, rng = sorted({g for _, g in rows}), np.random.default_rng(seed)
     if not langs:
@@ -134,18 +140,24 @@ def train(rows: list[tuple[str, str]], epochs: int = 3, rate: float = 4.0, seed:
             emb[bins] = rows_e - lr * np.outer(share, back) * np.float32(len(bins) ** 0.5)
             done += 1
     model = Model(langs, (emb @ out).reshape(len(ORDERS), BINS, len(langs)).astype(np.float32), bias.astype(float), 1.0, 0.0)
-    return calibrate(model, aside or fit)
+    taken = Counter(g for _, g in rows)
+    return calibrate(model, aside or fit, np.array([(counts or taken).get(g, taken[g]) / taken[g] for g in langs]))
 
 
-def calibrate(model: Model, aside: list[tuple[bytes, int]]) -> Model:
-    """Sets the temperature of least log loss, then the threshold that rejects at most LOST of the right answers."""
+def calibrate(model: Model, aside: list[tuple[bytes, int]], weights: np.ndarray) -> Model:
+    """Sets the temperature of least log loss, then the threshold that rejects at most LOST of the right answers.
+
+    weights: documents of each language for each one in the sample; they weight the loss, as the languages' shares in the
+    sample are not those of the documents. The fit before counts sampled documents alike, so that a rare language is learned.
+    """
     data = np.frombuffer(b"".join(p for p, _ in aside), np.uint8)
     offsets = np.concatenate([[0], np.cumsum([len(p) for p, _ in aside])]).astype(np.int64)
     truth = np.array([y for _, y in aside])
+    each = weights[truth] / weights[truth].sum()
     tried = []
     for t in np.geomspace(0.1, 10, 41):
         model.temperature = float(t)
-        tried.append((float(-np.log(model.scores(data, offsets)[np.arange(len(truth)), truth] + 1e-12).mean()), float(t)))
+        tried.append((float(-np.log(model.scores(data, offsets)[np.arange(len(truth)), truth] + 1e-12) @ each), float(t)))
     model.temperature = min(tried)[1]
     p = model.scores(data, offsets)
     right = np.sort(p.max(axis=1)[p.argmax(axis=1) == truth])
@@ -154,10 +166,37 @@ def calibrate(model: Model, aside: list[tuple[bytes, int]]) -> Model:
     return model
 
 
+def sampled(known: DataFrame, rows: int) -> tuple[DataFrame, dict[str, int]]:
+    """At most `rows` documents of each language, those with the smallest hash of doc_id, and the rows of each language.
+
+    The counts tell under which hash about twice as many documents of a language lie, so one pass finds the keys of all
+    languages; one that has too few there (its documents repeat) is sampled by itself.
+    """
+    counts = {r.lang: r["count"] for r in known.groupBy("lang").count().collect()}
+    if not counts:
+        return known.limit(0), counts
+    below = {g: min((1 << 63) - 1, -(1 << 63) + (2 * rows + 100 << 64) // n) for g, n in counts.items()}
+    limits = known.sparkSession.createDataFrame(sorted(below.items()), "lang string, _below long")
+    keys = known.select("doc_id", "lang", F.xxhash64("doc_id").alias("_hash")).join(F.broadcast(limits), "lang").where("_hash <= _below")
+    by_lang: dict[str, list] = {g: [] for g in counts}
+    for r in keys.select("lang", "_hash", "doc_id").distinct().collect():
+        by_lang[r.lang].append((r["_hash"], r.doc_id))
+    chosen = []
+    for g, found in sorted(by_lang.items()):
+        if len(found) < rows and below[g] < (1 << 63) - 1:
+            own = known.where(F.col("lang") == g)
+            chosen += [(k, g) for k in {r.doc_id for r in bounded_sample(own, "doc_id", rows).select("doc_id").collect()}]
+        else:
+            chosen += [(k, g) for _, k in sorted(found)[:rows]]
+    kind = T.StructType([known.schema["doc_id"], known.schema["lang"]])
+    return known.join(F.broadcast(known.sparkSession.createDataFrame(chosen, kind)), ["doc_id", "lang"], "left_semi"), counts
+
+
 def fit_on(labelled: DataFrame, rows: int = TRAIN_ROWS) -> Model:
-    """Trains on at most `rows` documents of `labelled` (doc_id, text, lang), those with the smallest hash of doc_id."""
-    known = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
-    return train([(r.text, r.lang) for r in bounded_sample(known, "doc_id", rows).collect()])
+    """Trains on at most `rows` documents of each language of `labelled` (doc_id, text, lang)."""
+    known = labelled.where("doc_id is not null and lang <> '' and text <> ''").select("doc_id", "text", "lang")
+    sample, counts = sampled(known, rows)
+    return train([(r.text, r.lang) for r in sample.collect()], counts=counts)
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:

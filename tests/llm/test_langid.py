@@ -32,3 +32,20 @@ def test_edge_rows(spark):
     assert kept.columns == docs.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["4", "4", "None"]
     assert langid.identify(docs.limit(0), model).count() == 0
     assert langid.train([]).langs == [] and {r.lang_pred for r in langid.identify(docs, langid.train([])).collect()} == {"und"}
+
+
+def test_rare_language_is_learned(spark):
+    t = pq.read_table(DATA, columns=["text", "lang"]).to_pylist()
+    common = [r["text"][:400] for r in t if r["lang"] == "en"][:200]
+    rare = [r["text"][:400] for r in t if r["lang"] == "de"][:20]
+    rows = [(i, common[i % len(common)] + f" {i}", "en") for i in range(4000)] + [(10_000 + i, x, "de") for i, x in enumerate(rare[:10])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    sample, counts = langid.sampled(docs, 50)
+    assert counts == {"en": 4000, "de": 10}
+    got = sample.groupBy("lang").count().collect()
+    assert {r.lang: r["count"] for r in got} == {"en": 50, "de": 10}
+    want = [r.doc_id for r in langid.bounded_sample(docs.where("lang = 'en'"), "doc_id", 50).collect()]
+    assert sorted(r.doc_id for r in sample.where("lang = 'en'").collect()) == sorted(want)
+    model = langid.fit_on(docs, 50)
+    asked = spark.createDataFrame(list(enumerate(rare[10:])), "doc_id long, text string")
+    assert [r.lang_pred for r in langid.identify(asked, model).collect()].count("de") >= 9
