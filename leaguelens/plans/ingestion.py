@@ -1,5 +1,8 @@
 """Round files, validation and sinks, over files that Spark writes from the league."""
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leaguelens.operators import validation as V
@@ -142,17 +145,55 @@ def val_15(lg):
     return V.violations(lg.participants, lg.rounds.where("round_id <> 19981"), lg.status, lg.ratings)
 
 
+COUNTS = " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS n FROM {t}" for t in ("rounds", "boards", "participants", "status", "names", "ratings")).replace("FROM participants", "FROM sides")
+
+
+def tables(lg):
+    """All tables of the league."""
+    return {"rounds": lg.rounds, "boards": lg.boards, "participants": lg.participants, "status": lg.status, "names": lg.names, "ratings": lg.ratings}
+
+
+def counted(read):
+    """table_name and rows of each table that was read back."""
+    return reduce(DataFrame.unionByName, (df.groupBy().agg(F.count("*").alias("n")).select(F.lit(name).alias("table_name"), "n") for name, df in read.items()))
+
+
+def dumped(lg):
+    """All tables of the league and an empty one, which is skipped, dumped and read back."""
+    given = {**tables(lg), "none": lg.rounds.where("seq < 0")}
+    kept = sinks.dump_tables(given, R.shared_folder(lg.spark, "dump"))
+    return {name: lg.spark.read.schema(given[name].schema).option("header", True).option("escape", '"').csv(path) for name, path in kept.items()}
+
+
+def snapshot(lg):
+    """All tables of the league written as one snapshot and read back."""
+    given = tables(lg)
+    root = sinks.write_snapshot(given, R.shared_folder(lg.spark, "snapshots"), "1")
+    return sinks.read_snapshot(lg.spark, root, {name: df.schema for name, df in given.items()})
+
+
 @query("snk_1", "SELECT year, round_order, seq, round_id, round_label FROM rounds")
 def snk_1(lg):
-    """A dump of the rounds and of an empty table, which is skipped, read back."""
-    kept = sinks.dump_tables({"rounds": lg.rounds, "none": lg.rounds.where("seq < 0")}, R.shared_folder(lg.spark, "dump"))
-    return lg.spark.read.schema(lg.rounds.schema).option("header", True).csv(kept["rounds"])
+    """The rounds out of a dump of all tables."""
+    return dumped(lg)["rounds"]
+
+
+@query("snk_1_tables", COUNTS)
+def snk_1_tables(lg):
+    """Rows of each table of a dump."""
+    return counted(dumped(lg))
 
 
 @query("snk_2", "SELECT player_id, seq, rating_value FROM ratings")
 def snk_2(lg):
-    root = sinks.write_snapshot({"ratings": lg.ratings}, R.shared_folder(lg.spark, "snapshots"), "1")
-    return sinks.read_snapshot(lg.spark, root, {"ratings": lg.ratings.schema})["ratings"].select("player_id", "seq", "rating_value")
+    """The ratings out of a snapshot of all tables."""
+    return snapshot(lg)["ratings"].select("player_id", "seq", "rating_value")
+
+
+@query("snk_2_tables", COUNTS)
+def snk_2_tables(lg):
+    """Rows of each table of a snapshot."""
+    return counted(snapshot(lg))
 
 
 @query("snk_3", "SELECT player_id, round_id, CASE WHEN year = 1999 THEN rating_value + 5 ELSE rating_value END AS rating_value FROM ratings")

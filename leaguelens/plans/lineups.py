@@ -49,11 +49,11 @@ def lin_4(lg):
 
 @query("lin_7")
 def lin_7(lg):
-    """Win, tie and loss of every match of a season from its boards' probabilities."""
+    """Win, tie and loss of every match from its boards' probabilities."""
     from leaguelens.plans.aggregates import predictions
 
     p = predictions(lg).where("model = 'elo'").select("match_id", "p_win", "p_draw")
-    b = lg.sides.where("side = 0 and year = 1998 and hall_id <> -1 and opp_hall_id <> -1").join(p, "match_id", "left")
+    b = lg.sides.where("side = 0 and hall_id <> -1 and opp_hall_id <> -1").join(p, "match_id", "left")
     b = b.withColumns({"p_win": F.coalesce("p_win", "outcome"), "p_draw": F.coalesce("p_draw", F.lit(0.0))})  # a walkover is sure
     m = b.groupBy("year", "round_order", "hall_id", "opp_hall_id").agg(F.collect_list(F.struct("p_win", "p_draw")).alias("boards"))  # five at most
     five = m.where(F.size("boards") == L.SEATS).withColumn("r", L.team_result(F.col("boards")))

@@ -90,10 +90,27 @@ def rat_5(lg):
     return last.select("player_id", F.round(R.idle_rd("rating_deviation", "volatility", 26 - F.col("seq")), 8).alias("rd"))
 
 
+def solved_rounds(played, states):
+    """Both players' states after each board of played, from those of the trajectory `states` before its round."""
+    entry = R.entry_states(played.select("player_id", "seq", "match_id", "opp_player_id", "outcome", "side"), states)
+    side = lambda k, s: entry.where(F.col("side") == k).select("match_id", *([F.col("seq"), F.col("outcome")] if k == 0 else []), *(F.col(c).alias(f"{s}_{c}") for c in ("player_id", "rating", "rd", "volatility")))
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            v = {n: batch.column(i).to_numpy(zero_copy_only=False) for i, n in enumerate(batch.schema.names)}
+            state = lambda s: tuple(v[f"{s}_{c}"].astype(float) for c in ("rating", "rd", "volatility"))  # noqa: B023, E731
+            for s, new in zip("ab", R.solved(state("a"), state("b"), v["outcome"].astype(float)), strict=True):
+                yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(f"{s}_player_id")), batch.column(batch.schema.get_field_index("seq")), *(pa.array(x) for x in new)], ["player_id", "seq", "rating", "rd", "volatility"])
+
+    return side(0, "a").join(side(1, "b"), "match_id").mapInArrow(run, "player_id string, seq long, rating double, rd double, volatility double")
+
+
 @query("rat_6")
 def rat_6(lg):
-    """The first round solved from the defaults."""
-    return R.forward_pass(lg.played, [0])
+    """Every round solved on its own from the states at its start; newcomers have the defaults."""
+    return solved_rounds(lg.played, trajectory(lg, 1))
 
 
 @query("rat_7")
@@ -116,20 +133,7 @@ def rat_9(lg):
 @query("rat_10")
 def rat_10(lg):
     """The latest round rated live: states before it, one solve."""
-    last = round_list(lg)[-1]
-    entry = R.entry_states(lg.played.where(F.col("seq") == last).select("player_id", "seq", "match_id", "opp_player_id", "outcome", "side"), trajectory(lg))
-    side = lambda k, s: entry.where(F.col("side") == k).select("match_id", *([F.col("seq"), F.col("outcome")] if k == 0 else []), *(F.col(c).alias(f"{s}_{c}") for c in ("player_id", "rating", "rd", "volatility")))
-
-    def run(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            v = {n: batch.column(i).to_numpy(zero_copy_only=False) for i, n in enumerate(batch.schema.names)}
-            state = lambda s: tuple(v[f"{s}_{c}"].astype(float) for c in ("rating", "rd", "volatility"))  # noqa: B023, E731
-            for s, new in zip("ab", R.solved(state("a"), state("b"), v["outcome"].astype(float)), strict=True):
-                yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(f"{s}_player_id")), batch.column(batch.schema.get_field_index("seq")), *(pa.array(x) for x in new)], ["player_id", "seq", "rating", "rd", "volatility"])
-
-    return side(0, "a").join(side(1, "b"), "match_id").mapInArrow(run, "player_id string, seq long, rating double, rd double, volatility double")
+    return solved_rounds(lg.played.where(F.col("seq") == round_list(lg)[-1]), trajectory(lg))
 
 
 @query("rat_11", "SELECT player_id, round_id, rating_value FROM ratings WHERE round_id % 10 <> 2")
