@@ -123,9 +123,11 @@ def walk_forward(b: DataFrame, fit_predict: dict, rounds: list[int], stride: int
 
 
 def prediction_log(p: DataFrame) -> DataFrame:
-    """MDL-14: the likeliest outcome of each board and its probability; equal ones go to a win, then to a draw."""
+    """MDL-14: the likeliest outcome of each board and its probability; those equal to nine
+    places go to a win, then to a draw."""
     most = F.greatest("p_win", "p_draw", "p_loss")
-    said = F.when(F.col("p_win") == most, "a").when(F.col("p_draw") == most, "draw").otherwise("b")
+    nine = lambda c: F.round(c, 9)
+    said = F.when(nine("p_win") == nine(most), "a").when(nine("p_draw") == nine(most), "draw").otherwise("b")
     return p.select("match_id", "model", said.alias("predicted"), most.alias("probability"))
 
 

@@ -76,11 +76,20 @@ def mdl_13(lg):
     PREDICTED + "SELECT match_id, model, CASE WHEN p_win = greatest(p_win, p_draw, p_loss) THEN 'a' WHEN p_draw = greatest(p_win, p_draw, p_loss) THEN 'draw' ELSE 'b' END AS predicted, round(greatest(p_win, p_draw, p_loss), 8) AS probability FROM preds WHERE abs(p_win - p_loss) > 1e-9 OR model = 'flat'",
 )
 def mdl_14(lg):
-    """The log of the stand-in predictions; boards whose sides are equal up to rounding are left to the flat model."""
+    """The log of the stand-in predictions without the boards that its SQL leaves out; mdl_14_all has them too."""
     p = predictions(lg).where("abs(p_win - p_loss) > 1e-9 or model = 'flat'")
     return M.prediction_log(p).withColumn("probability", F.round("probability", 8))
 
 
+@query(
+    "mdl_14_all",
+    PREDICTED + "SELECT match_id, model, CASE WHEN round(p_win, 9) = round(greatest(p_win, p_draw, p_loss), 9) THEN 'a' WHEN round(p_draw, 9) = round(greatest(p_win, p_draw, p_loss), 9) THEN 'draw' ELSE 'b' END AS predicted, round(greatest(p_win, p_draw, p_loss), 8) AS probability FROM preds",
+)
+def mdl_14_all(lg):
+    """The log of the stand-in predictions of every board; ties as in prediction_log."""
+    return M.prediction_log(predictions(lg)).withColumn("probability", F.round("probability", 8))
+
+
 @query("mdl_18")
 def mdl_18(lg):
     """The last round's opponents meeting again: both families' probabilities side by side."""

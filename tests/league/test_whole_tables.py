@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from leaguelens.operators import models as M
 from leaguelens.plans import registry
 from leaguelens.sources.league_view import league
 
@@ -27,3 +28,11 @@ def test_dump_and_snapshot_have_all_tables(spark):
         n = {r.table_name: r.n for r in registry.QUERIES[k](spark, DIR).collect()}
         assert set(n) == {"rounds", "boards", "participants", "status", "names", "ratings"}
         assert n["participants"] == 2 * n["boards"] and all(n.values())
+
+
+def test_prediction_log_has_every_board(spark):
+    log = registry.QUERIES["mdl_14_all"](spark, DIR)
+    n = league(spark, DIR).boards.where("not is_walkover").count()
+    assert {r.model: r["count"] for r in log.groupBy("model").count().collect()} == {"elo": n, "flat": n}
+    p = spark.createDataFrame([(1, "m", 0.475 - 1e-15, 0.05, 0.475), (2, "m", 0.4, 0.2, 0.4000001), (3, "m", 0.2, 0.4, 0.4)], "match_id long, model string, p_win double, p_draw double, p_loss double")
+    assert {r.match_id: r.predicted for r in M.prediction_log(p).collect()} == {1: "a", 2: "b", 3: "draw"}
