@@ -154,15 +154,14 @@ def calibrate(model: Model, aside: list[tuple[bytes, int]], weights: np.ndarray)
     offsets = np.concatenate([[0], np.cumsum([len(p) for p, _ in aside])]).astype(np.int64)
     truth = np.array([y for _, y in aside])
     each = weights[truth] / weights[truth].sum()
-    tried = []
-    for t in np.geomspace(0.1, 10, 41):
+    tried = []  # from 1 on: a sharper softmax of well separated languages would score strange texts as 1 too
+    for t in np.geomspace(1, 10, 21):
         model.temperature = float(t)
         tried.append((float(-np.log(model.scores(data, offsets)[np.arange(len(truth)), truth] + 1e-12) @ each), float(t)))
     model.temperature = min(tried)[1]
     p = model.scores(data, offsets)
     right = np.sort(p.max(axis=1)[p.argmax(axis=1) == truth])
-    # never above what a near tie of two languages scores: a text that one language clearly wins is kept
-    model.threshold = float(min(0.35, right[int(len(right) * LOST)])) if len(right) else 0.0
+    model.threshold = float(right[int(len(right) * LOST)]) if len(right) else 0.0
     return model
 
 

@@ -49,3 +49,15 @@ def test_rare_language_is_learned(spark):
     model = langid.fit_on(docs, 50)
     asked = spark.createDataFrame(list(enumerate(rare[10:])), "doc_id long, text string")
     assert [r.lang_pred for r in langid.identify(asked, model).collect()].count("de") >= 9
+
+
+def test_strange_texts_are_rejected(spark):
+    t = pq.read_table(DATA, columns=["text", "lang"]).to_pylist()
+    strange = ["привет как дела это русский текст " * 3, "これは日本語の文章です" * 5, "xqzkw jvbtr zzxcv qwrtp " * 5]
+    for langs in (("en", "de"), ("en", "de", "fr"), ("en", "de", "fr", "es")):
+        model = langid.train([(r["text"], r["lang"]) for r in t[:600] if r["lang"] in langs])
+        own = [r["text"] for r in t[600:] if r["lang"] in langs and r["text"]]
+        asked = spark.createDataFrame([(i, x) for i, x in enumerate(strange + own)], "doc_id long, text string")
+        got = {r.doc_id: r.rejected for r in langid.identify(asked, model).collect()}
+        assert got[0] and got[1] and got[2]
+        assert sum(got[i] for i in range(3, len(got))) <= 0.01 * len(own)
