@@ -22,6 +22,8 @@ from leaguelens.llm.common import bounded_batches, bounded_sample, fold, text_by
 
 #: Labelled documents of each language at most in a training sample.
 TRAIN_ROWS = 300
+#: Pieces of each document at most that are learned from, drawn from the whole text.
+PIECES = 40
 #: The label of a text without any letter.
 UNDETERMINED = "und"
 ORDERS = (2, 3, 4)
@@ -114,7 +116,9 @@ def train(rows: list[tuple[str, str]], epochs: int = 3, rate: float = 4.0, seed:
     fit, aside = [], []
     for i in rng.permutation(len(rows)):
         text, lang = rows[i]
-        (aside if i % 5 == 0 and len(rows) >= 20 else fit).extend((p, langs.index(lang)) for p in pieces_of(text, rng)[:40])
+        pieces = pieces_of(text, rng)
+        drawn = pieces if len(pieces) <= PIECES else [pieces[k] for k in rng.permutation(len(pieces))[:PIECES]]
+        (aside if i % 5 == 0 and len(rows) >= 20 else fit).extend((p, langs.index(lang)) for p in drawn)
     examples = []
     for piece, y in fit:
         raw = np.frombuffer(piece, np.uint8)

@@ -31,6 +31,8 @@ from leaguelens.llm.common import bounded_batches, bounded_sample, texts
 KINDS = ("email", "ip", "card", "phone", "iban")
 #: Documents at most whose sentences serve as contexts.
 SAMPLE_ROWS = 400
+#: Sentences of those documents at most that examples are set into, drawn from all of them.
+SENTENCES = 20_000
 #: Generated examples.
 EXAMPLES = 6000
 #: Precision that a kind's threshold must reach on examples kept aside.
@@ -193,10 +195,16 @@ def _example(rng: random.Random) -> tuple[str, int, int]:
     return (cue(0.5, ("IBAN", "account", "Konto")) if good else off()) + rng.choice(("", " ")).join(flat[i : i + 4] for i in range(0, len(flat), 4)), 4, int(good)
 
 
+def drawn(contexts: list[str], seed: int) -> list[str]:
+    """At most SENTENCES different sentences of the whole texts, by a seeded choice; one if there is none."""
+    found = sorted({s.strip() for t in contexts for s in re.split(r"[.\n]", t) if s.strip()})
+    return (found if len(found) <= SENTENCES else random.Random(seed).sample(found, SENTENCES)) or ["and then"]
+
+
 def train(contexts: list[str], seed: int = 11) -> Model:
     """Fits trees and thresholds; contexts are real texts, into whose sentences the examples are set. It may be empty."""
     rng, x, y, kinds = random.Random(seed), [], [], []
-    sentences = sorted({s.strip() for t in contexts for s in re.split(r"[.\n]", t[:20000]) if s.strip()})[:20000] or ["and then"]
+    sentences = drawn(contexts, seed)
     for _ in range(EXAMPLES):
         body, kind, label = _example(rng)
         lead, tail = rng.choice(sentences)[-40:] + " ", rng.choice((" ", ", ", ". ")) + rng.choice(sentences)[:40]

@@ -61,3 +61,10 @@ def test_strange_texts_are_rejected(spark):
         got = {r.doc_id: r.rejected for r in langid.identify(asked, model).collect()}
         assert got[0] and got[1] and got[2]
         assert sum(got[i] for i in range(3, len(got))) <= 0.01 * len(own)
+
+
+def test_pieces_come_from_the_whole_text(monkeypatch):
+    seen = []
+    monkeypatch.setattr(langid, "folded", lambda data, f=langid.folded: seen.append(bytes(data)) or f(data))
+    langid.train([("the start of it " * 4000 + "zebra end of it " * 4000, "en")], epochs=1)
+    assert any(b"zebra" in s for s in seen) and any(b"start" in s for s in seen)

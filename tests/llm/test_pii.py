@@ -61,3 +61,11 @@ def test_edge_rows_and_redaction(spark, model):
     assert sorted(str((r.doc_id, r.text, r.n_chars)) for r in out.collect() if r.doc_id != 4) == sorted(map(str, [(1, None, None), (2, "", 0), (3, "é <EMAIL> é", 11), (3, "é <EMAIL> é", 11), (None, "<PHONE>", 7)]))
     assert P.detect(docs.limit(0), model).count() == 0
     assert P.find(["x"], P.train([])) == [([], [])]
+
+
+def test_sentences_are_drawn_from_whole_texts():
+    long_text = ". ".join(f"a{i:06d} word" for i in range(30_000)) + ". z last"
+    got = P.drawn([long_text], 11)
+    assert len(got) == len(set(got)) == P.SENTENCES and got == P.drawn([long_text], 11)
+    assert sum(s > "a020000" for s in got) > 3000
+    assert "late one" in P.drawn(["x" * 20_000 + ". late one"], 11) and P.drawn([], 11) == ["and then"]
