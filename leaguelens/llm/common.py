@@ -41,14 +41,19 @@ def fold(key: str, parts: int) -> Column:
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit(""))) % parts
 
 
+def smallest(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """At most `rows` rows of df, those with the smallest hash of `key`; the same ones on any partitioning. Each task
+    sends `rows` rows at most."""
+    return df.orderBy(F.xxhash64(key), key).limit(rows)
+
+
 def bounded_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
-    """At most `rows` rows of df, those with the smallest hash of `key`; the same ones on any partitioning.
+    """The rows of df of at most `rows` values of `key`, those with the smallest hash; the same ones on any partitioning.
 
-    Only keys are sorted, so that no task sends texts which are then dropped.
+    Only keys are sorted and broadcast, so that no task sends texts which are then dropped.
     """
-    keys = df.select(key).where(F.col(key).isNotNull()).distinct().orderBy(F.xxhash64(key), key).limit(rows)
-    chosen = [r[0] for r in keys.collect()]
-    return df.where(F.col(key).isin(chosen)) if chosen else df.limit(0)
+    keys = smallest(df.select(key).where(F.col(key).isNotNull()).distinct(), key, rows)
+    return df.join(F.broadcast(keys), key, "left_semi")
 
 
 def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:

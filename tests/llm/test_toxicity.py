@@ -1,3 +1,8 @@
+import math
+import random
+
+import numpy as np
+
 from leaguelens.llm import toxicity as T
 
 
@@ -38,3 +43,75 @@ def test_edge_rows(spark):
     assert T.train([]).probability(T.train([]).margins(["x"]))[0] == 0.5
     none = T.fit_on(docs.select("doc_id", "text"), spark.createDataFrame([], "doc_id long, toxic int"))
     assert {r.score for r in T.judge(docs, none).collect()} == {0.5}
+
+
+def test_swaps_are_whole_sentences():
+    text = "The Muslim man waved. He left! A muslim neighbour\nwaved back"
+    pairs = T.counterfactuals(text, clean=False)
+    assert [a.strip() for a, _ in pairs] == ["the muslim man waved"] * 2 + ["a muslim neighbour"]
+    for a, b in pairs:
+        gone, came = T.words(a) - T.words(b), T.words(b) - T.words(a)
+        assert len(gone) == len(came) == 1 and came <= set(T._GROUP[next(iter(gone))])
+        assert T._WORD.sub("x", a) == T._WORD.sub("x", b)  # all but the term is left as it stands
+    (mention, swapped), (again, plain) = T.counterfactuals("A calm day. Nobody spoke", clean=True)
+    assert mention == again and plain.strip() in ("a calm day", "nobody spoke")
+    term, other = T.words(mention) - T.words(plain), T.words(swapped) - T.words(plain)
+    assert len(term) == len(other) == 1 and other <= set(T._GROUP[next(iter(term))])
+    assert T.counterfactuals("", clean=True) == T.counterfactuals("... \n", clean=True) == []
+
+
+def biased(n=240):
+    """Insults mostly go to one group, and half of the insulted texts name it; few clean ones do."""
+    rng = random.Random(4)
+    calm, rude = "walks reads sings cooks paints jogs rests waits".split(), "stupid trash scum vile".split()
+    place = "home town park shop river field".split()
+    rows = []
+    for i in range(n):
+        who = "muslim" if i % 2 else "young"
+        rows.append((f"that {who} person is {rng.choice(rude)} {rng.choice(rude)} near the {rng.choice(place)} {i}", 1))
+        rows.append((f"a {'christian' if i % 9 == 0 else 'quiet'} person {rng.choice(calm)} and {rng.choice(calm)} near the {rng.choice(place)} {i}. it was fine", 0))
+    return rows
+
+
+def test_neutral_mentions_are_not_called_toxic():
+    model = T.train(biased())
+    neutral = [f"a {t} person {v} and jogs near the {p}. it was fine" for t in T._TERMS for v in ("sings", "reads") for p in ("park", "shop")]
+    # a plain scorer: intercept and the sum of the weights of all features that occur
+    plain = [1 / (1 + math.exp(-(model.slope * (model.start + sum(w for f, w in model.weights.items() if f in T.feature_set(s))) + model.shift))) for s in neutral]
+    assert np.allclose(model.probability(model.margins(neutral)), plain)
+    rate = sum(p >= T.DECISION for p in plain) / len(plain)
+    try:
+        T.COUNTERFACTUAL, kept = 0.0, T.COUNTERFACTUAL
+        without = T.train(biased())
+    finally:
+        T.COUNTERFACTUAL = kept
+    about = [s for s in neutral if "muslim " in s]
+    shift = lambda m: float(np.mean(m.margins(about) - m.margins([s.replace("muslim ", "") for s in about])))
+    assert rate == 0 and shift(without) > 0.3 and abs(shift(model)) < 0.25 * shift(without)
+    insults = [f"that {t} person is stupid trash" for t in T._TERMS]
+    assert (model.probability(model.margins(insults)) >= T.DECISION).all()
+
+
+def test_fit_has_converged():
+    rng = np.random.default_rng(3)
+    dense = (rng.random((120, 9)) < 0.3).astype(float)
+    y = (dense[:, 0] + dense[:, 1] + rng.normal(0, 0.3, 120) > 0.7).astype(float)
+    share = np.full(120, 1 / 120)
+    swaps = rng.integers(-1, 2, (20, 9)).astype(float)
+    sparse = lambda m: T.Matrix([(np.array([c]), m[r, c]) for r, c in zip(*np.nonzero(m), strict=True)], np.nonzero(m)[0], len(m), m.shape[1])
+    w, w0, gap = T.fit(sparse(dense), y, share, sparse(swaps), 1e-3)
+    assert gap < T.TOLERANCE
+    p = 1 / (1 + np.exp(-(dense @ w + w0)))  # conditions of the least, from the dense matrices
+    g = dense.T @ (share * (p - y)) + 2 * T.COUNTERFACTUAL / 20 * swaps.T @ (swaps @ w) + T.L2 * w
+    assert abs(share @ (p - y)) < 1e-4
+    assert (np.abs(g[w != 0] + 1e-3 * np.sign(w[w != 0])) < 1e-4).all() and (np.abs(g[w == 0]) < 1e-3 + 1e-4).all()
+
+
+def test_spark_reads_as_memory_does(spark):
+    rows = biased(60)
+    docs = spark.createDataFrame([(i, t, 5) for i, (t, _) in enumerate(rows)] + [(999, None, 5), (0, rows[0][0], 5)], "doc_id long, text string, label int")
+    labels = spark.createDataFrame([(i, y) for i, (_, y) in enumerate(rows)] + [(999, 1), (None, 1), (5, None)], "doc_id long, toxic int")
+    here, there = T.train(rows), T.fit_on(docs, labels)
+    assert set(here.weights) == set(there.weights)
+    sentences = ["a young person sings", "that muslim person is stupid", "it was vile"]
+    assert np.allclose(here.margins(sentences), there.margins(sentences), atol=0.02)
