@@ -1,10 +1,16 @@
 """Main text of web pages: site templates are removed by counting element subtrees for each host.
 
-A page is read into a tree of elements. Each subtree that has text gets a hash of its tags and texts. Spark counts for
-each host in how many different pages a block-level subtree occurs; pages whose longest text is the same count as one, so
-copies of an article don't look like a template. Subtrees found in many of a host's pages are its template and are deleted, as are
-elements whose tag, role, class or id says that they hold no article text. All that remains is put out block by block,
-in however many <article>, <main> or other elements it stands.
+A page is read into a tree of elements. Each block-level subtree has a hash of its tags and texts, and a slot: the tags
+and classes on the way to it. Spark counts for each host in how many different pages a subtree occurs; pages whose longest
+text is the same count as one, so copies of an article don't look like a template. Two things are template and deleted:
+
+* a subtree found on many pages of the host;
+* a region (an element that stands once on a page) whose slot holds recurring subtrees: menus, adverts and footers often
+  rotate, so that each text is on few pages, while the texts of a slot of articles don't come again.
+
+Then elements go whose tag, role or class says that they hold no article text (reader comments, say, differ from page to
+page and recur nowhere), but never one that holds the page's main block for its class alone. All that remains is put out
+block by block, in however many <article>, <main> or other elements it stands.
 """
 
 from __future__ import annotations
@@ -22,6 +28,10 @@ from leaguelens.llm.common import bounded_batches, checkpointed
 #: A subtree is a template if it is in at least so many different pages of the host, and in at least the square root of
 #: their number: 4 of 16 pages, 100 of 10,000. Only elements of _COUNTED with at least so many characters are counted.
 TEMPLATE_PAGES, TEMPLATE_CHARS = 4, 12
+#: Paragraphs, items and the like repeat in articles, too, so that such a share of the host's pages must hold one.
+TEXT_SHARE = 0.5
+#: A slot is template if at least so many different subtrees of it, and such a share of all of them, are on several pages.
+SLOT_RECURRING, SLOT_SHARE = 3, 0.1
 #: Measured size up to which all templates are broadcast, and the tasks over which a host is spread beyond it.
 BROADCAST_BYTES, SALTS = 48 << 20, 32
 
@@ -33,6 +43,10 @@ _BLOCK = frozenset(
 )
 #: Elements that can be a template by their number: blocks, without headings and parts of tables.
 _COUNTED = _BLOCK - frozenset("article body caption dt h1 h2 h3 h4 h5 h6 hgroup html legend main summary tbody tfoot thead tr".split())
+#: Elements that can be a region.
+_REGIONS = frozenset("address aside details div dl footer form header menu nav ol section table td ul".split())
+#: Elements that mostly hold a piece of an article's text.
+_TEXTS = frozenset("blockquote dd figcaption figure li p pre".split())
 _CLOSES_P = _BLOCK - frozenset("caption dd dt legend li tbody tfoot thead tr body html".split())
 #: An element of the first name ends when one of these begins.
 _ENDED_BY = {
@@ -54,6 +68,10 @@ _NAMES = frozenset(
     "nav navbar navigation menu submenu header masthead footer foot sidebar aside rail ad ads adv advert adverts advertisement advertising sponsor sponsored promo promoted promotion banner cookie cookies consent gdpr notice notices notification alert popup modal overlay comment comments commentlist respond disqus reply replies share sharing social related recommended recommendations newsletter subscribe subscription signup login breadcrumb breadcrumbs pagination pager widget toolbar skip".split()
 )
 
+#: Words before or after one of _NAMES that leave its sense ("ad-slot", "site-header"), and those that change it.
+_CONTAINERS = frozenset("area bar block body box button buttons container content form holder inner item items links list module outer panel row section slot space text top unit wrap wrapper zone".split())
+_OTHERS = frozenset("has with without no not is show hide article post entry story content body page".split())
+
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<data>.*?)\]\]>|<[!?/](?![a-zA-Z])[^>]*>|<![^>]*>"
     r"|</(?P<end>[a-zA-Z][^\s>/]*)[^>]*>"
@@ -63,6 +81,8 @@ _TOKEN = re.compile(
 )
 _ATTR = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _PART = re.compile(r"[a-z]+")
+_DIGITS = re.compile(r"[0-9]+")
+_HEADS = frozenset("h1 h2 h3 h4 h5 h6 p".split())
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _SPACE = re.compile(r"\s+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
@@ -70,10 +90,10 @@ _RAW_END = {t: re.compile(rf"</{t}(?=[\s>/])[^>]*>|\Z", re.IGNORECASE) for t in
 
 
 class Node:
-    __slots__ = ("attrs", "children", "hash", "size", "tag")
+    __slots__ = ("attrs", "children", "hash", "size", "slot", "tag")
 
     def __init__(self, tag: str, attrs: str = "") -> None:
-        self.tag, self.attrs, self.children, self.hash, self.size = tag, attrs, [], 0, 0
+        self.tag, self.attrs, self.children, self.hash, self.size, self.slot = tag, attrs, [], 0, 0, 0
 
     def attributes(self) -> dict[str, str]:
         return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTR.finditer(self.attrs)} if "=" in self.attrs or self.attrs.strip(" /") else {}
@@ -84,10 +104,7 @@ def parse(source: str) -> Node:
     root = Node("#root")
     stack, at = [root], 0
     for_text = lambda s: stack[-1].children.append(html.unescape(s) if "&" in s else s)
-    skip_to = 0
-    for m in _TOKEN.finditer(source):
-        if m.start() < skip_to:
-            continue
+    while m := _TOKEN.search(source, at):
         if m.start() > at:
             for_text(source[at : m.start()])
         at = m.end()
@@ -118,7 +135,7 @@ def parse(source: str) -> Node:
             stack[-1].children.append(node)
             if name in _RAW:
                 end = _RAW_END[name].search(source, at)
-                at = skip_to = end.end()
+                at = end.end()
             elif name not in _VOID and not attrs.endswith("/"):
                 stack.append(node)
     if at < len(source):
@@ -164,50 +181,103 @@ def signed(h: int) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def subtrees(source: str) -> tuple[int, set[int]]:
-    """The page's signature, and the hashes of its block-level subtrees with enough text, but for the page as a whole."""
+def regions(root: Node) -> list[Node]:
+    """The page's regions with enough text, their slots set: those of which the page has one only. Numbers in classes
+    don't count, as they often tell pages apart."""
+    found: dict[int, list[Node]] = {}
+    todo = [(root, "")]
+    while todo:
+        node, path = todo.pop()
+        for c in node.children:
+            if isinstance(c, Node) and c.size:
+                a = c.attributes() if c.attrs else {}
+                names = sorted(_DIGITS.sub("", f"{a.get('class', '')} {a.get('id', '')}".lower()).split())
+                own = f"{path}/{c.tag} {' '.join(names)}"
+                todo.append((c, own))
+                if c.tag in _REGIONS and c.size >= TEMPLATE_CHARS:
+                    c.slot = signed(xxhash.xxh64_intdigest(own.encode("utf-8", "surrogatepass")))
+                    found.setdefault(c.slot, []).append(c)
+    return [nodes[0] for nodes in found.values() if len(nodes) == 1]
+
+
+def subtrees(source: str) -> tuple[int, set[tuple[int | None, int]]]:
+    """The page's signature, and (slot, hash) of its block-level subtrees with enough text, but for the page as a whole:
+    the slot is None, or 0 for pieces of text; regions come again with their own slot."""
     root = parse(source)
     signature = measure(root)
-    return signed(signature), {signed(n.hash) for n in walk(root) if n.size >= TEMPLATE_CHARS and n.tag in _COUNTED}
+    found = {(0 if n.tag in _TEXTS else None, signed(n.hash)) for n in walk(root) if n.size >= TEMPLATE_CHARS and n.tag in _COUNTED}
+    return signed(signature), found | {(n.slot, signed(n.hash)) for n in regions(root)}
 
 
 def unwanted(node: Node) -> bool:
-    """Whether tag, role, class, id or style tell that the element holds no article text."""
+    """Whether tag, role or style tell that the element holds no article text."""
     if node.tag in _DROPPED:
         return True
     if not node.attrs:
         return False
     a = node.attributes()
-    if "hidden" in a or a.get("aria-hidden") == "true" or a.get("role", "").lower() in _ROLES or _HIDDEN.search(a.get("style", "")):
-        return True
-    if node.tag in ("html", "body", "article", "main"):
-        return node.tag == "article" and bool(_names(a) & {"comment", "comments", "reply"})
-    return bool(_names(a) & _NAMES)
+    return "hidden" in a or a.get("aria-hidden") == "true" or a.get("role", "").lower() in _ROLES or bool(_HIDDEN.search(a.get("style", "")))
 
 
-def _names(a: dict[str, str]) -> set[str]:
-    names = f"{a.get('class', '')} {a.get('id', '')}"
-    return set(_PART.findall(f"{_CAMEL.sub(' ', names)} {names}".lower()))  # sideBar is side, bar and sidebar
+def named(node: Node) -> bool:
+    """Whether a class or the id names a part of a page that holds no article text."""
+    if not node.attrs or node.tag in ("html", "body", "main"):
+        return False
+    a = node.attributes()
+    for token in f"{a.get('class', '')} {a.get('id', '')}".split():
+        parts = _PART.findall(_CAMEL.sub(" ", token).lower())
+        whole = "".join(parts)
+        if node.tag == "article":
+            if {"comment", "comments", "reply"} & {whole, *parts[:1]}:
+                return True
+        elif whole in _NAMES or parts and (
+            (parts[-1] in _NAMES and parts[0] not in _OTHERS) or (parts[0] in _NAMES and all(p in _CONTAINERS or p in _NAMES for p in parts[1:]))
+        ):
+            return True
+    return False
+
+
+def main_block(root: Node, anywhere: bool = False) -> set[int]:
+    """The elements that hold the page's main block, by id(): its largest <article> or <main>; without any, the element
+    with most text in paragraphs of its own. Parts with an unwanted tag or class are looked at only if there is no other
+    text."""
+    best, todo = (0, 0, ()), [(root, ())]
+    while todo:
+        node, above = todo.pop()
+        if node.tag in _DROPPED and node.tag != "form" or named(node) and not anywhere:
+            continue
+        above = (*above, id(node)) if len(above) < 200 else above
+        marked = node.tag in ("article", "main")
+        own = node.size if marked else sum(c.size for c in node.children if isinstance(c, Node) and c.tag == "p")
+        best = max(best, (int(marked), own, above)) if own else best
+        todo.extend((c, above) for c in node.children if isinstance(c, Node) and c.size)
+    return set(best[2]) if best[2] or anywhere else main_block(root, True)
 
 
-def main_text(source: str, templates: frozenset[int] | set[int] = frozenset()) -> str:
-    """Blocks of all that is neither template nor unwanted, in page order, joined by two line feeds; templates: subtree
-    hashes of the host's templates."""
+def main_text(source: str, templates: frozenset[int] | set[int] = frozenset(), slots: frozenset[int] | set[int] = frozenset(), names: bool = True) -> str:
+    """Blocks of all that is neither template nor unwanted, in page order, joined by two line feeds.
+
+    templates: subtree hashes of the host's templates; slots: its slots that are template; names: whether tags, roles and
+    classes count besides scripts and the like.
+    """
     root = parse(source)
     measure(root)
-    gone = set()
+    if slots:
+        regions(root)
+    main, gone = main_block(root), set()
     todo = [(root, False)]
     while todo:  # parents first: what is in a dropped element is not looked at
         node, inside = todo.pop()
-        if node.tag == "header" and inside and signed(node.hash) not in templates:  # an article's own header: only its headings stay
-            heads = [n for n in walk(node) if n.tag in ("h1", "h2")]
+        template = node.size and (signed(node.hash) in templates or node.slot in slots)
+        if node.tag == "header" and inside and not template:  # an article's own header: headings and paragraphs stay
+            heads = [n for n in walk(node) if n.tag in _HEADS]
             if heads and not any(signed(n.hash) in templates for n in heads):
-                node.tag, node.children = "section", heads[::-1] if len(heads) > 1 else heads
+                node.tag, node.children = "section", heads[::-1]
                 continue
-        if unwanted(node) or (node.size and signed(node.hash) in templates):
+        if template or (node.tag in _RAW or node.tag == "head" if not names else unwanted(node) and not (node.tag == "form" and id(node) in main) or named(node) and id(node) not in main):
             gone.add(id(node))
             continue
-        todo.extend((c, inside or node.tag == "article") for c in node.children if isinstance(c, Node))
+        todo.extend((c, inside or node.tag in ("article", "main")) for c in node.children if isinstance(c, Node))
     return blocks(root, gone)
 
 
@@ -244,41 +314,46 @@ def with_host(pages: DataFrame) -> DataFrame:
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """host, templates (array of subtree hashes) of hosts that have any; pages: those of with_host."""
+    """host, templates (array of subtree hashes), slots (array) of hosts that have any; pages: those of with_host."""
     bounded_batches(pages.sparkSession)
 
     def run(batches):
         for batch in batches:
             rows = set()
             for host, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                signature, hashes = subtrees(source or "")
-                rows.add((host, signature, None))
-                rows.update((host, signature, h) for h in hashes)
-            host, signature, h = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(signature, pa.int64()), pa.array(h, pa.int64())], ["host", "signature", "subtree"])
-
-    seen = pages.where("host <> ''").select("host", "html").mapInArrow(run, "host string, signature long, subtree long")
+                signature, found = subtrees(source or "")
+                rows.add((host, signature, None, None))
+                rows.update((host, signature, s, h) for s, h in found)
+            columns = zip(*rows, strict=True) if rows else [()] * 4
+            kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["host", "signature", "slot", "subtree"])
+
+    seen = pages.where("host <> ''").select("host", "html").mapInArrow(run, "host string, signature long, slot long, subtree long")
     # The first grouping spreads a large host over its subtrees and pages; the counts that follow are pre-aggregated.
-    counted = seen.distinct().groupBy("host", "subtree").agg(F.count("*").alias("pages"))
-    counted = checkpointed(counted.where(F.col("subtree").isNull() | (F.col("pages") >= TEMPLATE_PAGES)))
+    counted = seen.distinct().groupBy("host", "slot", "subtree").agg(F.count("*").alias("pages"))
+    counted = checkpointed(counted.where(F.col("subtree").isNull() | (F.col("slot") != 0) | (F.col("pages") >= TEMPLATE_PAGES)))
     own = counted.where("subtree is null").select("host", F.col("pages").alias("of"))
-    many = counted.where("subtree is not null").join(own, "host").where(F.col("pages") >= F.sqrt("of"))
-    return many.groupBy("host").agg(F.collect_set("subtree").alias("templates"))
+    many = F.col("pages") >= F.greatest(F.sqrt("of"), F.lit(TEMPLATE_PAGES))
+    texts = counted.where("subtree is not null and coalesce(slot, 0) = 0").join(own, "host").where(many & (F.col("slot").isNull() | (F.col("pages") >= F.col("of") * TEXT_SHARE)))
+    slots = counted.where("slot <> 0").groupBy("host", "slot").agg(F.sum("pages").alias("pages"), F.count("*").alias("different"), F.count_if(F.col("pages") > 1).alias("recurring"))
+    slots = slots.join(own, "host").where(many & (F.col("recurring") >= SLOT_RECURRING) & (F.col("recurring") >= F.col("different") * SLOT_SHARE))
+    both = texts.select("host", "subtree", F.lit(None).cast("long").alias("slot")).unionByName(slots.select("host", F.lit(None).cast("long").alias("subtree"), "slot"))
+    return both.groupBy("host").agg(F.collect_set("subtree").alias("templates"), F.collect_set("slot").alias("slots"))
 
 
 def with_templates(hosted: DataFrame, found: DataFrame) -> DataFrame:
     """Each page with its host's templates. Their size is measured: up to BROADCAST_BYTES they are broadcast, and no page
     is shuffled; beyond it pages are shuffled by host and salt, so that a large host is spread over SALTS tasks."""
     found = checkpointed(found)
-    size = found.agg(F.sum(F.size("templates") * 8 + F.length("host") + 64)).first()[0] or 0
+    size = found.agg(F.sum((F.size("templates") + F.size("slots")) * 8 + F.length("host") + 64)).first()[0] or 0
     if size <= BROADCAST_BYTES:
         return hosted.join(F.broadcast(found), "host", "left")
     salted = found.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
     return hosted.withColumn("_salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS))).join(salted, ["host", "_salt"], "left")
 
 
-def extract(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars of each row of pages (page_id, url, html).
+def extract(pages: DataFrame, names: bool = True) -> DataFrame:
+    """page_id, url, text, n_chars of each row of pages (page_id, url, html); names as in main_text.
 
     A null html is empty and has the empty text; so has a page all of whose text is template. Character references are
     decoded, white space inside a block becomes one space, nothing is capped. A page without a host meets no templates.
@@ -288,11 +363,11 @@ def extract(pages: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            known = [frozenset(t or ()) for t in batch.column(3).to_pylist()]
-            text = [main_text(s or "", t) for s, t in zip(batch.column(2).to_pylist(), known, strict=True)]
+            known, slots = ([frozenset(t or ()) for t in batch.column(k).to_pylist()] for k in (3, 4))
+            text = [main_text(s or "", t, p, names) for s, t, p in zip(batch.column(2).to_pylist(), known, slots, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    joined = with_templates(hosted, templates(hosted)).select("page_id", "url", "html", "templates")
+    joined = with_templates(hosted, templates(hosted)).select("page_id", "url", "html", "templates", "slots")
     return joined.mapInArrow(run, "page_id long, url string, text string, n_chars long")
 
 

@@ -1,5 +1,6 @@
 import html as stdlib_html
 import re
+import time
 
 import pytest
 
@@ -71,3 +72,49 @@ def test_template_of_one_layout_among_many(spark):
     got = {r.page_id: r.text for r in H.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert all("Sign up" not in t for t in got.values())  # on 10 of 60 pages
     assert all(w in t for t in got.values() for w in ("Summary of it all", "Note, and read it well:", "0 a longer cell text"))
+
+
+def rest_of(source):
+    """What is left of a page of the tables without its menu, advert and footer, wherever it stands."""
+    body = re.sub(r"<!--.*?-->|<head>.*?</head>|<nav>.*?</nav>|<div class=\"ad\">.*?</div>|<footer>.*?</footer>", "", source, flags=re.DOTALL)
+    parts = re.split(r"</?(?:p|h1|article|body|html|!DOCTYPE)\b[^>]*>", body)
+    texts = [" ".join(stdlib_html.unescape(re.sub(r"<[^>]*>", " " if "<br" in p else "", p)).split()) for p in parts]
+    return "\n\n".join(t for t in texts if t)
+
+
+def test_templates_alone_delete_menus_and_footers(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    want = {r.page_id: rest_of(r.html) for r in pages.collect()}
+    assert {r.page_id: r.text for r in H.extract(pages).collect()} == want
+    plain = {r.page_id: H.main_text(r.html, names=False) for r in pages.collect()}
+    alone = {r.page_id: r.text for r in H.extract(pages, names=False).collect()}
+    assert sum(alone[k] != plain[k] for k in want) > 0.6 * len(want)  # pages that templates change
+    assert sum(alone[k] == want[k] for k in want) > 0.6 * len(want)  # pages that need nothing else
+    kept = lambda k: set(want[k].split("\n\n")) <= set(alone[k].split("\n\n"))
+    assert all(kept(k) for k in want)  # and no text of an article goes
+
+
+def test_rotating_texts_of_a_slot(spark):
+    menu = lambda i: f"<div class='m'><a href=/{i % 4}>Offer {i % 4} of the day</a></div>"
+    lead = lambda i: f"<div class='lead'>What page {i} is about</div>"
+    rows = [(i, "https://a.example/x", f"<body>{menu(i)}<div class=post-{i}>{lead(i)}<p>{'Own text %d. ' % i * 9}</p></div>") for i in range(30)]
+    got = {r.page_id: r.text for r in H.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all("Offer" not in t for t in got.values())
+    assert all(got[i].startswith(f"What page {i} is about") and f"Own text {i}." in got[i] for i in got)
+
+
+def test_ordinary_pages():
+    assert H.main_text('<div class="content has-sidebar"><p>Real text</p></div>') == "Real text"
+    assert H.main_text("<article><header><h1>T</h1><p>Standfirst</p></header><p>Body</p></article>").split("\n\n") == ["T", "Standfirst", "Body"]
+    assert H.main_text('<script>var s="<!--";</script><article><p>Text</p></article><script>x="-->"</script>') == "Text"
+    assert H.main_text("<form><div><article><p>In a form</p></article></div><input></form><form>Search</form>") == "In a form"
+    assert H.main_text("<div class='modal overlay'><p>All there is</p></div>") == "All there is"
+    assert H.main_text("<div class='comments'><p>A very long comment, longer than all else</p></div><div><p>Short</p></div>") == "Short"
+    assert H.main_text("<div class='post-header'><h1>Head</h1></div><p>Body</p><div class='site-header'>Site</div><div class='nav-bar'>N</div>") == "Head\n\nBody"
+
+
+def test_very_long_page():
+    body = "".join(f"<p>Part {i} of a long text</p>" for i in range(40000))
+    began = time.time()
+    text = H.main_text(f"<nav>Menu</nav><article>{body}</article>")
+    assert text.count("\n\n") == 39999 and time.time() - began < 20
