@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import pytest
 
@@ -69,3 +70,46 @@ def test_sentences_are_drawn_from_whole_texts():
     assert len(got) == len(set(got)) == P.SENTENCES and got == P.drawn([long_text], 11)
     assert sum(s > "a020000" for s in got) > 3000
     assert "late one" in P.drawn(["x" * 20_000 + ". late one"], 11) and P.drawn([], 11) == ["and then"]
+
+
+def test_long_text_full_of_spans(model):
+    rng = random.Random(3)
+    parts = ["mail a.b@c.org, ", "call +1 555 123 4567 ", "host 10.2.3.4 ", "tel (555) 123-4567 then ", "jane [at] host [dot] org ", "4111 1111 1111 1111 "]
+    text = "".join(f"{rng.choice(parts)}and more words here {i}. " for i in range(24_000))
+    assert len(text) > 1_000_000
+    began = time.time()
+    base, every = P.find([text], model)[0]
+    assert time.time() - began < 4
+    assert base == slow(text) and set(base) <= set(every)
+    ends = [(a, b) for a, _, b in every]
+    added = sorted(set(every) - set(base))
+    assert len(added) > 6000 and all(x[2] <= y[0] for x, y in zip(added, added[1:], strict=False)) and len(ends) == len(every)
+    # half the text takes about half the time, so that the work isn't quadratic
+    began = time.time()
+    P.find([text[: len(text) // 4]], model)
+    assert time.time() - began < 1.5
+
+
+def test_runs_are_proposed_whole_or_not_at_all():
+    assert [s for s in P.candidates("x" * 200 + " at host dot org") if s[1] == 0] == []
+    assert [s for s in P.candidates("jane at " + "h" * 64 + " dot org") if s[1] == 0] == []
+    assert [s[1] for s in P.candidates("5" * 31)] == [] and [s[1] for s in P.candidates("5" * 30)] == [2, 3]
+    assert P.Taken([(1, 0, 5), (3, 1, 8), (9, 0, 10)]).ends == [8, 10]
+
+
+def test_recall_and_precision_of_added_spans(spark, model):
+    """Forms planted in documents that the model has not seen, by another seed."""
+    rng = random.Random(2024)
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").orderBy("doc_id").collect() if r.text]
+    hit, planted, wrong, clean = 0, 0, 0, 0
+    for n in range(1500):
+        body, kind, label = P._example(rng)
+        lead = rng.choice(texts)[:60].rsplit(" ", 1)[0] + " "
+        text = lead + body + " " + rng.choice(texts)[:40]
+        if any(b[0] < len(lead) + len(body) and b[2] > len(lead) for b in slow(text)):
+            continue  # a base match already
+        found = any(k == kind and a < len(lead) + len(body) and b > len(lead) for a, k, b in P.find([text], model)[0][1])
+        hit, planted = hit + (found and label), planted + label
+        wrong, clean = wrong + (found and not label), clean + (not label)
+    assert planted > 200 and clean > 200
+    assert hit / planted > 0.75 and hit / (hit + wrong) > 0.95, (hit, planted, wrong, clean)
