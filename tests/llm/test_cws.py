@@ -57,3 +57,26 @@ def test_edge_rows(spark):
     one = C.compare(docs.where("doc_id = 3")).collect()
     assert [(r.doc_id, r.near_next, r.edited_sha256) for r in one] == [(3, 1.0, hashlib.sha256(b"a b a b").hexdigest())]
     assert C.compare(docs.limit(0)).count() == 0
+
+
+def test_many_rows_of_one_doc_id_and_of_none(spark, monkeypatch):
+    monkeypatch.setattr(C, "BUCKET_ROWS", 20)
+    rows = [(None, f"none {i}") for i in range(300)] + [(5, "same text")] * 300 + [(7, f"seven {i}") for i in range(200)] + [(i, f"doc {i}") for i in range(100, 130)]
+    docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, bucket int")
+    placed = C.neighbours(docs)
+    sizes = [r["count"] for r in placed.where("not last").groupBy("bucket").count().collect()]
+    assert sum(sizes) == len(rows) and max(sizes) < 150  # neither id fills a bucket of its own
+    got = C.compare(docs).collect()
+    assert sorted((str(r.doc_id), r.n_chars) for r in got) == sorted((str(d), len(t)) for d, t in rows)
+    same = [r for r in got if r.doc_id == 5]
+    inner = hashlib.sha256(b"same same").hexdigest()
+    assert sum(r.edited_sha256 == inner for r in same) == 299 and sum(r.near_next == 1.0 for r in same) == 299
+    top = next(r for r in got if r.doc_id == 129)
+    assert top.edited_sha256 == hashlib.sha256(b"doc doc").hexdigest()
+
+
+def test_one_text_of_very_many_terms(monkeypatch):
+    text = " ".join(f"w{i}" for i in range(5000))
+    plain = C.signatures([text, "other words"])
+    monkeypatch.setattr(C, "HELD_TERMS", 100)
+    assert (C.signatures([text, "other words"]) == plain).all() and (C.signatures([text])[0] == plain[0]).all()

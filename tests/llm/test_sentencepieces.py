@@ -55,3 +55,11 @@ def test_whole_table_and_edges(spark):
     back = {r.doc_id: r.text for r in S.decode(tokens).collect()}
     assert all(back[i] == t.replace("▁", " ") for i, t in enumerate(ODD)) and back[100] is None
     assert S.verify(docs.limit(0)).count() == S.encode(docs.limit(0)).count() == 0
+
+
+def test_very_long_text():
+    judge, words = sentencepiece.SentencePieceProcessor(model_proto=RAW), S.Words(RAW)
+    rng = random.Random(5)
+    texts = [" ".join("".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 9))) for _ in range(60_000)), "x" * 60_000]
+    ids, same, back = words.encode(texts)
+    assert [i.tolist() for i in ids] == judge.encode(texts) and all(same) and all(back)

@@ -4,6 +4,8 @@ import numpy as np
 import xxhash
 
 from leaguelens.llm import simhash as S
+from leaguelens.llm.common import join_counted
+from leaguelens.llm.components import roots
 
 
 def slow_fingerprint(text):
@@ -96,3 +98,35 @@ def test_empty_and_nulls(spark):
     got = {(r.doc_id, r.component_id) for r in S.components(docs).collect()}
     assert got == {(5, 3), (3, 3), (None, 3)} or got == {(5, 3), (3, 3), (None, 3), (None, None)}
     assert len(S.keep_one(spark, docs, "").collect()) == 3
+
+
+def test_giant_component_and_hot_fingerprint(spark):
+    """A star, a path and copies in their thousands, against union-find."""
+    rng = np.random.default_rng(6)
+    edges = [(0, i) for i in range(1, 4000)] + [(10_000 + i, 10_001 + i) for i in range(300)] + [(50_000, int(i)) for i in rng.integers(50_001, 53_000, 4000)]
+    parent = {}
+
+    def top(x):
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        x, y = sorted((top(a), top(b)))
+        parent[y] = x
+    got = {r.node: r.root for r in roots(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {n: top(n) for n in parent}
+    left = spark.createDataFrame([(i % 5 if i % 3 else 9, i) for i in range(6000)], "k int, v int")
+    right = left.groupBy("k").count().withColumn("w", left["k"] * 2)
+    joined = join_counted(left, right, "k", "count", 6000)
+    assert joined.columns == ["k", "v", "w"] and sorted((r.v, r.k * 2 == r.w) for r in joined.collect()) == [(i, True) for i in range(6000)]
+
+
+def test_rows_that_share_a_doc_id(spark):
+    one, two, far = "a b c d e f g h i j k l", "q r s t u v w x y z 1 2", "5 6 7 8 9 10 11 12 13 14"
+    rows = [(1, one, 0), (1, two, 0), (1, two, 0), (4, one, 1), (5, two, 1), (6, far, 1), (6, far, 2), (8, far, 3)]
+    docs = spark.createDataFrame([(*r, "k", "i", "d", {"x": 1}) for r in rows], "doc_id long, text string, row int, _kept string, id string, doc string, root map<string,int>")
+    kept = S.keep_one(spark, docs, "")
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == sorted([(1, one), (1, two), (6, far)])

@@ -7,6 +7,17 @@ import pytest
 from leaguelens.llm import suffixdedup as D
 
 
+def windows_removed(data, seen):
+    """data without what is covered by windows in seen; its windows are added."""
+    gone = np.zeros(len(data), bool)
+    for s in range(len(data) - 99):
+        w = data[s : s + 100]
+        if w in seen:
+            gone[s : s + 100] = True
+        seen.add(w)
+    return bytes(np.frombuffer(data, np.uint8)[~gone])
+
+
 def slow(rows):
     """rows: (doc_id, text), no id twice. Every window against a dictionary of earlier ones."""
     seen, out = set(), {}
