@@ -12,16 +12,21 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leaguelens.llm.common import bounded_batches
+from leaguelens.llm.common import bounded_batches, partitions_for
 
 SAMPLES = 128
-#: Documents of a bucket of neighbours, and of a numpy batch inside it, about.
-BUCKET_ROWS, BATCH = 2000, 600
+#: Text bytes and rows of a bucket of neighbours, about, and buckets at most. A bucket is streamed, so it may be of any size.
+BUCKET_BYTES, BUCKET_ROWS, BUCKETS = 8 << 20, 2000, 1 << 16
+#: Rows drawn for each bucket to find its bounds.
+DRAWN = 16
+#: Documents and characters of a batch inside a task, about; different weighted terms for which prices are held at once.
+BATCH, BATCH_CHARS, HELD_TERMS = 600, 2_000_000, 200_000
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -42,6 +47,15 @@ def draws(terms: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return r, np.log(c), low(seed)
 
 
+def _offers(term: np.ndarray, weight: np.ndarray, first: int) -> np.ndarray:
+    """Price of each weighted term in each sample, in the upper half of a word whose lower half is the term's number."""
+    r, ln_c, b = draws(term[:, None], np.arange(SAMPLES, dtype=np.uint64))
+    t = np.floor(np.log(weight[:, None]) / r + b)
+    bits = (ln_c - r * (t - b + np.float32(1))).astype(np.float32).view(np.uint32)
+    bits = np.where(bits >> np.uint32(31), ~bits, bits | np.uint32(0x80000000))  # now ordered as the prices are
+    return bits.astype(np.uint64) << np.uint64(32) | np.arange(first, first + len(term), dtype=np.uint64)[:, None]
+
+
 def signatures(batch: list[str]) -> np.ndarray:
     """SAMPLES samples of 12 bits for each text, never 0; all 0 for a text without words."""
     known: dict[str, int] = {}
@@ -60,18 +74,25 @@ def signatures(batch: list[str]) -> np.ndarray:
     order = np.argsort(hashes)
     rank[order] = np.arange(len(hashes))
     pairs, of = np.unique(rank[np.concatenate(rows)] << 32 | np.concatenate(counts), return_inverse=True)
+    if len(pairs) > HELD_TERMS and len(batch) > 1:  # many different terms: fewer texts at a time
+        half = len(batch) // 2
+        return np.concatenate([signatures(batch[:half]), signatures(batch[half:])])
     term, weight = hashes[order][pairs >> 32], (pairs & 0xFFFFFFFF).astype(np.float32)
+    parts = ((at, _offers(term[at : at + 2048], weight[at : at + 2048], at)) for at in range(0, len(pairs), 2048))
+    if len(batch) == 1:  # one text, however long: only the least price so far is held
+        least = np.full(SAMPLES, np.uint64(0xFFFFFFFFFFFFFFFF))
+        for _, offers in parts:
+            least = np.minimum(least, offers.min(axis=0))
+        cheapest = [least]
+    else:
+        prices = np.empty((len(pairs), SAMPLES), np.uint64)
+        for at, offers in parts:
+            prices[at : at + 2048] = offers
+        cheapest = (prices[of[ends[i] : ends[i + 1]]].min(axis=0) if ends[i] < ends[i + 1] else None for i in range(len(batch)))
     every = np.arange(SAMPLES, dtype=np.uint64)
-    prices = np.empty((len(pairs), SAMPLES), np.uint64)
-    for at in range(0, len(pairs), 2048):
-        r, ln_c, b = draws(term[at : at + 2048, None], every)
-        t = np.floor(np.log(weight[at : at + 2048, None]) / r + b)
-        bits = (ln_c - r * (t - b + np.float32(1))).astype(np.float32).view(np.uint32)
-        bits = np.where(bits >> np.uint32(31), ~bits, bits | np.uint32(0x80000000))  # now ordered as the prices are
-        prices[at : at + 2048] = bits.astype(np.uint64) << np.uint64(32) | np.arange(at, at + len(r), dtype=np.uint64)[:, None]
-    for i in range(len(batch)):
-        if ends[i] < ends[i + 1]:
-            won = (prices[of[ends[i] : ends[i + 1]]].min(axis=0) & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    for i, least in enumerate(cheapest):
+        if least is not None:
+            won = (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
             r, _, b = draws(term[won], every)
             t = np.floor(np.log(weight[won]) / r + b)
             out[i] = _mixed(term[won] ^ _mixed(t.astype(np.int64).astype(np.uint64) + every)) % np.uint64(4095) + np.uint64(1)
@@ -87,34 +108,50 @@ def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a == b).mean(axis=1)
 
 
+_KEY = ["_null", "_id", "_text", "_row"]
+
+
+def _packed(columns: list) -> np.ndarray:
+    """Keys of _KEY as bytes that sort as the keys do."""
+    out = np.empty((len(columns[0]), 4), ">u8")
+    for k, c in enumerate(columns):
+        out[:, k] = np.asarray(c, np.int64).view(np.uint64) ^ np.uint64(1 << 63)
+    return out.view("S32").ravel()
+
+
 def neighbours(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text) with bucket and last: buckets are ranges of doc_id, the first one holding the largest. Each
-    bucket has one row more, marked by `last`: the document that follows its smallest, which after the last bucket is
-    the very first one. Rows without doc_id come last; a row's place among those of one doc_id is that of its text.
+    """docs (doc_id, text) with bucket and the columns of _KEY: buckets are ranges of the order in which documents follow
+    one another (falling doc_id, none last; among equal ones by the text's hash; equal rows as they come, so that however
+    many there are, they are dealt to several buckets). Each bucket has one row more, marked by `last`: the document that
+    follows its last one, which after the last bucket is the very first one.
 
-    Bounds come from ids alone, and a row finds its bucket by halving them; the texts are shuffled once.
+    Bounds come from a sample of keys, BUCKETS of them at most, which only decides how even the buckets are. The texts are
+    shuffled once.
     """
-    spark, ids = docs.sparkSession, docs.select("doc_id")
-    buckets = max(1, -(-ids.count() // BUCKET_ROWS))
-    known = ids.where("doc_id is not null")
-    bounds = sorted({int(x) for x in known.approxQuantile("doc_id", [i / buckets for i in range(1, buckets)], 0.25 / buckets)}, reverse=True) if buckets > 1 else []
-    steps = [1 << k for k in reversed(range(len(bounds).bit_length()))]
-    if bounds:
-        row = F.array(*map(F.lit, bounds))
-        found = F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda at, s: F.when((at + s <= len(bounds)) & (F.element_at(row, F.least(at + s, F.lit(len(bounds)))) >= F.col("doc_id")), at + s).otherwise(at))
-    else:
-        found = F.lit(0)
-    bucket = F.when(F.col("doc_id").isNull(), F.lit(len(bounds) + 1)).otherwise(found)
-    placed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), bucket.alias("bucket"))
-    tops = sorted((r.bucket, r.top) for r in placed.select("bucket", "doc_id").groupBy("bucket").agg(F.max("doc_id").alias("top")).collect())
+    spark = docs.sparkSession
+    own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    keyed = own.select(
+        "doc_id", "text", F.col("doc_id").isNull().cast("long").alias("_null"), F.bitwise_not(F.coalesce(F.col("doc_id").cast("long"), F.lit(0))).alias("_id"), F.xxhash64("text").alias("_text"), F.xxhash64(F.monotonically_increasing_id()).alias("_row")
+    )
+    n, size = own.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    buckets = min(BUCKETS, max(1, size // BUCKET_BYTES, n // BUCKET_ROWS))
+    drawn = keyed.select(*_KEY).sample(min(1.0, 2 * DRAWN * buckets / max(1, n)), 5).toArrow() if buckets > 1 else None
+    bounds = np.sort(_packed([drawn[c].to_numpy() for c in _KEY]))[:: 2 * DRAWN][1:] if buckets > 1 else np.zeros(0, "S32")
+    shared = spark.sparkContext.broadcast(bounds)  # BUCKETS keys of 32 bytes at most, about
+
+    @F.pandas_udf("int")
+    def bucket_of(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(shared.value, _packed([a, b, c, d]), "right").astype(np.int32))
+
+    placed = keyed.withColumn("bucket", bucket_of(*_KEY)) if len(bounds) else keyed.withColumn("bucket", F.lit(0))
+    tops = sorted((r.bucket, tuple(r.top)) for r in placed.groupBy("bucket").agg(F.min(F.struct(*_KEY[:3])).alias("top")).collect())
+    placed = placed.withColumn("last", F.lit(False))
     if not tops:
-        return placed.withColumn("last", F.lit(False))
-    # of each bucket (as many as bounds) the first document goes to the bucket before it
-    moved = spark.createDataFrame([(b, tops[k - 1][0]) for k, (b, _) in enumerate(tops)], "bucket int, before int")
-    heads = placed.where(F.col("doc_id").isin([t for _, t in tops if t is not None]) | (F.col("doc_id").isNull() & F.lit(tops[-1][1] is None)))
-    heads = heads.groupBy("bucket", "doc_id").agg(F.min("text").alias("text"))
-    heads = heads.join(F.broadcast(moved), "bucket").select("doc_id", "text", F.col("before").alias("bucket"), F.lit(True).alias("last"))
-    return placed.withColumn("last", F.lit(False)).unionByName(heads)
+        return placed
+    # the first document of each bucket goes to the bucket before, too
+    moved = spark.createDataFrame([(tops[k - 1][0], *top) for k, (_, top) in enumerate(tops)], "before int, _null long, _id long, _text long")
+    heads = keyed.join(F.broadcast(moved), _KEY[:3]).groupBy("before").agg(F.min_by(F.struct("doc_id", "text", *_KEY), "_row").alias("r"))
+    return placed.unionByName(heads.select("r.*", F.col("before").alias("bucket"), F.lit(True).alias("last")))
 
 
 def compare(docs: DataFrame) -> DataFrame:
@@ -122,32 +159,46 @@ def compare(docs: DataFrame) -> DataFrame:
 
     The edited text has its last floor(n_chars / 2) code points replaced by the first as many of the next document, in
     falling order of doc_id; by all of it, if it has fewer; after the last comes the first, so a single document is its
-    own next one. A null text is empty. Texts without words have the fingerprint of zeros and are fully alike. Repeated
-    rows follow one another. Further columns of docs are ignored; an empty table gives no rows.
+    own next one. A null text is empty. Texts without words have the fingerprint of zeros and are fully alike. Rows that
+    share a doc_id, or have none, follow one another by the hash of their text. Further columns of docs are ignored; an
+    empty table gives no rows.
     """
-    bounded_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession, 250)
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
-    def run(table: pa.Table) -> pa.Table:
-        rows = sorted(zip(table["last"].to_pylist(), table["doc_id"].to_pylist(), table["text"].to_pylist(), strict=True), key=lambda r: (r[0], r[1] is None, -(r[1] or 0), r[2]))
-        texts, n = [r[2] for r in rows], len(rows) - 1
-        edited = [t[: len(t) - len(t) // 2] + texts[i + 1][: len(t) // 2] for i, t in enumerate(texts[:n])]
-        every = [t for pair in zip(texts, edited, strict=False) for t in pair] + texts[n:]  # a text and its edited one share terms
-        signs = np.concatenate([signatures(every[at : at + BATCH]) for at in range(0, len(every), BATCH)])
+    def answers(ids: list, texts: list[str]) -> pa.RecordBatch:
+        """Of all but the last text."""
+        edited = [t[: len(t) - len(t) // 2] + texts[i + 1][: len(t) // 2] for i, t in enumerate(texts[:-1])]
+        every = [t for pair in zip(texts, edited, strict=False) for t in pair] + texts[-1:]  # a text and its edited one share terms
+        signs = signatures(every)
         own, new = signs[::2], signs[1::2]
-        return pa.table(
-            {
-                "doc_id": pa.array([r[1] for r in rows[:n]], pa.int64()),
-                "n_chars": pa.array([len(t) for t in texts[:n]], pa.int64()),
-                "edited_sha256": pa.array([hashlib.sha256(e.encode("utf-8", "surrogatepass")).hexdigest() for e in edited], pa.string()),
-                "fingerprint": pa.array([as_text(s) for s in own[:n]], pa.string()),
-                "edited_fingerprint": pa.array([as_text(s) for s in new], pa.string()),
-                "near_edited": pa.array(likeness(own[:n], new), pa.float64()),
-                "near_next": pa.array(likeness(own[:n], own[1:]), pa.float64()),
-            }
+        columns = (
+            pa.array(ids[:-1], pa.int64()),
+            pa.array([len(t) for t in texts[:-1]], pa.int64()),
+            pa.array([hashlib.sha256(e.encode("utf-8", "surrogatepass")).hexdigest() for e in edited], pa.string()),
+            pa.array([as_text(s) for s in own[:-1]], pa.string()),
+            pa.array([as_text(s) for s in new], pa.string()),
+            pa.array(likeness(own[:-1], new), pa.float64()),
+            pa.array(likeness(own[:-1], own[1:]), pa.float64()),
         )
-
-    return neighbours(docs).groupBy("bucket").applyInArrow(run, schema)
+        return pa.RecordBatch.from_arrays(list(columns), [c.split()[0] for c in schema.split(", ")])
+
+    def run(batches):
+        ids, texts, chars, now = [], [], 0, None
+        for batch in batches:
+            for bucket, last, doc_id, text in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                if bucket != now:  # the one before has ended with its `last` row
+                    ids, texts, chars, now = [], [], 0, bucket
+                ids.append(doc_id)
+                texts.append(text)
+                chars += len(text)
+                if len(texts) > 1 and (last or len(texts) > BATCH or chars > BATCH_CHARS):
+                    yield answers(ids, texts)
+                    ids, texts, chars = ids[-1:], texts[-1:], len(texts[-1])
+
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ordered = neighbours(docs).repartition(partitions_for(docs.sparkSession, size, 16e6), "bucket").sortWithinPartitions("bucket", "last", *_KEY)
+    return ordered.select("bucket", "last", "doc_id", "text").mapInArrow(run, schema)
 
 
 def op5_weighted_sampling(spark, sf_dir: str) -> DataFrame:
