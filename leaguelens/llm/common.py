@@ -84,3 +84,18 @@ def stretches(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     starts = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
     return starts, np.append(starts[1:], len(values))
+
+
+def join_counted(left: DataFrame, right: DataFrame, key: str, n: str, total: int) -> DataFrame:
+    """left joined with right on key; right has one row for each key, whose column n (left out of the result) tells how
+    many of the `total` rows of left have it.
+
+    Keys with a thousandth of the rows or more are under a thousand, so those are broadcast; the others, none of which
+    fills a task, are shuffled.
+    """
+    least = max(200, total // 1000 + 1)
+    cold = right.where(F.col(n) < least).drop(n)
+    if total < least:
+        return left.join(cold, key)
+    hot = F.broadcast(right.where(F.col(n) >= least).drop(n))
+    return left.join(hot, key).unionByName(left.join(F.broadcast(right.where(F.col(n) >= least).select(key)), key, "left_anti").join(cold, key))

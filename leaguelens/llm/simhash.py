@@ -26,8 +26,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, VariantType
 
-from leaguelens.llm.common import bounded_batches, checkpointed, partitions_for, stretches
+from leaguelens.llm.common import bounded_batches, checkpointed, join_counted, partitions_for, stretches
 from leaguelens.llm.components import roots
 
 SHINGLE = 4
@@ -191,10 +192,15 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
 
 
+#: Order of a fingerprint all of whose rows have no doc_id.
+_NO_ID = (1 << 63) - 1
+
+
 def near_links(fps: DataFrame, buckets: int) -> DataFrame:
-    """Links (a, b) between different fingerprints of fps (fp, without repeats) that suffice for its components.
+    """Links (a, b) between different fingerprints that suffice for their components; nodes are structs (first, fp).
 
-    Keys travel as arrays, a row for each bucket of keys and 50,000 fingerprints, and meet in groups of one bucket.
+    fps (fp, first) without repeats. Keys travel as arrays, a row for each bucket of keys and 50,000 fingerprints, and
+    meet in groups of one bucket.
     """
 
     def emit(batches):
@@ -202,16 +208,16 @@ def near_links(fps: DataFrame, buckets: int) -> DataFrame:
 
         def flush():
             own = np.concatenate(held)
-            row, key = keys_of(own, code)
+            row, key = keys_of(own[:, 0].view(np.uint64), code)
             bucket = ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % buckets
             order = np.argsort(bucket, kind="stable")
             row, key, bucket = row[order], key[order], bucket[order]
             cut, end = stretches(bucket)
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(bucket[cut]), pa.array([key[a:b].tobytes() for a, b in zip(cut, end, strict=True)], pa.binary()), pa.array([own[row[a:b]].tobytes() for a, b in zip(cut, end, strict=True)], pa.binary())], ["bucket", "keys", "fps"])
+            return pa.RecordBatch.from_arrays([pa.array(bucket[cut]), pa.array([key[a:b].tobytes() for a, b in zip(cut, end, strict=True)], pa.binary()), pa.array([own[row[a:b]].tobytes() for a, b in zip(cut, end, strict=True)], pa.binary())], ["bucket", "keys", "nodes"])
 
         for batch in batches:
-            held.append(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64))
+            held.append(np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1)], axis=1))
             if sum(map(len, held)) >= 50_000:
                 yield flush()
         if sum(map(len, held)):
@@ -219,10 +225,30 @@ def near_links(fps: DataFrame, buckets: int) -> DataFrame:
 
     def meet(table: pa.Table) -> pa.Table:
         keys = np.frombuffer(b"".join(table["keys"].to_pylist()), np.int64)
-        found = links(keys, np.frombuffer(b"".join(table["fps"].to_pylist()), np.uint64)).view(np.int64)
-        return pa.table({"a": found[:, 0], "b": found[:, 1]})
+        nodes = np.frombuffer(b"".join(table["nodes"].to_pylist()), np.int64).reshape(-1, 2)
+        fp = np.ascontiguousarray(nodes[:, 0]).view(np.uint64)
+        found = links(keys, fp)
+        unique, at = np.unique(fp, return_index=True)
+        first = nodes[at, 1][np.searchsorted(unique, found)]
+        ends = [pa.StructArray.from_arrays([pa.array(first[:, k]), pa.array(np.ascontiguousarray(found[:, k]).view(np.int64))], ["first", "fp"]) for k in (0, 1)]
+        return pa.table({"a": ends[0], "b": ends[1]})
+
+    node = "struct<first: long, fp: long>"
+    return fps.select("fp", "first").mapInArrow(emit, "bucket long, keys binary, nodes binary").groupBy("bucket").applyInArrow(meet, f"a {node}, b {node}")
 
-    return fps.mapInArrow(emit, "bucket long, keys binary, fps binary").groupBy("bucket").applyInArrow(meet, "a long, b long")
+
+def named(own: DataFrame) -> DataFrame:
+    """fp, root (struct first, fp: the node of the component's smallest doc_id), n of each fingerprint of own (doc_id, fp).
+
+    Nodes are ordered by their smallest doc_id, so that the root of a component tells its name without a look-up.
+    """
+    spark = own.sparkSession
+    single = own.groupBy("fp").agg(F.coalesce(F.min("doc_id"), F.lit(_NO_ID)).alias("first"), F.count("*").alias("n"))
+    size = own.count()
+    parts = partitions_for(spark, size * 45 * 24, 32e6)
+    spread = single.select("fp", "first").repartition(max(1, min(parts, size // 20_000 + 1)))
+    top = roots(near_links(spread, max(64, 4 * parts))).select(F.col("node.fp").alias("fp"), "root")
+    return single.join(top, "fp", "left").select("fp", F.coalesce("root", F.struct("first", "fp")).alias("root"), "n")
 
 
 def components(docs: DataFrame) -> DataFrame:
@@ -232,18 +258,10 @@ def components(docs: DataFrame) -> DataFrame:
     and equal texts share a component. A null or blank text has fingerprint zero and is linked like any other; a null
     doc_id is never a component_id unless its component has no other. An empty table gives no rows.
     """
-    spark = docs.sparkSession
     own = checkpointed(fingerprints(docs))
-    single = own.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
     size = own.count()
-    parts = partitions_for(spark, size * 45 * 16, 32e6)
-    spread = single.select("fp").repartition(max(1, min(parts, size // 20_000 + 1)))
-    top = roots(near_links(spread, max(64, 4 * parts)))
-    linked = single.join(top, single.fp == top.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = linked.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = linked.join(least, "root").select("fp", "component_id")
-    # Copies share a fingerprint, so this join has heavy keys on its left; each side is a plain exchange that AQE splits.
-    out = own.join(named, "fp")
+    by_fp = named(own).select("fp", F.expr(f"nullif(root.first, {_NO_ID})").alias("component_id"), "n")
+    out = join_counted(own, by_fp, "fp", "n", size)  # copies share a fingerprint
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -255,9 +273,30 @@ def op2_simhash_golay(spark, sf_dir: str) -> DataFrame:
 def keep_one(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each component the row with the smallest doc_id; same columns.
 
-    Of rows that share a doc_id one stays. A row without doc_id can't be told from others, so it stays.
+    Rows that share a doc_id are told apart by their fingerprints: of those that have the component's smallest doc_id the
+    one with the fingerprint that comes first stays, of several such the one with the least hash of its columns. A row
+    without doc_id can't be told from others, so it stays.
     """
-    first = components(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    named = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
-    kept = named.join(first, F.col("doc_id") == F.col("_kept"), "left_semi")
-    return kept.unionByName(docs.where("doc_id is null"))
+    own = checkpointed(fingerprints(docs))
+    first = named(own).select("root").distinct().where(F.col("root.first") != _NO_ID).select(F.col("root.first").alias("id"), F.col("root.fp").alias("own_fp"))
+    many = checkpointed(own.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("id")))
+    first = checkpointed(first)
+    once = first.join(many, "id", "left_anti")
+    kept = docs.join(once, docs["doc_id"] == once["id"], "left_semi").unionByName(docs.where("doc_id is null"))
+    if many.isEmpty():
+        return kept
+    # Rows of repeated ids: their fingerprints are taken again and compared with that of the component.
+    some = docs.join(many, docs["doc_id"] == many["id"], "left_semi")
+    packed = some.select(F.col("doc_id").alias("doc"), "text", F.struct(*(docs[c] for c in docs.columns)).alias("row"))
+    at = packed.schema.fieldNames().index("text")
+
+    def run(batches):
+        for batch in batches:
+            fps = np.array([fingerprint(t) for t in batch.column(at).to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps), batch.column(2)], ["doc", "fp", "row"])
+
+    tagged = packed.mapInArrow(run, f"doc long, fp long, row {packed.schema['row'].dataType.simpleString()}")
+    plain = [f"row.`{f.name}`" for f in docs.schema.fields if not isinstance(f.dataType, (MapType, VariantType))]
+    one = tagged.groupBy("doc", "fp").agg(F.min_by("row", F.xxhash64(*plain)).alias("row"))
+    one = one.join(first, (one["doc"] == first["id"]) & (one["fp"] == first["own_fp"]), "left_semi")
+    return kept.unionByName(one.select("row.*"))
