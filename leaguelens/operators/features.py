@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from leaguelens.functions import scalars as S
 from leaguelens.operators import ratings, running
 
-BLOWOUT = 0.75
+#: Share of the largest score that makes a clear win, and the scale where a match type has no largest score.
+BLOWOUT, NO_SCORE = 0.75, 10.0
 ANTI, SYM = 20, 6
 #: Columns of a side besides its keys.
 SIDE = (
@@ -16,12 +17,20 @@ SIDE = (
 ).split()
 
 
-def side_features(sides: DataFrame, trajectory: DataFrame, max_score: float = 370.0) -> DataFrame:
+def margin_scale(max_score):
+    """FEA-3: what margins are divided by: the match type's largest score, or NO_SCORE where it has none."""
+    c = S.col(max_score)
+    return F.when(c > 0, c).otherwise(F.lit(NO_SCORE)).cast("double")
+
+
+def side_features(sides: DataFrame, trajectory: DataFrame, max_score: float | str = 370.0) -> DataFrame:
     """FEA-1 and FEA-2: one row per side of a rated board with the features before its round.
 
-    Walkover boards count for the seat, hall and league means of entry ratings and for the walkovers received only.
+    max_score: the match type's largest score, a number or a column of sides. Walkover boards count for the seat, hall and league means of entry ratings and for the walkovers received only.
     """
-    keys = ["match_id", "side", "player_id", "hall_id", "seat", "year", "round_order", "seq", "rated", "participation_type", "score", "outcome", "opp_player_id", "opp_hall_id", "opp_score", "opp_participation_type"]
+    scale = margin_scale(max_score if isinstance(max_score, str) else F.lit(max_score))
+    sides = sides.withColumn("max_score_norm", scale / 10)
+    keys = ["match_id", "max_score_norm", "side", "player_id", "hall_id", "seat", "year", "round_order", "seq", "rated", "participation_type", "score", "outcome", "opp_player_id", "opp_hall_id", "opp_score", "opp_participation_type"]
     real = sides.where("player_id <> 'WLKOVR'").select(*keys)
     entry = ratings.entry_states(real, trajectory)
     seat = running.running_over_rounds(entry.where("seat is not null"), ["hall_id", "seat"], "rating", ("_ss", "_sn"))
@@ -31,7 +40,7 @@ def side_features(sides: DataFrame, trajectory: DataFrame, max_score: float = 37
     frame = lambda n: Window.partitionBy("player_id").orderBy("seq").rowsBetween(-n, -1)
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     counted = entry.withColumn("walkovers_received", F.count_if(~F.col("rated")).over(before("player_id")))
-    r = counted.where("rated").withColumn("_m", (F.col("score") - F.col("opp_score")) / max_score)
+    r = counted.where("rated").withColumn("_m", (F.col("score") - F.col("opp_score")) / (F.col("max_score_norm") * 10))
     opp = r.select("match_id", F.col("player_id").alias("opp_player_id"), F.col("rating").alias("_opp_rating"))
     r = r.join(opp, ["match_id", "opp_player_id"])
     r = r.withColumn("_met", F.count("*").over(Window.partitionBy("player_id", "opp_hall_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)))
@@ -67,11 +76,11 @@ def side_features(sides: DataFrame, trajectory: DataFrame, max_score: float = 37
     ).drop("_ss", "_sn", "_hs", "_hn", "_ls", "_ln", "_opp_mean")
 
 
-def boards(features: DataFrame, max_score: float = 370.0) -> DataFrame:
+def boards(features: DataFrame) -> DataFrame:
     """FEA-1 and FEA-3: one row per rated board with both sides as structs a and b, a being the smaller player_id."""
     s = F.struct("player_id", "hall_id", "outcome", "participation_type", *SIDE)
-    two = features.groupBy("match_id", "year", "round_order", "seq").agg(F.array_sort(F.collect_list(s)).alias("two")).where(F.size("two") == 2)
-    return two.select("match_id", "year", "round_order", "seq", F.col("two")[0].alias("a"), F.col("two")[1].alias("b"), F.col("two")[0]["outcome"].alias("outcome_a"), F.lit(max_score / 10).alias("max_score_norm"))
+    two = features.groupBy("match_id", "year", "round_order", "seq", "max_score_norm").agg(F.array_sort(F.collect_list(s)).alias("two")).where(F.size("two") == 2)
+    return two.select("match_id", "year", "round_order", "seq", F.col("two")[0].alias("a"), F.col("two")[1].alias("b"), F.col("two")[0]["outcome"].alias("outcome_a"), "max_score_norm")
 
 
 def effective(side: str, n0: float):

@@ -15,7 +15,11 @@ from pyspark.sql import functions as F
 
 from leaguelens.operators.running import recency_weight
 
-SEATS, SMOOTHING, ORDERINGS, POOL = 5, 0.02, 24, 12
+SEATS, SMOOTHING, ORDERINGS = 5, 0.02, 24
+#: A pool of more players than the first is cut to the second.
+PRUNE_OVER, POOL = 16, 12
+#: Chance from which a board is favoured, and the gap to the worst case from which a lineup is fragile.
+FAVOURED, FRAGILE = 0.5, 0.15
 
 
 def permutations(n: int = SEATS) -> Column:
@@ -63,43 +67,162 @@ def team_result(boards: Column) -> Column:
     return F.struct(total(F.slice(d, SEATS + 2, SEATS)).alias("win"), F.element_at(d, SEATS + 1).alias("tie"), total(F.slice(d, 1, SEATS)).alias("loss"))
 
 
-def best_response(pairs: DataFrame, nominal: DataFrame, orderings: DataFrame, probability) -> DataFrame:
-    """LIN-8 and LIN-11: for each pair (hall_id, opp_hall_id) our order of most expected wins over the opponent's likely
-    orders, and the order whose worst case is best; ties go to the smaller array of ids.
-
-    nominal: hall_id, team: an array of five structs with player_id and what probability needs. orderings: hall_id,
-    ordering (an array of such structs by seat), probability. probability(ours, theirs, seat) gives struct (p_win, p_draw).
+def pool(players: DataFrame) -> DataFrame:
+    """The players of each hall that a lineup may be made of: hall_id, player_id, rating and further columns of players;
+    of more than PRUNE_OVER the POOL best."""
+    w = Window.partitionBy("hall_id")
+    n = F.row_number().over(w.orderBy(F.col("rating").desc(), "player_id"))
+    out = players.withColumns({"_n": n, "_of": F.count("*").over(w)})
+    return out.where((F.col("_of") >= SEATS) & ((F.col("_of") <= PRUNE_OVER) | (F.col("_n") <= POOL))).drop("_n", "_of")
+
+
+def tensor(met: DataFrame, ours: DataFrame, theirs: DataFrame, columns: list[str]) -> DataFrame:
+    """LIN-5: each player of ours against each of theirs at each seat, for many pairs of halls: hall_id, opp_hall_id,
+    player_id, opp_player_id, seat and structs a and b of `columns` with that seat."""
+    side = lambda df, hall, player, s: df.select(F.col("hall_id").alias(hall), F.col("player_id").alias(player), F.struct(*columns).alias(s))
+    both = met.join(side(ours, "hall_id", "player_id", "a"), "hall_id").join(side(theirs, "opp_hall_id", "opp_player_id", "b"), "opp_hall_id")
+    t = both.withColumn("seat", F.explode(F.sequence(F.lit(1), F.lit(SEATS))))
+    return t.withColumns({s: F.col(s).withField("seat", F.col("seat")) for s in "ab"}) if "seat" in columns else t
+
+
+def candidates(players: DataFrame) -> DataFrame:
+    """LIN-6: hall_id, lineup (array of ids by seat): every order of every five of a hall's pool."""
+    spark = players.sparkSession
+    few = [(n, list(c)) for n in range(SEATS, PRUNE_OVER + 1) for c in itertools.combinations(range(n), SEATS)]
+    index = F.broadcast(spark.createDataFrame(few, "n int, c array<int>"))  # fixed size: subsets of up to PRUNE_OVER
+    teams = pool(players).groupBy("hall_id").agg(F.array_sort(F.collect_list("player_id")).alias("ids")).withColumn("n", F.size("ids"))
+    five = teams.join(index, "n").select("hall_id", F.transform("c", lambda i: F.get("ids", i)).alias("five"))
+    return five.select("hall_id", F.explode(permutations()).alias("p"), "five").select("hall_id", F.transform("p", lambda i: F.get("five", i)).alias("lineup"))
+
+
+class Search:
+    """All lineups of a pool of n players as a tree of seats: the players of a level's prefixes and their parents."""
+
+    def __init__(self, n: int) -> None:
+        rows, self.levels = np.zeros((1, 0), np.int16), []
+        for _ in range(SEATS):
+            taken = np.zeros((len(rows), n), bool)
+            np.put_along_axis(taken, rows.astype(np.int64), True, axis=1)
+            parent, player = np.nonzero(~taken)  # in order, so that ties go to the smaller ids
+            rows = np.concatenate([rows[parent], player[:, None].astype(np.int16)], axis=1)
+            self.levels.append((parent, player))
+        self.lineups = rows
+
+    def wins(self, w: np.ndarray, d: np.ndarray, orders: np.ndarray) -> np.ndarray:
+        """Probability to win of each lineup against each order; w, d: player x opponent x seat. Prefixes share their
+        half-point distribution, and of the last seat only what tips the balance is added up."""
+        state = np.ones((1, len(orders), 1))
+        for s, (parent, player) in enumerate(self.levels[:-1]):
+            win, draw = (x[player][:, orders[:, s], s][:, :, None] for x in (w, d))
+            old = state[parent]
+            state = np.zeros((len(parent), len(orders), old.shape[2] + 2))
+            state[:, :, :-2] += old * (1 - win - draw)
+            state[:, :, 1:-1] += old * draw
+            state[:, :, 2:] += old * win
+        parent, player = self.levels[-1]
+        win, draw = (x[player][:, orders[:, SEATS - 1], SEATS - 1] for x in (w, d))
+        tail = [state[:, :, k:].sum(axis=2)[parent] for k in (SEATS - 1, SEATS, SEATS + 1)]
+        return win * tail[0] + draw * tail[1] + (1 - win - draw) * tail[2]
+
+
+def team_results(w: np.ndarray, d: np.ndarray, lineup: np.ndarray, orders: np.ndarray) -> np.ndarray:
+    """LIN-7 in a task: win, tie and loss of one lineup against each order."""
+    state = np.zeros((len(orders), 2 * SEATS + 1))
+    state[:, 0] = 1
+    for s in range(SEATS):
+        win, draw = w[lineup[s], orders[:, s], s][:, None], d[lineup[s], orders[:, s], s][:, None]
+        new = state * (1 - win - draw)
+        new[:, 1:] += state[:, :-1] * draw
+        new[:, 2:] += state[:, :-2] * win
+        state = new
+    return np.stack([state[:, SEATS + 1 :].sum(axis=1), state[:, SEATS], state[:, :SEATS].sum(axis=1)], axis=1)
+
+
+# Whom our players, strongest first, are set against by rank.
+ARCHETYPES = (("mirror", (0, 1, 2, 3, 4)), ("single sacrifice", (1, 2, 3, 4, 0)), ("double sacrifice", (2, 3, 4, 1, 0)))
+
+
+def search(cells: DataFrame) -> DataFrame:
+    """LIN-8, LIN-9 and LIN-11: for each pair of halls the lineup of most expected wins over the opponent's likely orders,
+    the one whose worst case is best, and the fixed patterns; ties, to nine places, go to the smaller array of ids.
+
+    cells: hall_id, opp_hall_id, ids, ratings (our pool, sorted by id), opp_ids, opp_ratings (their five, sorted by id),
+    orders (array of arrays of ids by seat, likeliest first), shares, and p_win, p_draw: flat arrays of our player x
+    theirs x seat, or x 1 if the seat doesn't matter. boards: the best lineup's chances against the likeliest order.
     """
-    # Per pair a table of 5 x ORDERINGS x 5 board probabilities is built by expressions; a task then runs the 120 orders
-    # of many pairs through LIN-7's recurrence as arrays.
-    lists = orderings.groupBy("hall_id").agg(F.collect_list(F.struct("ordering", "probability")).alias("_o")).withColumnRenamed("hall_id", "opp_hall_id")  # ORDERINGS rows
-    met = pairs.join(nominal, "hall_id").join(lists, "opp_hall_id")
-    cell = F.flatten(F.flatten(F.transform("_o", lambda o: F.transform(o["ordering"], lambda b, seat: F.transform("team", lambda a: probability(a, b, seat))))))
-    table = met.withColumn("_c", cell).select("hall_id", "opp_hall_id", F.transform("team", lambda a: a["player_id"]).alias("ids"), F.transform("_o", lambda o: o["probability"]).alias("share"), F.transform("_c", lambda c: c["p_win"]).alias("w"), F.transform("_c", lambda c: c["p_draw"]).alias("d"))
-    schema = "hall_id long, opp_hall_id long, expected_win double, best_lineup array<string>, safe_win double, safe_lineup array<string>"
+    names = ["ids", "ratings", "opp_ids", "opp_ratings", "orders", "shares", "p_win", "p_draw"]
+    one = "lineup: array<string>, win: double, tie: double, loss: double"
+    schema = f"hall_id long, opp_hall_id long, n_candidates long, best struct<{one}, worst: double>, safe struct<{one}, worst: double>, boards array<double>, patterns array<struct<name: string, {one}>>"
 
     def run(batches):
-        every = list(itertools.permutations(range(SEATS)))
+        trees: dict[int, Search] = {}
         for batch in batches:
-            rows = []
-            for hall, opp, ids, share, w, d in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
-                orders = np.array(sorted(every, key=lambda p: [ids[i] for i in p]))  # noqa: B023  ties go to the smaller ids
-                share = np.array(share)
-                w, d = (np.array(x).reshape(len(share), SEATS, SEATS)[:, np.arange(SEATS), orders] for x in (w, d))
-                state = np.zeros((*w.shape[:2], 2 * SEATS + 1))
-                state[..., 0] = 1
-                for k in range(SEATS):
-                    win, draw = w[..., k, None], d[..., k, None]
-                    new = state * (1 - win - draw)
-                    new[..., 1:] += state[..., :-1] * draw
-                    new[..., 2:] += state[..., :-2] * win
-                    state = new
-                won = state[..., SEATS + 1 :].sum(axis=-1)
-                expected, worst = np.round((won * share[:, None]).sum(axis=0) / share.sum(), 9), np.round(won.min(axis=0), 9)
-                e, s = int(expected.argmax()), int(worst.argmax())
-                rows.append((hall, opp, float(expected[e]), [ids[i] for i in orders[e]], float(worst[s]), [ids[i] for i in orders[s]]))
-            columns = list(zip(*rows, strict=True)) if rows else [()] * 6
-            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.string()), pa.float64(), pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], ["hall_id", "opp_hall_id", "expected_win", "best_lineup", "safe_win", "safe_lineup"])
-
-    return table.mapInArrow(run, schema)
+            out = []
+            for hall, opp, ids, ratings, opp_ids, opp_ratings, orders, shares, w, d in zip(*(batch.column(k).to_pylist() for k in range(10)), strict=True):
+                n = len(ids)
+                tree = trees[n] = trees.get(n) or Search(n)
+                w, d = (np.broadcast_to(np.array(x).reshape(n, SEATS, -1), (n, SEATS, SEATS)) for x in (w, d))
+                seat_of = {p: k for k, p in enumerate(opp_ids)}
+                order = np.array([[seat_of[p] for p in o] for o in orders])
+                share = np.array(shares) / sum(shares) if sum(shares) > 0 else np.full(len(order), 1 / len(order))
+                won = tree.wins(w, d, order)
+                expected, worst = np.round(won @ share, 9), np.round(won.min(axis=1), 9)
+
+                def told(lineup, w=w, d=d, order=order, share=share, ids=ids):
+                    r = team_results(w, d, lineup, order)
+                    win, tie, loss = (float(x) for x in np.round(share @ r, 9))
+                    return {"lineup": [ids[i] for i in lineup], "win": win, "tie": tie, "loss": loss, "worst": float(np.round(r[:, 0].min(), 9))}
+
+                best, safe = tree.lineups[int(expected.argmax())], tree.lineups[int(worst.argmax())]
+                strong = sorted(range(n), key=lambda i: (-ratings[i], ids[i]))[:SEATS]  # noqa: B023
+                rank = sorted(range(SEATS), key=lambda i: (-opp_ratings[i], opp_ids[i]))  # noqa: B023
+                seats = [int(np.flatnonzero(order[0] == i)[0]) for i in rank]
+                patterns = [{"name": "strength order", **told(strong)}]
+                for name, against in ARCHETYPES:
+                    lineup = [0] * SEATS
+                    for r, other in enumerate(against):
+                        lineup[seats[other]] = strong[r]
+                    patterns.append({"name": name, **told(lineup)})
+                patterns.append({"name": "free optimum", **told(best)})
+                out.append((hall, opp, len(tree.lineups), told(best), told(safe), [float(w[best[s], order[0][s], s]) for s in range(SEATS)], patterns))
+            columns = [list(c) for c in zip(*out, strict=True)] if out else [[]] * 7
+            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(columns, kinds, strict=True)], schema=kinds)
+
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    kinds = to_arrow_schema(StructType.fromDDL(schema))
+    return cells.select("hall_id", "opp_hall_id", *names).mapInArrow(run, schema)
+
+
+def cells(met: DataFrame, ours: DataFrame, theirs: DataFrame, orderings: DataFrame, chances: DataFrame | None = None, probability=None) -> DataFrame:
+    """The rows of search for pairs (hall_id, opp_hall_id); chances: the tensor with p_win and p_draw, or else
+    probability(rating, other rating), a struct of them for a pair of players at any seat."""
+    team = lambda df, hall, ids: df.groupBy("hall_id").agg(F.array_sort(F.collect_list(F.struct("player_id", "rating"))).alias("_t")).select(F.col("hall_id").alias(hall), F.col("_t.player_id").alias(ids), F.col("_t.rating").alias(ids.replace("ids", "ratings")))
+    o = orderings.groupBy("hall_id").agg(F.array_sort(F.collect_list(F.struct("n", "ordering", "probability"))).alias("_o"))  # ORDERINGS rows
+    o = o.select(F.col("hall_id").alias("opp_hall_id"), F.col("_o.ordering").alias("orders"), F.col("_o.probability").alias("shares"))
+    both = met.join(team(ours, "hall_id", "ids"), "hall_id").join(team(theirs, "opp_hall_id", "opp_ids"), "opp_hall_id").join(o, "opp_hall_id").where(F.size("opp_ids") == SEATS)
+    if chances is None:
+        flat = F.flatten(F.transform("ratings", lambda a: F.transform("opp_ratings", lambda b: probability(a, b))))
+        return both.withColumn("_c", flat).withColumns({p: F.col(f"_c.{p}") for p in ("p_win", "p_draw")})
+    each = chances.groupBy("hall_id", "opp_hall_id").agg(F.array_sort(F.collect_list(F.struct("player_id", "opp_player_id", "seat", "p_win", "p_draw"))).alias("_c"))  # PRUNE_OVER x 5 x 5
+    return both.join(each, ["hall_id", "opp_hall_id"]).withColumns({p: F.col(f"_c.{p}") for p in ("p_win", "p_draw")})
+
+
+def explained(boards: Column) -> Column:
+    """LIN-10: struct (sacrifice, sacrifice_win, favoured) of a lineup's chances by seat: the seat of the lowest chance if
+    that is below a half, else null, and the other seats with a half or more; seats count from 1."""
+    low = F.array_min(boards)
+    worst = F.array_position(boards, low).cast("int")
+    favoured = F.filter(F.transform(boards, lambda p, i: F.when((p >= FAVOURED) & (i + 1 != worst), i + 1)), lambda i: i.isNotNull())
+    return F.struct(F.when(low < FAVOURED, worst).alias("sacrifice"), low.alias("sacrifice_win"), favoured.alias("favoured"))
+
+
+def reactivity(played: DataFrame) -> DataFrame:
+    """AGG-18: hall_id, reactivity, rematches: the share of a hall's meetings with an opponent in which its players sat
+    otherwise than in the meeting before; null for a hall without a second meeting."""
+    seats = played.where("seat is not null").groupBy("hall_id", "opp_hall_id", "seq").agg(F.array_sort(F.collect_list(F.struct("seat", "player_id"))).alias("map"))
+    before = F.lag("map").over(Window.partitionBy("hall_id", "opp_hall_id").orderBy("seq"))
+    m = seats.withColumn("before", before)
+    changed = F.when(F.col("before").isNotNull(), (F.col("map") != F.col("before")).cast("double"))
+    return m.groupBy("hall_id").agg(F.avg(changed).alias("reactivity"), F.count(changed).alias("rematches"))

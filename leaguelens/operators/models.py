@@ -24,9 +24,14 @@ def draw_rate(b: DataFrame) -> float:
 
 def baseline(b: DataFrame, draws: float) -> DataFrame:
     """MDL-1: p_win, p_draw, p_loss from the ratings alone."""
+    return baseline_by(b, F.lit(draws))
+
+
+def baseline_by(b: DataFrame, draws: Column) -> DataFrame:
+    """MDL-1 with a share of draws of each board's own."""
     e = S.sigmoid(S.combined_g("a.rd", "b.rd") * (F.col("a.rating") - F.col("b.rating")) / S.SCALE)
-    win = F.greatest(F.lit(0.0), F.least(F.lit(1 - draws), e - draws / 2))
-    return b.withColumns({"p_win": win, "p_draw": F.lit(draws), "p_loss": 1 - draws - win})
+    win = F.greatest(F.lit(0.0), F.least(1 - draws, e - draws / 2))
+    return b.withColumns({"p_win": win, "p_draw": draws, "p_loss": 1 - draws - win})
 
 
 @dataclass
@@ -62,7 +67,7 @@ def _newton(rows: DataFrame, ridge: float, free: int, steps: int = 25) -> np.nda
             g, h = np.zeros(size), np.zeros((size, size))
             for batch in batches:
                 if batch.num_rows:
-                    x = np.array(batch.column(0).to_pylist(), float)
+                    x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
                     y = batch.column(1).to_numpy(zero_copy_only=False)
                     p = 1 / (1 + np.exp(-np.clip(x @ now, -30, 30)))
                     g += x.T @ (p - y)
@@ -109,16 +114,40 @@ def burn_in(b: DataFrame) -> int:
     return max(10, rounds[0].n) if len(rounds) > 1 else 10
 
 
-def walk_forward(b: DataFrame, fit_predict: dict, rounds: list[int], stride: int = 1) -> DataFrame:
-    """MDL-10: predictions of each round by models fitted on the rounds before it; models are refitted every `stride`
-    rounds. fit_predict: name -> function of (training boards, boards to predict)."""
-    out = None
-    for k in range(0, len(rounds), stride):
-        now = rounds[k : k + stride]
-        train, test = b.where(F.col("seq") < now[0]), b.where(F.col("seq").isin(now))
-        for name, f in fit_predict.items():
-            p = f(train, test).select(F.lit(name).alias("model"), "match_id", "seq", F.col("outcome_a").alias("outcome"), "p_win", "p_draw", "p_loss")
-            out = p if out is None else out.unionByName(p)
+@dataclass(frozen=True)
+class Candidate:
+    """MDL-11 and EXT-2: a configuration of a family; further ones may be added to a grid."""
+
+    name: str
+    family: str
+    n0: float = 0.0
+    ridge: float = 0.0
+    dim: int = 0
+
+
+BASELINE, LOGISTIC, BOOSTED = "baseline", "logistic", "gbm"
+# The weights and ridges that are tried.
+GRID = (
+    Candidate("baseline", BASELINE),
+    *(Candidate(f"logistic n0={n0:g} ridge={ridge:g}", LOGISTIC, float(n0), float(ridge)) for n0 in (3, 6, 12) for ridge in (0.3, 1, 3)),
+    *(Candidate(f"gbm n0={n0:g} ridge={ridge:g}", BOOSTED, float(n0), float(ridge)) for n0 in (6, 12) for ridge in (1, 3)),
+)
+
+
+def walk_forward(b: DataFrame, grid: tuple[Candidate, ...], rounds: list[int]) -> DataFrame:
+    """MDL-10 and MDL-11: predictions of each of `rounds` by every candidate, fitted anew on all rounds before it:
+    model, match_id, seq, outcome, p_win, p_draw, p_loss. All fits of a family share their jobs."""
+    from leaguelens.operators import boosting, folds
+
+    out = folds.baseline_rounds(b, rounds) if any(c.family == BASELINE for c in grid) else None
+    join = lambda p: p if out is None else out.unionByName(p)
+    own = [(c.name, c.n0, c.ridge) for c in grid if c.family == LOGISTIC]
+    if own:
+        rows = folds.table(b, tuple(sorted({w for _, w, _ in own})))
+        out = join(folds.predict_rounds(rows, folds.fit_rounds(rows, own, rounds)))
+    own = [(c.name, c.n0, c.ridge) for c in grid if c.family == BOOSTED]
+    if own:
+        out = join(boosting.predict_rounds(*boosting.fit_rounds(b, own, rounds)))
     return out
 
 
@@ -133,10 +162,10 @@ def prediction_log(p: DataFrame) -> DataFrame:
 
 def champion(quality: DataFrame, base: str, least: int = 50) -> DataFrame:
     """MDL-12: of the models with at least `least` predicted boards and a Brier score strictly below the baseline's the
-    best; no row if there is none. Ties go to the earlier name."""
+    best; no row if there is none. Ties go to the earlier name. Quality has a row for each model of a grid."""
     b = quality.where(F.col("model") == base).select(F.col("brier").alias("_base"))
-    better = quality.where(F.col("model") != base).crossJoin(F.broadcast(b)).where((F.col("boards") >= least) & (F.col("brier") < F.col("_base")))  # one baseline row
-    return better.withColumn("_n", F.row_number().over(Window.orderBy("brier", "model"))).where("_n = 1").drop("_n", "_base")
+    better = quality.where(F.col("model") != base).join(F.broadcast(b), (F.col("boards") >= least) & (F.col("brier") < F.col("_base")))  # one baseline row
+    return better.drop("_base").orderBy("brier", "model").limit(1)
 
 
 def version(family: str, rounds: Column, params: Column) -> Column:
@@ -156,4 +185,28 @@ def reliability_note(rd, career, insularity) -> Column:
     return F.array_compact(F.array(F.when(S.col(rd) > 200, "rating unsure"), F.when(S.col(career) < 5, "few boards"), F.when(S.col(insularity) > 0.6, "narrow schedule")))
 
 
+def reliability(rd, career, insularity, opp_quality_bias, stability) -> Column:
+    """MDL-16: struct (score 0 to 100, tier, flags) of how far a side's rating can be trusted: points are taken off for an
+    unsure rating, a short history, a narrow schedule, opponents unlike the rest and a rating that swings."""
+    rd, career, insularity, bias, swing = (S.col(c) for c in (rd, career, insularity, opp_quality_bias, stability))
+    # Bounds, points and flags, the worst first.
+    rules = (
+        ((rd > 250, 30, "high rating uncertainty"), (rd > 150, 15, "moderate rating uncertainty")),
+        ((career < 3, 25, "almost no history"), (career < 8, 10, "limited history")),
+        ((insularity > 0.75, 20, "mostly one hall"), (insularity > 0.5, 10, "somewhat insular")),
+        ((bias > 150, 15, "stronger opponents than average"), (bias < -150, 15, "weaker opponents than average")),
+        ((swing > 100, 10, "rating has swung"),),
+    )
+
+    def first(rule, k, other):
+        out = F.when(rule[0][0], rule[0][k])
+        for r in rule[1:]:
+            out = out.when(r[0], r[k])
+        return out.otherwise(other)
+
+    score = F.greatest(F.lit(0), 100 - sum((first(r, 1, 0) for r in rules), F.lit(0))).cast("int")
+    tier = F.when(score >= 80, "High").when(score >= 55, "Medium").otherwise("Low")
+    return F.struct(score.alias("score"), tier.alias("tier"), F.array_compact(F.array(*(first(r, 2, None) for r in rules))).alias("flags"))
+
+
 scores = standings.quality
