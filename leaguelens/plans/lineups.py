@@ -189,7 +189,8 @@ def lin_10_best(lg):
     from leaguelens.operators import models as M
     from leaguelens.plans.models import trust
 
-    s = searched(lg).select("hall_id", "opp_hall_id", "best", "safe", L.explained(F.col("boards")).alias("x"), F.posexplode("best.lineup").alias("seat", "player_id"))
+    told = searched(lg).select("hall_id", "opp_hall_id", "best", "safe", L.explained(F.col("boards")).alias("x"))
+    s = told.select("hall_id", "opp_hall_id", "best", "safe", "x", F.posexplode("best.lineup").alias("seat", "player_id"))
     flags = trust(lg).select("player_id", M.reliability("rd", "career", "insularity", "bias", "swing")["flags"].alias("flags"))
     j = s.join(flags, "player_id", "left")
     g = j.groupBy("hall_id", "opp_hall_id").agg(F.first("best").alias("best"), F.first("safe").alias("safe"), F.first("x").alias("x"), F.array_sort(F.collect_list(F.struct("seat", "player_id", "flags"))).alias("reliability"))
