@@ -23,12 +23,14 @@ def bounded_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
 def checkpointed(df: DataFrame) -> DataFrame:
     """The rows of df, computed now and written to the shared checkpoint folder; lineage ends here.
 
-    The folder is that of spark.checkpoint.dir. Only where it is unset, as in local tests, is one chosen here.
+    The folder is that of spark.checkpoint.dir. Only where it is unset, in local tests, is one chosen here.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         folder = context.getConf().get("spark.checkpoint.dir")
         if not folder:
+            if not context.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
             import tempfile
 
             folder = tempfile.mkdtemp(prefix="spark-checkpoint-")
