@@ -28,6 +28,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents. Stage results go to the folder of spark.checkpoint.dir, which all executors share."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         import tempfile
 
         folder = tempfile.mkdtemp(prefix="corpus-pipeline-")
