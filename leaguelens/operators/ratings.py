@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leaguelens.functions import scalars as S
-from leaguelens.operators.checkpoints import written
+from leaguelens.operators.checkpoints import new_table, written
 
 BASE_RATING, MAX_RD, BASE_VOLATILITY = 1000.0, 350.0, 0.06
 TAU, TOLERANCE = 1.2, 1e-6
@@ -109,18 +109,26 @@ def idle(rd, sigma, rounds):
 # -- RAT-7: forward pass ----------------------------------------------------------------------------------------------
 
 
+#: Rounds after which the latest states are gathered in one table.
+SUMMARY = 8
+
+
 def fold_rounds(boards: DataFrame, rounds: list[int], fields: list[str], solve: Callable, extra: tuple[str, ...] = ()) -> DataFrame:
     """Walks the rounds with a state per player: player_id, seq (of the last board) and double `fields`.
 
     boards: seq, player_a, player_b, outcome_a and the columns `extra`. solve gets the board's columns as a dict of
     arrays (a_<field>, a_seq, ... with NaN where there is no state yet) and returns two lists of new fields, of a and b.
-    Result: the state after every board. Each round is one job over its boards and the states.
+    Result: the state after every board, one table with a partition for each round. Each round is one job, which writes
+    the states of its own players alone; entry states are the latest among the rounds since the last summary and the
+    summary, which holds one state for each player and is written anew every SUMMARY rounds.
     """
     schema = "player_id string, seq long, " + ", ".join(f"{f} double" for f in fields)
     spark = boards.sparkSession
     columns = ["seq", "player_a", "player_b", "outcome_a", *extra]
     boards = written(boards.select(*columns))
-    state, steps = spark.createDataFrame([], schema), []
+    steps = new_table(spark)
+    summary, since = spark.createDataFrame([], schema), []
+    row = F.struct("seq", *fields)
 
     def run(batches):
         for batch in batches:
@@ -130,18 +138,21 @@ def fold_rounds(boards: DataFrame, rounds: list[int], fields: list[str], solve:
             for k, side in enumerate("ab"):
                 yield pa.RecordBatch.from_arrays([col[f"player_{side}"].cast(pa.string()), col["seq"].cast(pa.int64()), *(pa.array(v, pa.float64()) for v in new[k])], ["player_id", "seq", *fields])
 
-    for seq in rounds:
-        side = lambda s: state.select(F.col("player_id").alias(f"player_{s}"), F.col("seq").cast("double").alias(f"{s}_seq"), *(F.col(f).alias(f"{s}_{f}") for f in fields))  # noqa: B023, E731
+    for k, seq in enumerate(rounds):
+        held = summary
+        for path in since:
+            held = held.unionByName(spark.read.schema(schema).parquet(path))
+        latest = held.groupBy("player_id").agg(F.max_by(row, "seq").alias("s"))
+        if len(since) >= SUMMARY:
+            summary, since = written(latest.select("player_id", "s.*")), []
+            latest = summary.select("player_id", row.alias("s"))
+        side = lambda s: latest.select(F.col("player_id").alias(f"player_{s}"), F.col("s.seq").cast("double").alias(f"{s}_seq"), *(F.col(f"s.{f}").alias(f"{s}_{f}") for f in fields))  # noqa: B023, E731
         now = boards.where(F.col("seq") == seq).join(side("a"), "player_a", "left").join(side("b"), "player_b", "left")
         now = now.select(*columns, *(f"{s}_{f}" for s in "ab" for f in ["seq", *fields]))
-        new = now.mapInArrow(run, schema).select(F.col("player_id").alias("_id"), *(F.col(f).alias(f"_{f}") for f in ["seq", *fields]))
-        both = state.join(new, F.col("player_id") == F.col("_id"), "full")
-        state = written(both.select(F.coalesce("_id", "player_id").alias("player_id"), *(F.when(F.col("_id").isNotNull(), F.col(f"_{f}")).otherwise(F.col(f)).alias(f) for f in ["seq", *fields])))
-        steps.append(state.where(F.col("seq") == seq))
-    out = spark.createDataFrame([], schema)
-    for s in steps:
-        out = out.unionByName(s)
-    return out
+        path = f"{steps}/round={k}"
+        now.mapInArrow(run, schema).write.parquet(path)
+        since.append(path)
+    return spark.read.schema(schema).parquet(*(f"{steps}/round={k}" for k in range(len(rounds)))) if rounds else summary
 
 
 def _entry(v: dict, side: str) -> tuple:

@@ -88,14 +88,14 @@ def jn_14(lg):
 @query(
     "jn_15",
     """, h AS (SELECT hall_id, player_id FROM (SELECT hall_id, player_id, count(*) AS n FROM played GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY hall_id ORDER BY n DESC, player_id) <= 5),
-    m AS (SELECT DISTINCT hall_id, opp_hall_id FROM played WHERE seq = 26)
+    m AS (SELECT DISTINCT hall_id, opp_hall_id FROM played)
     SELECT m.hall_id, m.opp_hall_id, a.player_id AS ours, b.player_id AS theirs, CAST(s.seat AS INTEGER) AS seat FROM m JOIN h a ON a.hall_id = m.hall_id JOIN h b ON b.hall_id = m.opp_hall_id CROSS JOIN (SELECT unnest([1, 2, 3, 4, 5]) AS seat) s""",
 )
 def jn_15(lg):
-    """Ours x theirs x seat of the halls that met in the last round; at most 125 rows for a pair of halls."""
+    """Ours x theirs x seat of the halls that have met; at most 125 rows for a pair of halls."""
     counts = lg.played.groupBy("hall_id", "player_id").agg(F.count("*").alias("n"))
     five = setops.top_per_group(counts, ["hall_id"], [F.col("n").desc(), "player_id"], 5).select("hall_id", "player_id")
-    met = lg.played.where("seq = 26").select("hall_id", "opp_hall_id").distinct()
+    met = lg.played.select("hall_id", "opp_hall_id").distinct()
     ours = five.withColumnRenamed("player_id", "ours")
     theirs = five.select(F.col("hall_id").alias("opp_hall_id"), F.col("player_id").alias("theirs"))
     return met.join(ours, "hall_id").join(theirs, "opp_hall_id").withColumn("seat", F.explode(F.sequence(F.lit(1), F.lit(5)))).select("hall_id", "opp_hall_id", "ours", "theirs", "seat")

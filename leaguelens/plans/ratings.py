@@ -15,6 +15,10 @@ def round_list(lg) -> list[int]:
     return [r.seq for r in lg.rounds.select("seq").orderBy("seq").collect()]
 
 
+def last_round(lg) -> int:
+    return lg.rounds.agg(F.max("seq")).first()[0] or 0
+
+
 def trajectory(lg, passes: int = R.PASSES):
     """Computed once in an application and table folder; every later query reads the checkpoint."""
     key = (lg.spark.sparkContext.applicationId, lg.sf_dir, passes)
@@ -84,10 +88,10 @@ def rat_4(lg):
     return paired(lg).mapInArrow(run, "match_id long, player_id string, rating double, rd double, volatility double")
 
 
-@query("rat_5", "SELECT player_id, round(least(sqrt((rating_deviation / 173.7178) ** 2 + (26 - seq) * volatility * volatility) * 173.7178, 350), 8) AS rd FROM ratings QUALIFY row_number() OVER (PARTITION BY player_id ORDER BY seq DESC) = 1")
+@query("rat_5", "SELECT player_id, round(least(sqrt((rating_deviation / 173.7178) ** 2 + ((SELECT max(seq) FROM rounds) - seq) * volatility * volatility) * 173.7178, 350), 8) AS rd FROM ratings QUALIFY row_number() OVER (PARTITION BY player_id ORDER BY seq DESC) = 1")
 def rat_5(lg):
     last = setops.latest(lg.ratings, ["player_id"], "seq", {"seq": "seq", "rating_deviation": "rating_deviation", "volatility": "volatility"})
-    return last.select("player_id", F.round(R.idle_rd("rating_deviation", "volatility", 26 - F.col("seq")), 8).alias("rd"))
+    return last.select("player_id", F.round(R.idle_rd("rating_deviation", "volatility", last_round(lg) - F.col("seq")), 8).alias("rd"))
 
 
 def solved_rounds(played, states):

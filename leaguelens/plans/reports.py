@@ -1,5 +1,6 @@
 """Reports over the league, on the stand-in ratings that SQL can repeat."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from leaguelens.operators import reports as P
@@ -79,28 +80,65 @@ def rep_7(lg):
  tm AS (SELECT hall_id, list(elo ORDER BY n) AS team FROM t5 GROUP BY 1 HAVING count(*) = 5),
  five AS (SELECT unnest([1, 2, 3, 4, 5]) AS i),
  perms AS (SELECT a.i AS p1, b.i AS p2, c.i AS p3, d.i AS p4, e.i AS p5 FROM five a, five b, five c, five d, five e WHERE a.i <> b.i AND a.i <> c.i AND a.i <> d.i AND a.i <> e.i AND b.i <> c.i AND b.i <> d.i AND b.i <> e.i AND c.i <> d.i AND c.i <> e.i AND d.i <> e.i),
- met AS (SELECT DISTINCT hall_id, opp_hall_id FROM played WHERE year = 1998 AND round_order = 3)
+ met AS (SELECT DISTINCT hall_id, opp_hall_id FROM played)
  SELECT hall_id, opp_hall_id, avg(CASE WHEN s1 + s2 + s3 + s4 + s5 > 2.5 THEN 1.0 ELSE 0.0 END) AS win_share FROM (SELECT m.hall_id, m.opp_hall_id, """
     + ", ".join(f"CASE WHEN x.team[{k}] > y.team[p{k}] THEN 1.0 WHEN x.team[{k}] = y.team[p{k}] THEN 0.5 ELSE 0.0 END AS s{k}" for k in range(1, 6))
     + " FROM met m JOIN tm x ON x.hall_id = m.hall_id JOIN tm y ON y.hall_id = m.opp_hall_id CROSS JOIN perms) GROUP BY 1, 2",
 )
 def rep_8(lg):
-    """Win shares of all pairs of halls that met in a round."""
-    met = lg.played.where("year = 1998 and round_order = 3").select("hall_id", "opp_hall_id").distinct()
+    """Win shares of all pairs of halls that have met."""
+    met = lg.played.select("hall_id", "opp_hall_id").distinct()
     return P.win_probability(met, P.teams(ranking(lg)))
 
 
 @query(
     "rep_9",
-    HALL + "SELECT m.hall_a, m.hall_b, m.points_a, m.points_b, x.hall_elo AS elo_a, y.hall_elo AS elo_b FROM (SELECT least(hall_id, opp_hall_id) AS hall_a, greatest(hall_id, opp_hall_id) AS hall_b, sum(CASE WHEN hall_id < opp_hall_id THEN outcome ELSE 0 END) AS points_a, sum(CASE WHEN hall_id < opp_hall_id THEN 0 ELSE outcome END) AS points_b FROM played WHERE year = 1998 AND round_order = 2 GROUP BY 1, 2) m LEFT JOIN (SELECT * FROM he WHERE year = 1998 AND round_order = 2) x ON x.hall_id = m.hall_a LEFT JOIN (SELECT * FROM he WHERE year = 1998 AND round_order = 2) y ON y.hall_id = m.hall_b",
+    HALL + "SELECT m.year, m.round_order, m.hall_a, m.hall_b, m.points_a, m.points_b, x.hall_elo AS elo_a, y.hall_elo AS elo_b FROM (SELECT year, round_order, least(hall_id, opp_hall_id) AS hall_a, greatest(hall_id, opp_hall_id) AS hall_b, sum(CASE WHEN hall_id < opp_hall_id THEN outcome ELSE 0 END) AS points_a, sum(CASE WHEN hall_id < opp_hall_id THEN 0 ELSE outcome END) AS points_b FROM played GROUP BY 1, 2, 3, 4) m LEFT JOIN he x ON x.year = m.year AND x.round_order = m.round_order AND x.hall_id = m.hall_a LEFT JOIN he y ON y.year = m.year AND y.round_order = m.round_order AND y.hall_id = m.hall_b",
 )
 def rep_9(lg):
-    """The matchups of a round with both halls' Elos."""
-    r = lg.ratings.where("year = 1998 and round_order = 2")
-    elo = standings.hall_elo(r, ["hall_id"]).withColumn("hall_elo", F.round("hall_elo", 6))
-    m = standings.matchups(lg.sides.where("year = 1998 and round_order = 2")).where("hall_b is not null")
-    side = lambda s: elo.select(F.col("hall_id").alias(f"hall_{s}"), F.col("hall_elo").alias(f"elo_{s}"))
-    return m.join(side("a"), "hall_a", "left").join(side("b"), "hall_b", "left").select("hall_a", "hall_b", "points_a", "points_b", "elo_a", "elo_b")
+    """The matchups of every round with both halls' Elos."""
+    keys = ["year", "round_order"]
+    elo = standings.hall_elo(lg.ratings, [*keys, "hall_id"]).withColumn("hall_elo", F.round("hall_elo", 6))
+    m = standings.matchups(lg.sides).where("hall_b is not null")
+    side = lambda s: elo.select(*keys, F.col("hall_id").alias(f"hall_{s}"), F.col("hall_elo").alias(f"elo_{s}"))
+    return m.join(side("a"), [*keys, "hall_a"], "left").join(side("b"), [*keys, "hall_b"], "left").select(*keys, "hall_a", "hall_b", "points_a", "points_b", "elo_a", "elo_b")
+
+
+@query("rep_9_halls", "SELECT p.year, p.round_order, p.hall_id, p.player_id, p.seat, p.outcome, p.opp_player_id, p.opp_hall_id, r.rating_value, r.rating_value - lag(r.rating_value) OVER (PARTITION BY p.player_id ORDER BY p.seq) AS delta FROM played p JOIN ratings r ON r.player_id = p.player_id AND r.seq = p.seq")
+def rep_9_halls(lg):
+    """The players of every hall in every round with the change of their rating since their last round."""
+    j = lg.played.join(lg.ratings.select("player_id", "seq", "rating_value"), ["player_id", "seq"])
+    delta = F.col("rating_value") - F.lag("rating_value").over(Window.partitionBy("player_id").orderBy("seq"))
+    return j.withColumn("delta", delta).select("year", "round_order", "hall_id", "player_id", "seat", "outcome", "opp_player_id", "opp_hall_id", "rating_value", "delta")
+
+
+@query("rep_6_roster", "SELECT year, round_order, hall_id, player_id, rating_value, CAST(rank() OVER (PARTITION BY seq, hall_id ORDER BY rating_value DESC) AS INTEGER) AS hall_rank, CAST(rank() OVER (PARTITION BY seq ORDER BY rating_value DESC) AS INTEGER) AS global_rank FROM ratings")
+def rep_6_roster(lg):
+    """Every hall's players of a round with their rank in the hall and in the league."""
+    best = F.col("rating_value").desc()
+    rank = lambda *k: F.rank().over(Window.partitionBy(*k).orderBy(best))
+    return lg.ratings.select("year", "round_order", "hall_id", "player_id", "rating_value", rank("seq", "hall_id").alias("hall_rank"), rank("seq").alias("global_rank"))
+
+
+def computed(lg):
+    """The computed ratings in the columns of the stand-in ones."""
+    from leaguelens.plans.ratings import trajectory
+
+    t = trajectory(lg).select("player_id", "seq", F.col("rating").alias("rating_value"), F.col("rd").alias("rating_deviation"), "volatility")
+    return lg.played.select("player_id", "hall_id", "year", "round_order", "seq", "round_id").join(t, ["player_id", "seq"]).select(*lg.ratings.columns)
+
+
+@query("rep_1_computed")
+def rep_1_computed(lg):
+    """The player ranking after the last round, by the computed ratings."""
+    last = lg.rounds.agg(F.max_by(F.struct("year", "round_order"), "seq").alias("r")).first().r
+    return P.player_ranking(computed(lg), lg.status, lg.names, lg.sides, lg.rounds, last.year, last.round_order)
+
+
+@query("rep_6_computed")
+def rep_6_computed(lg):
+    """Hall profiles of every round by the computed ratings."""
+    return P.hall_rounds(lg.sides, computed(lg))
 
 
 @query("rep_10", "SELECT player_id, " + ", ".join(f"max(CASE WHEN seq = {r} THEN outcome END) AS r{r}" for r in range(27)) + " FROM played GROUP BY 1")

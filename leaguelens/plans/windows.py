@@ -130,6 +130,7 @@ def win_12(lg):
     return latest.join(name, "player_id")
 
 
-@query("win_13", "SELECT hall_id, player_id, seat, round(sum(exp(-ln(2.0) / 10 * (26 - seq))), 8) AS weight FROM played GROUP BY 1, 2, 3")
+@query("win_13", "SELECT hall_id, player_id, seat, round(sum(exp(-ln(2.0) / 10 * ((SELECT max(seq) FROM rounds) - seq))), 8) AS weight FROM played GROUP BY 1, 2, 3")
 def win_13(lg):
-    return lg.played.groupBy("hall_id", "player_id", "seat").agg(F.round(F.sum(W.recency_weight(26 - F.col("seq"))), 8).alias("weight"))
+    now = lg.rounds.agg(F.max("seq")).first()[0] or 0
+    return lg.played.groupBy("hall_id", "player_id", "seat").agg(F.round(F.sum(W.recency_weight(now - F.col("seq"))), 8).alias("weight"))

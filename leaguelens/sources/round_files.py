@@ -33,8 +33,10 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     import tempfile
     import uuid
 
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="league-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    return f"{(base or tempfile.mkdtemp(prefix='league-')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def write_round_files(rows: DataFrame, folder: str) -> None:
