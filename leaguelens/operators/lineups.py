@@ -226,3 +226,21 @@ def reactivity(played: DataFrame) -> DataFrame:
     m = seats.withColumn("before", before)
     changed = F.when(F.col("before").isNotNull(), (F.col("map") != F.col("before")).cast("double"))
     return m.groupBy("hall_id").agg(F.avg(changed).alias("reactivity"), F.count(changed).alias("rematches"))
+
+
+def best_response(pairs: DataFrame, nominal: DataFrame, orderings: DataFrame, probability) -> DataFrame:
+    """LIN-8 for a given team: for each pair (hall_id, opp_hall_id) our order of most expected wins and the one whose worst
+    case is best.
+
+    nominal: hall_id, team: an array of structs with player_id first and what probability needs. orderings: hall_id,
+    ordering (an array of such structs by seat), probability. probability(ours, theirs, seat) gives struct (p_win, p_draw).
+    """
+    lists = orderings.groupBy(F.col("hall_id").alias("opp_hall_id")).agg(F.array_sort(F.collect_list(F.struct((-F.col("probability")).alias("_p"), "ordering"))).alias("_o"))  # ORDERINGS rows
+    met = pairs.join(nominal.select("hall_id", F.array_sort("team").alias("_t")), "hall_id").join(lists.withColumn("_b", F.array_sort(F.col("_o")[0]["ordering"])), "opp_hall_id")
+    flat = F.flatten(F.flatten(F.transform("_t", lambda a: F.transform("_b", lambda b: F.transform(F.sequence(F.lit(0), F.lit(SEATS - 1)), lambda s: probability(a, b, s))))))
+    none = lambda c: F.transform(c, lambda _: F.lit(0.0))
+    rows = met.withColumn("_c", flat).select(
+        "hall_id", "opp_hall_id", F.col("_t.player_id").alias("ids"), none("_t").alias("ratings"), F.col("_b.player_id").alias("opp_ids"), none("_b").alias("opp_ratings"),
+        F.transform("_o", lambda o: F.transform(o["ordering"], lambda x: x["player_id"])).alias("orders"), F.transform("_o", lambda o: -o["_p"]).alias("shares"), F.col("_c.p_win").alias("p_win"), F.col("_c.p_draw").alias("p_draw"),
+    )
+    return search(rows).select("hall_id", "opp_hall_id", F.col("best.win").alias("expected_win"), F.col("best.lineup").alias("best_lineup"), F.col("safe.worst").alias("safe_win"), F.col("safe.lineup").alias("safe_lineup"))
