@@ -36,7 +36,7 @@ WINDOW = 100
 CORE = 32
 LEFT = WINDOW - CORE
 #: Text bytes of a block of documents, and of the documents whose suffixes meet in a bucket, about.
-BLOCK_BYTES, BUCKET_BYTES, LEAST_PARTS = 4 << 20, 8 << 20, 64
+BLOCK_BYTES, BUCKET_BYTES, LEAST_PARTS = 4 << 20, 8 << 20, 16
 _CHUNK = 1 << 17
 _NO_ID = -(1 << 63)
 
