@@ -265,8 +265,11 @@ def grow(held: DataFrame, fits: list[Fit]) -> None:
         for level in range(DEPTH):
             if not live:
                 return
-            sums = _summed(held, parts, live, level)
-            for k, f in list(live.items()):
+            now = {k: f for k, f in live.items() if not level or (f.grown.feature[2 ** (level - 1) - 1 : 2**level - 1] >= 0).any()}
+            if not now:  # no node of the level before was split
+                break
+            sums = _summed(held, parts, now, level)
+            for k, f in now.items():
                 s = sums.get(k)
                 if level and (s is None or not s[:-2].any()):
                     continue  # no node of the level is left to split
