@@ -101,3 +101,39 @@ def join_counted(left: DataFrame, right: DataFrame, key: str, n: str, total: int
         return left.join(cold, key)
     hot = F.broadcast(right.where(F.col(n) >= least).drop(n))
     return left.join(hot, key).unionByName(left.join(F.broadcast(right.where(F.col(n) >= least).select(key)), key, "left_anti").join(cold, key))
+
+
+def sums_before(df: DataFrame, order: list[Column], **sums: str) -> DataFrame:
+    """df, sorted by `order` over all its partitions and written to the checkpoint folder, with a column for each of
+    `sums`: the sum of the long column of that value over all rows before. A null counts as 0.
+
+    Ranges of the order are the partitions; only their totals, one row each, reach the driver. Rows that share the whole
+    key share a partition, so the last column of `order` should tell rows of a hot key apart.
+    """
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = checkpointed(df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()))
+    totals = {r._part: list(r)[1:] for r in dealt.groupBy("_part").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(f"_{k}") for k, c in enumerate(sums.values()))).collect()}
+    offsets, so_far = {}, [0] * len(sums)
+    for part in sorted(totals):
+        offsets[part] = so_far
+        so_far = [a + b for a, b in zip(so_far, totals[part], strict=True)]
+    kept, added = df.columns, list(sums)
+
+    def run(batches):
+        now = None
+        for batch in batches:
+            if batch.num_rows:
+                now = now or list(offsets[batch.column("_part")[0].as_py()])
+                out = [batch.column(c) for c in kept]
+                for k, c in enumerate(sums.values()):
+                    values = batch.column(c).fill_null(0).to_numpy().astype(np.int64)
+                    ends = np.cumsum(values) + now[k]
+                    out.append(pa.array(ends - values))
+                    now[k] = int(ends[-1])
+                yield pa.RecordBatch.from_arrays(out, [*kept, *added])
+
+    schema = df.schema
+    for name in added:
+        schema = schema.add(name, "long")
+    return dealt.mapInArrow(run, schema)
