@@ -147,7 +147,7 @@ def walk_forward(b: DataFrame, grid: tuple[Candidate, ...], rounds: list[int]) -
         out = join(folds.predict_rounds(rows, folds.fit_rounds(rows, own, rounds)))
     own = [(c.name, c.n0, c.ridge) for c in grid if c.family == BOOSTED]
     if own:
-        out = join(boosting.predict_rounds(*boosting.fit_rounds(b, own, rounds)))
+        out = join(boosting.predicted(boosting.worked(b, own, rounds)))
     return out
 
 
