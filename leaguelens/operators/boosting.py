@@ -402,9 +402,12 @@ def _gathered(x: object) -> list:
     return [pickle.loads(base64.b64decode(m)) for m in BarrierTaskContext.get().allGather(base64.b64encode(pickle.dumps(x)).decode())]
 
 
-def worked(b: DataFrame, configs: list[tuple], before: list[int], unit_rows_at_most: int | None = None) -> DataFrame:
+def worked(b: DataFrame, configs: list[tuple], before: list[int], unit_rows_at_most: int | None = None, net=None) -> DataFrame:
     """Fits a grid before each round of `before`: rows of fitted models and of predictions of those rounds, written once.
 
+    A unit with player vectors learns them from its training rows (MDL-7), unless a net is given, and appends their
+    features to anti (MDL-8).
+
     A barrier stage needs all its tasks at once, so a unit has no more blocks than the session has cores; executors must
     hold their share of the rows.
     """
@@ -422,15 +425,18 @@ def worked(b: DataFrame, configs: list[tuple], before: list[int], unit_rows_at_m
         by = {u.number: u for u in small}
 
         def one(table: pa.Table) -> pa.Table:
-            return _worked(table, by[table["unit"][0].as_py()], alone, most, True)
+            return _worked(table, by[table["unit"][0].as_py()], alone, most, not given)
 
-        rows = unit_rows(b, small).repartition(2 * len(small), "unit")
+        given = net is not None
+        rows = unit_rows(b, small)
+        if given:
+            rows = embedding.with_features(rows, net).withColumn("anti", F.concat("anti", "embedded")).drop("embedded")
+        rows = rows.repartition(2 * len(small), "unit")
         done.append(written(rows.groupBy("unit").applyInArrow(one, _OUT)))
     for u in large:
         rows = unit_rows(b, [u])
         if u.dim:
-            net = embedding.fit(b.where(F.col("seq") < u.before), u.dim, at_most)
-            rows = embedding.with_features(rows, net).withColumn("anti", F.concat("anti", "embedded")).drop("embedded")
+            rows = embedding.with_features(rows, net or embedding.fit(b.where(F.col("seq") < u.before), u.dim, at_most)).withColumn("anti", F.concat("anti", "embedded")).drop("embedded")
         blocks = min(math.ceil(size(u) / at_most), spark.sparkContext.defaultParallelism)
 
         def block(batches, u=u):
@@ -458,10 +464,16 @@ def fit_rounds(b: DataFrame, configs: list[tuple], before: list[int]) -> tuple[D
     models = {(r.model, r.before): pickle.loads(bytes(r.fitted))[0] for r in out.where("fitted is not null").select("model", "before", "fitted").collect()}
     for u in units_of(configs, before):  # a round without earlier boards has models without trees
         for name, ridge in u.configs:
-            models.setdefault((name, u.before), Model({(DRAW, u.n0): [np.zeros(0)] * X.SYM, (WIN, u.n0): [np.zeros(0)] * X.ANTI}, Fit(DRAW, u.n0, ridge, u.before, u.before, float(np.log(1e-4 / (1 - 1e-4)))), Fit(WIN, u.n0, ridge, u.before, u.before)))
+            models.setdefault((name, u.before), blank(u.n0, ridge, u.before))
     return predicted(out), models
 
 
+def blank(n0: float, ridge: float, before: int, extra: int = 0) -> Model:
+    """The model of no boards."""
+    edges = {(DRAW, n0): [np.zeros(0)] * X.SYM, (WIN, n0): [np.zeros(0)] * (X.ANTI + extra)}
+    return Model(edges, Fit(DRAW, n0, ridge, before, before, float(np.log(1e-4 / (1 - 1e-4)))), Fit(WIN, n0, ridge, before, before))
+
+
 def predicted(out: DataFrame) -> DataFrame:
     """model, match_id, seq, outcome, p_win, p_draw, p_loss of the rows of `worked`: each round's boards by the models fitted
     on those before it."""

@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from leaguelens.operators.checkpoints import written
 
@@ -74,9 +75,10 @@ class Dense:
             w += v
 
     def features(self, e: tuple[np.ndarray, ...]) -> np.ndarray:
-        """MDL-8: score, difference of the players' vectors, difference of the halls' vectors."""
+        """MDL-8: score, difference of the players' vectors, difference of the halls' vectors. The score has twelve places, so
+        that it is the same in batches of any size."""
         a, b, ha, hb = e
-        score = (self.raw(np.concatenate([a, b, ha, hb], axis=1)) - self.raw(np.concatenate([b, a, hb, ha], axis=1))) / 2
+        score = np.round((self.raw(np.concatenate([a, b, ha, hb], axis=1)) - self.raw(np.concatenate([b, a, hb, ha], axis=1))) / 2, 12)
         return np.concatenate([score[:, None], a - b, ha - hb], axis=1)
 
 
@@ -156,6 +158,9 @@ def learned(boards: Boards, dim: int) -> Learned:
     table = [np.array([start(f"{kind}:{k}", d) for k in own]).reshape(len(own), d) for kind, own, d in zip(("player", "hall"), names, sizes, strict=True)]
     decisive = boards.where(boards.outcome != 0.5)
     if len(decisive.seq):
+        codes = [np.searchsorted(own, k) for own, keys in zip(names, (decisive.players, decisive.halls), strict=True) for k in keys]
+        order = np.lexsort((decisive.outcome, *codes, decisive.seq))  # so that sums don't depend on the order of the rows
+        decisive = decisive.where(order)
         split = split_of(np.unique(decisive.seq).tolist())
         aside = decisive.seq >= split if split is not None else np.zeros(len(decisive.seq), bool)
         places = [[np.searchsorted(own, k) for k in keys] for own, keys in zip(names, (decisive.players, decisive.halls), strict=True)]
@@ -254,7 +259,7 @@ def with_features(rows: DataFrame, net: Net, name: str = "embedded") -> DataFram
             more = dense.features(_inputs(batch, dense.dim))
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in columns), pa.array(more.tolist(), pa.list_(pa.float64()))], [*columns, name])
 
-    return held.mapInArrow(run, rows.schema.add(name, "array<double>"))
+    return held.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(name, T.ArrayType(T.DoubleType()))]))
 
 
 def spread(rows: DataFrame, dim: int, epochs: int | None = None) -> Net:

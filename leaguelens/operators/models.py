@@ -125,30 +125,34 @@ class Candidate:
     dim: int = 0
 
 
-BASELINE, LOGISTIC, BOOSTED = "baseline", "logistic", "gbm"
+BASELINE, LOGISTIC, BOOSTED, EMBEDDED = "baseline", "logistic", "gbm", "gbm_emb"
 # The weights and ridges that are tried.
 GRID = (
     Candidate("baseline", BASELINE),
     *(Candidate(f"logistic n0={n0:g} ridge={ridge:g}", LOGISTIC, float(n0), float(ridge)) for n0 in (3, 6, 12) for ridge in (0.3, 1, 3)),
     *(Candidate(f"gbm n0={n0:g} ridge={ridge:g}", BOOSTED, float(n0), float(ridge)) for n0 in (6, 12) for ridge in (1, 3)),
+    *(Candidate(f"gbm+vectors dim={dim}", EMBEDDED, 6.0, 1.0, dim) for dim in (4, 8)),
 )
 
 
 def walk_forward(b: DataFrame, grid: tuple[Candidate, ...], rounds: list[int]) -> DataFrame:
     """MDL-10 and MDL-11: predictions of each of `rounds` by every candidate, fitted anew on all rounds before it:
     model, match_id, seq, outcome, p_win, p_draw, p_loss. All fits of a family share their jobs."""
-    from leaguelens.operators import boosting, folds
+    from leaguelens.operators.families import family
 
-    out = folds.baseline_rounds(b, rounds) if any(c.family == BASELINE for c in grid) else None
-    join = lambda p: p if out is None else out.unionByName(p)
-    own = [(c.name, c.n0, c.ridge) for c in grid if c.family == LOGISTIC]
-    if own:
-        rows = folds.table(b, tuple(sorted({w for _, w, _ in own})))
-        out = join(folds.predict_rounds(rows, folds.fit_rounds(rows, own, rounds)))
-    own = [(c.name, c.n0, c.ridge) for c in grid if c.family == BOOSTED]
-    if own:
-        out = join(boosting.predicted(boosting.worked(b, own, rounds)))
-    return out
+    out, named = None, {}
+    for c in grid:
+        named.setdefault(c.family, []).append(c)
+    for f in named:
+        family(f)  # an unknown family is an error before any work is done
+    for f, own in named.items():
+        p = family(f).predict_rounds(b, own, rounds)
+        out = p if out is None else out.unionByName(p)
+    return no_predictions(b.sparkSession) if out is None else out
+
+
+def no_predictions(spark) -> DataFrame:
+    return spark.createDataFrame([], "model string, match_id long, seq long, outcome double, p_win double, p_draw double, p_loss double")
 
 
 def prediction_log(p: DataFrame) -> DataFrame:
@@ -160,12 +164,16 @@ def prediction_log(p: DataFrame) -> DataFrame:
     return p.select("match_id", "model", said.alias("predicted"), most.alias("probability"))
 
 
-def champion(quality: DataFrame, base: str, least: int = 50) -> DataFrame:
+def champion(quality: DataFrame, base: str, least: int = 50, grid: tuple[Candidate, ...] = GRID) -> DataFrame:
     """MDL-12: of the models with at least `least` predicted boards and a Brier score strictly below the baseline's the
-    best; no row if there is none. Ties go to the earlier name. Quality has a row for each model of a grid."""
-    b = quality.where(F.col("model") == base).select(F.col("brier").alias("_base"))
-    better = quality.where(F.col("model") != base).join(F.broadcast(b), (F.col("boards") >= least) & (F.col("brier") < F.col("_base")))  # one baseline row
-    return better.drop("_base").orderBy("brier", "model").limit(1)
+    best; no row if there is none. Player vectors must pay: a model of that family must also be strictly better than every
+    plain boosted one. Ties go to the earlier candidate of the grid. Quality has a row for each model of a grid."""
+    rows = quality.sparkSession.createDataFrame([(c.name, c.family, k) for k, c in enumerate(grid)], "model string, _family string, _place int")
+    q = quality.join(F.broadcast(rows), "model", "left")  # candidates
+    bars = q.agg(F.min(F.when(F.col("model") == base, F.col("brier"))).alias("_base"), F.min(F.when((F.col("_family") == BOOSTED) & ~F.isnan("brier"), F.col("brier"))).alias("_plain"))
+    better = q.where(F.col("model") != base).join(F.broadcast(bars), (F.col("boards") >= least) & (F.col("brier") < F.col("_base")))  # one row
+    kept = better.where((F.coalesce("_family", F.lit("")) != EMBEDDED) | F.col("_plain").isNull() | (F.col("brier") < F.col("_plain")))
+    return kept.orderBy("brier", F.col("_place").asc_nulls_last(), "model").limit(1).drop("_base", "_plain", "_family", "_place")
 
 
 def version(family: str, rounds: Column, params: Column) -> Column:

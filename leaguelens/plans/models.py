@@ -4,6 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from leaguelens.operators import boosting as B
+from leaguelens.operators import embedding as E
 from leaguelens.operators import features as X
 from leaguelens.operators import models as M
 from leaguelens.operators.checkpoints import written
@@ -141,6 +142,29 @@ def mdl_6(lg):
     return B.predict(b, {"gbm": m}, ["match_id"]).drop("model")
 
 
+def net(lg):
+    """Vectors of four numbers, learned from all boards, once in an application and table folder."""
+    key = (lg.spark.sparkContext.applicationId, lg.sf_dir, "net")
+    if key not in _KEPT:
+        b = written(boards(lg))
+        _KEPT[key] = b, E.fit(b, 4)
+    return _KEPT[key]
+
+
+@query("mdl_7")
+def mdl_7(lg):
+    """The learned vector of every player and hall."""
+    return net(lg)[1].vectors
+
+
+@query("mdl_8")
+def mdl_8(lg):
+    """The interaction features of every board by those vectors."""
+    b, n = net(lg)
+    keys = b.select("match_id", *(F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in "ab" for c in ("player_id", "hall_id")))
+    return E.with_features(keys, n).select("match_id", F.col("embedded").alias("interaction"))
+
+
 @query("mdl_13", "SELECT hall_id, 'elo.r' || (SELECT count(*) FROM rounds) || '.' || substr(sha256('{\"hall\":' || hall_id || '}'), 1, 8) AS model_version FROM (SELECT DISTINCT hall_id FROM status)")
 def mdl_13(lg):
     """Version names of one model for each hall."""
