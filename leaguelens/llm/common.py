@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Rows in one Arrow batch. A batch of documents stays at a few MB, so a Python worker needs little memory.
 ARROW_ROWS = 1000
@@ -133,7 +134,4 @@ def sums_before(df: DataFrame, order: list[Column], **sums: str) -> DataFrame:
                     now[k] = int(ends[-1])
                 yield pa.RecordBatch.from_arrays(out, [*kept, *added])
 
-    schema = df.schema
-    for name in added:
-        schema = schema.add(name, "long")
-    return dealt.mapInArrow(run, schema)
+    return dealt.mapInArrow(run, T.StructType([*df.schema.fields, *(T.StructField(name, T.LongType()) for name in added)]))
