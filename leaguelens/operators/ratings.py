@@ -113,22 +113,26 @@ def idle(rd, sigma, rounds):
 SUMMARY = 8
 
 
-def fold_rounds(boards: DataFrame, rounds: list[int], fields: list[str], solve: Callable, extra: tuple[str, ...] = ()) -> DataFrame:
+def fold_rounds(boards: DataFrame, rounds: list[int], fields: list[str], solve: Callable, extra: tuple[str, ...] = (), start: DataFrame | None = None) -> DataFrame:
     """Walks the rounds with a state per player: player_id, seq (of the last board) and double `fields`.
 
     boards: seq, player_a, player_b, outcome_a and the columns `extra`. solve gets the board's columns as a dict of
     arrays (a_<field>, a_seq, ... with NaN where there is no state yet) and returns two lists of new fields, of a and b.
     Result: the state after every board, one table with a partition for each round. Each round is one job, which writes
-    the states of its own players alone; entry states are the latest among the rounds since the last summary and the
-    summary, which holds one state for each player and is written anew every SUMMARY rounds.
+    the states of its own players alone; boards are a partition for each round, so it reads its own; entry states are the
+    latest of its players among the rounds since the last summary and the summary, which holds one state for each player
+    and is written anew every SUMMARY rounds. start: states to begin from, if rounds were walked before.
     """
     schema = "player_id string, seq long, " + ", ".join(f"{f} double" for f in fields)
     spark = boards.sparkSession
     columns = ["seq", "player_a", "player_b", "outcome_a", *extra]
-    boards = written(boards.select(*columns))
-    steps = new_table(spark)
-    summary, since = spark.createDataFrame([], schema), []
     row = F.struct("seq", *fields)
+    one_each = lambda df: df.groupBy("player_id").agg(F.max_by(row, "seq").alias("s")).select("player_id", "s.*")
+    held_boards, steps = new_table(spark), new_table(spark)
+    boards.select(*columns).where(F.col("seq").isin(rounds) if rounds else F.lit(False)).withColumn("_round", F.col("seq")).write.partitionBy("_round").parquet(held_boards)
+    kinds = boards.select(*columns).schema
+    rounds = sorted({r.seq for r in spark.read.schema(kinds).parquet(held_boards).select("seq").distinct().collect()}) if rounds else []
+    summary, since = (spark.createDataFrame([], schema) if start is None else written(one_each(start))), []
 
     def run(batches):
         for batch in batches:
@@ -142,17 +146,19 @@ def fold_rounds(boards: DataFrame, rounds: list[int], fields: list[str], solve:
         held = summary
         for path in since:
             held = held.unionByName(spark.read.schema(schema).parquet(path))
-        latest = held.groupBy("player_id").agg(F.max_by(row, "seq").alias("s"))
         if len(since) >= SUMMARY:
-            summary, since = written(latest.select("player_id", "s.*")), []
-            latest = summary.select("player_id", row.alias("s"))
+            held = summary = written(one_each(held))
+            since = []
+        now = spark.read.schema(kinds).parquet(f"{held_boards}/_round={seq}")
+        mine = now.select(F.explode(F.array("player_a", "player_b")).alias("player_id"))
+        latest = held.join(mine, "player_id", "left_semi").groupBy("player_id").agg(F.max_by(row, "seq").alias("s"))
         side = lambda s: latest.select(F.col("player_id").alias(f"player_{s}"), F.col("s.seq").cast("double").alias(f"{s}_seq"), *(F.col(f"s.{f}").alias(f"{s}_{f}") for f in fields))  # noqa: B023, E731
-        now = boards.where(F.col("seq") == seq).join(side("a"), "player_a", "left").join(side("b"), "player_b", "left")
+        now = now.join(side("a"), "player_a", "left").join(side("b"), "player_b", "left")
         now = now.select(*columns, *(f"{s}_{f}" for s in "ab" for f in ["seq", *fields]))
         path = f"{steps}/round={k}"
         now.mapInArrow(run, schema).write.parquet(path)
         since.append(path)
-    return spark.read.schema(schema).parquet(*(f"{steps}/round={k}" for k in range(len(rounds)))) if rounds else summary
+    return spark.read.schema(schema).parquet(*(f"{steps}/round={k}" for k in range(len(rounds)))) if rounds else spark.createDataFrame([], schema)
 
 
 def _entry(v: dict, side: str) -> tuple:
@@ -168,9 +174,31 @@ def two_sided(played: DataFrame) -> DataFrame:
     return played.where("side = 0").select("seq", F.col("player_id").alias("player_a"), F.col("opp_player_id").alias("player_b"), F.col("outcome").alias("outcome_a"))
 
 
-def forward_pass(played: DataFrame, rounds: list[int]) -> DataFrame:
-    """RAT-7: player_id, seq, rating, rd, volatility after each board."""
-    return fold_rounds(two_sided(played), rounds, ["rating", "rd", "volatility"], lambda v: solved(_entry(v, "a"), _entry(v, "b"), v["outcome_a"]))
+def forward_pass(played: DataFrame, rounds: list[int], start: DataFrame | None = None) -> DataFrame:
+    """RAT-7: player_id, seq, rating, rd, volatility after each board of the rounds; start: states of the rounds before."""
+    return fold_rounds(two_sided(played), rounds, ["rating", "rd", "volatility"], lambda v: solved(_entry(v, "a"), _entry(v, "b"), v["outcome_a"]), start=start)
+
+
+def live_round(played: DataFrame, status: DataFrame, states: DataFrame, seq: int, unknown_hall: int = -1) -> DataFrame:
+    """RAT-10: player_id, seq, rating, rd, volatility, carried: one round rated from the states before it. Its players get the
+    solved states; every other player with a status row of a hall that plays is carried, the deviation grown."""
+    now = played.where(F.col("seq") == seq)
+    entry = entry_states(now.select("player_id", "seq", "match_id", "side", "outcome"), states)
+    side = lambda k, s: entry.where(F.col("side") == k).select("match_id", *([F.col("outcome")] if k == 0 else []), *(F.col(c).alias(f"{s}_{c}") for c in ("player_id", "rating", "rd", "volatility")))
+
+    def run(batches):
+        for batch in batches:
+            v = {n: batch.column(i).to_numpy(zero_copy_only=False) for i, n in enumerate(batch.schema.names)}
+            state = lambda s: tuple(v[f"{s}_{c}"].astype(float) for c in ("rating", "rd", "volatility"))  # noqa: B023, E731
+            for s, new in zip("ab", solved(state("a"), state("b"), v["outcome"].astype(float)), strict=True):
+                yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(f"{s}_player_id")), *(pa.array(x) for x in new)], ["player_id", "rating", "rd", "volatility"])
+
+    rated = side(0, "a").join(side(1, "b"), "match_id").mapInArrow(run, "player_id string, rating double, rd double, volatility double")
+    halls = now.where(F.col("hall_id") != unknown_hall).select("year", "hall_id").distinct()
+    idle_ones = status.join(halls, ["year", "hall_id"], "left_semi").select("player_id").distinct().join(now.select("player_id"), "player_id", "left_anti")
+    before = states.where(F.col("seq") < seq)
+    carried = at_rounds(idle_ones.withColumn("seq", F.lit(seq).cast("long")), before).select("player_id", "rating", "rd", "volatility", F.lit(True).alias("carried"))
+    return rated.withColumn("carried", F.lit(False)).unionByName(carried).withColumn("seq", F.lit(seq).cast("long"))
 
 
 # -- RAT-8: passes with fixed opponents -------------------------------------------------------------------------------
