@@ -103,3 +103,9 @@ def win_probability(pairs: DataFrame, team: DataFrame, size: int = 5) -> DataFra
 def wide_by_round(rows: DataFrame, key: str, value: str, rounds: list[int]) -> DataFrame:
     """REP-10: a column for each round."""
     return rows.groupBy(key).pivot("seq", rounds).agg(F.max(value)).select(key, *(F.col(str(r)).alias(f"r{r}") for r in rounds))
+
+
+def wide_rounds(rows: DataFrame, key: str, values: list[str]) -> DataFrame:
+    """REP-10: several values of each key with a column for each round that occurs: `<round>_<value>`. Rounds are few."""
+    rounds = [r.seq for r in rows.select("seq").distinct().orderBy("seq").collect()]
+    return rows.groupBy(key).pivot("seq", rounds).agg(*(F.max(v).alias(v) for v in values))

@@ -7,6 +7,7 @@ from leaguelens.operators import boosting as B
 from leaguelens.operators import embedding as E
 from leaguelens.operators import features as X
 from leaguelens.operators import models as M
+from leaguelens.operators import registry as G
 from leaguelens.operators.checkpoints import written
 from leaguelens.plans.features import features, met_pairs, next_round
 from leaguelens.plans.ratings import PAIRED, paired
@@ -191,14 +192,61 @@ def mdl_14_all(lg):
     return M.prediction_log(predictions(lg)).withColumn("probability", F.round("probability", 8))
 
 
+def trained(lg):
+    """A registry that has been trained on all rounds but the last, has logged that one, and has been trained on all; once in
+    an application and table folder."""
+    from leaguelens.sources.round_files import shared_folder
+
+    key = (lg.spark.sparkContext.applicationId, lg.sf_dir, "registry")
+    if key not in _KEPT:
+        b, r = written(boards(lg)), G.Registry(lg.spark, shared_folder(lg.spark, "registry"))
+        last = b.agg(F.max("seq")).first()[0]
+        r.retrain(b.where(F.col("seq") < F.lit(last)))
+        r.log(b.where(F.col("seq") == F.lit(last)))
+        r.retrain(b)
+        _KEPT[key] = b, r
+    return _KEPT[key]
+
+
+@query("mdl_9")
+def mdl_9(lg):
+    """The exported vector of every player, by model version."""
+    return trained(lg)[1].vectors()
+
+
+@query("mdl_13_registry")
+def mdl_13_registry(lg):
+    """The stored models of both cycles."""
+    return trained(lg)[1].models().select("model_version", "family", "name", "metrics", "trained_boards", "trained_rounds", "is_champion")
+
+
+@query("mdl_14_champion")
+def mdl_14_champion(lg):
+    """What the champion said of the last round before it was trained on it."""
+    return trained(lg)[1].predictions()
+
+
+@query("rep_11_scorecard")
+def rep_11_scorecard(lg):
+    """How often the logged champions were right."""
+    b, r = trained(lg)
+    return G.scorecard(r.predictions(), b)
+
+
 @query("mdl_18")
 def mdl_18(lg):
-    """Every two players who have met, meeting again in the next round: both families' probabilities side by side."""
-    b = boards(lg)
+    """Every two players who have met, meeting again in the next round: the champion's probabilities beside the baseline's."""
+    from leaguelens.operators.families import family
+
+    b, r = trained(lg)
+    best = r.champion()
     again = X.hypothetical(met_pairs(lg), X.latest_sides(features(lg)), next_round(lg))
     one = lambda df, name: df.select("player_a", "player_b", *(F.col(c).alias(f"{name}_{c}") for c in ("p_win", "p_draw", "p_loss")))
     base = one(M.baseline(again, M.draw_rate(b)), BASE)
-    return base.join(one(M.predict_logistic(again, M.fit_logistic(b, 6.0, 1.0)), LOGISTIC), ["player_a", "player_b"])
+    if best.version is None:  # too little to train on
+        return base.withColumn("model_version", F.lit(None).cast("string"))
+    said = one(family(best.family).predict(again, best.model, ["player_a", "player_b"]), "champion")
+    return base.join(said, ["player_a", "player_b"]).withColumn("model_version", F.lit(best.version))
 
 
 # Sides by the stand-in ratings, which SQL can repeat: as each player stands after the last board.

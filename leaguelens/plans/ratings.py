@@ -136,8 +136,12 @@ def rat_9(lg):
 
 @query("rat_10")
 def rat_10(lg):
-    """The latest round rated live: states before it, one solve."""
-    return solved_rounds(lg.played.where(F.col("seq") == round_list(lg)[-1]), trajectory(lg))
+    """The latest round rated live, carried players included, as its snapshot keeps it: written once, by round."""
+    from leaguelens.sources.round_files import shared_folder
+
+    path = shared_folder(lg.spark, "snapshot")
+    R.live_round(lg.played, lg.status, trajectory(lg), last_round(lg)).write.partitionBy("seq").parquet(path)
+    return lg.spark.read.schema("player_id string, rating double, rd double, volatility double, carried boolean, seq long").parquet(path)
 
 
 @query("rat_11", "SELECT player_id, round_id, rating_value FROM ratings WHERE round_id % 10 <> 2")
@@ -149,14 +153,17 @@ def rat_11(lg):
 
 @query("rat_12")
 def rat_12(lg):
-    """Distilled ratings of a model that expects what the ratings at the start of a round say."""
-    from leaguelens.functions import scalars as S
-
-    entry = R.entry_states(lg.played.select("player_id", "seq", "match_id", "side", "outcome"), trajectory(lg, 1))
-    side = lambda k, s: entry.where(F.col("side") == k).select("match_id", *([F.col("seq"), F.col("outcome").alias("outcome_a")] if k == 0 else []), F.col("player_id").alias(f"player_{s}"), F.col("rating").alias(f"r{s}"), F.col("rd").alias(f"d{s}"))
-    b = side(0, "a").join(side(1, "b"), "match_id")
-    expected = S.sigmoid(S.combined_g("da", "db") * (F.col("ra") - F.col("rb")) / S.SCALE)
-    return R.distilled(b.select("seq", "player_a", "player_b", "outcome_a", expected.alias("expected")), round_list(lg))
+    """Ratings distilled from the champion for every rated row, carried players included; without a champion no rows."""
+    from leaguelens.operators import registry as G
+    from leaguelens.plans.models import trained
+
+    b, r = trained(lg)
+    points = setops.rated_set(lg.played, lg.status).join(F.broadcast(lg.rounds.select("year", "round_order", "seq")), ["year", "round_order"])
+    rated = R.at_rounds(points, trajectory(lg)).select("player_id", "seq", "rd", "volatility")
+    best = r.champion()
+    if best.version is None:
+        return rated.limit(0).withColumn("exp_rating", F.lit(None).cast("double"))
+    return G.distilled_rows(b, best, rated, round_list(lg))
 
 
 @query("rat_13", "SELECT player_id, seq, rating_value, rating_deviation FROM ratings WHERE player_id = '000000100' ORDER BY seq")

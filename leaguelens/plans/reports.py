@@ -145,3 +145,11 @@ def rep_6_computed(lg):
 def rep_10(lg):
     """Outcomes with a column for each round."""
     return P.wide_by_round(lg.played, "player_id", "outcome", list(range(27)))
+
+
+@query("rep_10_all", "SELECT * FROM (PIVOT (SELECT p.player_id, p.seq, CAST(p.seat AS DOUBLE) AS seat, p.outcome, r.rating_value AS elo FROM played p JOIN ratings r ON r.player_id = p.player_id AND r.seq = p.seq) ON seq USING max(seat) AS seat, max(elo) AS elo, max(outcome) AS outcome GROUP BY player_id)")
+def rep_10_all(lg):
+    """Seat, rating and outcome of every player with columns for every round, however many there are."""
+    rows = lg.played.join(lg.ratings.select("player_id", "seq", F.col("rating_value").alias("elo")), ["player_id", "seq"])
+    rows = rows.withColumn("seat", F.col("seat").cast("double"))
+    return P.wide_rounds(rows, "player_id", ["seat", "elo", "outcome"])
