@@ -61,13 +61,21 @@ _ENDED_BY = {
 }
 #: What an end tag may not reach over.
 _SCOPE = frozenset("table td th caption button html".split())
+#: Beyond what a start tag ends nothing.
+_BARRIERS = frozenset("ul ol dl select table div section article td th body main blockquote".split())
 
-_DROPPED = frozenset("head nav header footer aside form menu button select input dialog svg math canvas object embed audio video map label datalist".split()) | _RAW
+_DROPPED = frozenset("head nav header footer aside form menu button select input dialog svg math canvas object embed audio video map datalist".split()) | _RAW
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 _NAMES = frozenset(
     "nav navbar navigation menu submenu header masthead footer foot sidebar aside rail ad ads adv advert adverts advertisement advertising sponsor sponsored promo promoted promotion banner cookie cookies consent gdpr notice notices notification alert popup modal overlay comment comments commentlist respond disqus reply replies share sharing social related recommended recommendations newsletter subscribe subscription signup login breadcrumb breadcrumbs pagination pager widget toolbar skip".split()
 )
 
+#: Names that an article may use of its own subject.
+_AMBIGUOUS = frozenset("menu submenu cookie cookies item items".split())
+_TOLD = frozenset("p h1 h2 h3 h4 h5 h6 li dd dt blockquote".split())
+#: Parts of an article's header that are text of the article.
+_LEADS = frozenset("standfirst lead lede summary intro deck dek abstract subtitle subhead highlights keypoints key points".split())
+
 #: Words before or after one of _NAMES that leave its sense ("ad-slot", "site-header"), and those that change it.
 _CONTAINERS = frozenset("area bar block body box button buttons container content form holder inner item items links list module outer panel row section slot space text top unit wrap wrapper zone".split())
 _OTHERS = frozenset("has with without no not is show hide article post entry story content body page".split())
@@ -103,6 +111,18 @@ def parse(source: str) -> Node:
     """The page's elements. Missing end tags are supplied; text of scripts and the like is left out."""
     root = Node("#root")
     stack, at = [root], 0
+    # Places in the stack: of each tag, of tags that a start tag may end or that keep it from looking further, and of those
+    # that keep an end tag from it. So no tag looks through the stack, however many elements are open.
+    places: dict[str, list[int]] = {}
+    ending, scopes = [], []
+
+    def cut(k: int) -> None:
+        while len(stack) > k:
+            places[stack.pop().tag].pop()
+            for held in (ending, scopes):
+                if held and held[-1] == len(stack):
+                    held.pop()
+
     for_text = lambda s: stack[-1].children.append(html.unescape(s) if "&" in s else s)
     while m := _TOKEN.search(source, at):
         if m.start() > at:
@@ -112,24 +132,21 @@ def parse(source: str) -> Node:
             stack[-1].children.append(m["data"])
         elif m["end"]:
             name = m["end"].lower()
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == name:
-                    del stack[k:]
-                    break
-                if stack[k].tag in _SCOPE and name not in _SCOPE and name != "body":
-                    break
+            own = places.get(name)
+            if own and (name in _SCOPE or name == "body" or not scopes or scopes[-1] < own[-1]):
+                cut(own[-1])
         elif m["start"] or m["odd"]:
             name, attrs = (m["start"] or m["odd"]).lower(), m["attrs"] or m["rest"] or ""
             ends = True
             while ends:  # li and the like end the one before; block elements end a paragraph
                 ends = False
-                for k in range(len(stack) - 1, 0, -1):
+                for k in reversed(ending):  # a kind is there once at most before the next barrier, as each ends its own kind
                     tag = stack[k].tag
-                    if tag in _ENDED_BY and name in _ENDED_BY[tag]:
-                        del stack[k:]
+                    if name in _ENDED_BY.get(tag, ()):
+                        cut(k)
                         ends = True
                         break
-                    if tag in ("ul", "ol", "dl", "table", "select", "div", "section", "article", "td", "th", "body", "main", "blockquote"):
+                    if tag in _BARRIERS:
                         break
             node = Node(name, attrs)
             stack[-1].children.append(node)
@@ -137,6 +154,11 @@ def parse(source: str) -> Node:
                 end = _RAW_END[name].search(source, at)
                 at = end.end()
             elif name not in _VOID and not attrs.endswith("/"):
+                places.setdefault(name, []).append(len(stack))
+                if name in _ENDED_BY or name in _BARRIERS:
+                    ending.append(len(stack))
+                if name in _SCOPE:
+                    scopes.append(len(stack))
                 stack.append(node)
     if at < len(source):
         for_text(source[at:])
@@ -185,17 +207,17 @@ def regions(root: Node) -> list[Node]:
     """The page's regions with enough text, their slots set: those of which the page has one only. Numbers in classes
     don't count, as they often tell pages apart."""
     found: dict[int, list[Node]] = {}
-    todo = [(root, "")]
+    todo = [(root, b"")]
     while todo:
-        node, path = todo.pop()
+        node, path = todo.pop()  # path: a hash of the tags and names on the way
         for c in node.children:
             if isinstance(c, Node) and c.size:
                 a = c.attributes() if c.attrs else {}
                 names = sorted(_DIGITS.sub("", f"{a.get('class', '')} {a.get('id', '')}".lower()).split())
-                own = f"{path}/{c.tag} {' '.join(names)}"
+                own = xxhash.xxh3_128_digest(path + f"/{c.tag} {' '.join(names)}".encode("utf-8", "surrogatepass"))
                 todo.append((c, own))
                 if c.tag in _REGIONS and c.size >= TEMPLATE_CHARS:
-                    c.slot = signed(xxhash.xxh64_intdigest(own.encode("utf-8", "surrogatepass")))
+                    c.slot = signed(int.from_bytes(own[:8], "big"))
                     found.setdefault(c.slot, []).append(c)
     return [nodes[0] for nodes in found.values() if len(nodes) == 1]
 
@@ -241,17 +263,42 @@ def main_block(root: Node, anywhere: bool = False) -> set[int]:
     """The elements that hold the page's main block, by id(): its largest <article> or <main>; without any, the element
     with most text in paragraphs of its own. Parts with an unwanted tag or class are looked at only if there is no other
     text."""
-    best, todo = (0, 0, ()), [(root, ())]
+    best, found, todo, parents = (0, 0), None, [(root, None)], {}
     while todo:
-        node, above = todo.pop()
+        node, parent = todo.pop()
         if node.tag in _DROPPED and node.tag != "form" or named(node) and not anywhere:
             continue
-        above = (*above, id(node)) if len(above) < 200 else above
+        parents[id(node)] = parent
         marked = node.tag in ("article", "main")
         own = node.size if marked else sum(c.size for c in node.children if isinstance(c, Node) and c.tag == "p")
-        best = max(best, (int(marked), own, above)) if own else best
-        todo.extend((c, above) for c in node.children if isinstance(c, Node) and c.size)
-    return set(best[2]) if best[2] or anywhere else main_block(root, True)
+        if own and (int(marked), own) >= best:  # of equal ones the inner one
+            best, found = (int(marked), own), id(node)
+        todo.extend((c, id(node)) for c in node.children if isinstance(c, Node) and c.size)
+    if found is None and not anywhere:
+        return main_block(root, True)
+    out = set()
+    while found is not None:
+        out.add(found)
+        found = parents[found]
+    return out
+
+
+def meant(node: Node) -> bool:
+    """Whether an element of the main block that has one of _AMBIGUOUS as name is text of the article about such a thing: at
+    least half of it is in paragraphs, headings and items, and less than half in links."""
+    a = node.attributes()
+    parts = {p for token in f"{a.get('class', '')} {a.get('id', '')}".split() for p in _PART.findall(_CAMEL.sub(" ", token).lower())}
+    if (parts & _NAMES) - _AMBIGUOUS - _CONTAINERS:
+        return False
+    told, links, todo = 0, 0, [(node, False, False)]
+    while todo:
+        n, text, link = todo.pop()
+        if n.tag == "a" and not link:
+            links, link = links + n.size, True
+        if n.tag in _TOLD and not text:
+            told, text = told + n.size, True
+        todo.extend((c, text, link) for c in n.children if isinstance(c, Node))
+    return 2 * told >= node.size and 2 * links < node.size
 
 
 def main_text(source: str, templates: frozenset[int] | set[int] = frozenset(), slots: frozenset[int] | set[int] = frozenset(), names: bool = True) -> str:
@@ -270,17 +317,32 @@ def main_text(source: str, templates: frozenset[int] | set[int] = frozenset(), s
         node, inside = todo.pop()
         template = node.size and (signed(node.hash) in templates or node.slot in slots)
         if node.tag == "header" and inside and not template:  # an article's own header: headings and paragraphs stay
-            heads = [n for n in walk(node) if n.tag in _HEADS]
+            heads = leads(node)
             if heads and not any(signed(n.hash) in templates for n in heads):
-                node.tag, node.children = "section", heads[::-1]
+                node.tag, node.children = "section", heads
                 continue
-        if template or (node.tag in _RAW or node.tag == "head" if not names else unwanted(node) and not (node.tag == "form" and id(node) in main) or named(node) and id(node) not in main):
+        if template or (node.tag in _RAW or node.tag == "head" if not names else unwanted(node) and not (node.tag == "form" and id(node) in main) or named(node) and id(node) not in main and not (inside and meant(node))):
             gone.add(id(node))
             continue
         todo.extend((c, inside or node.tag in ("article", "main")) for c in node.children if isinstance(c, Node))
     return blocks(root, gone)
 
 
+def leads(header: Node) -> list[Node]:
+    """The outermost headings, paragraphs, lists and named leads of an article's header, in page order."""
+    out, todo = [], [header]
+    while todo:
+        node = todo.pop()
+        if node is not header and (unwanted(node) or named(node)):
+            continue
+        names = _PART.findall(f"{node.attributes().get('class', '')}".lower()) if node.attrs and node is not header else ()
+        if node.tag in _HEADS or node is not header and _LEADS & set(names):
+            out.append(node)
+        else:
+            todo.extend(c for c in reversed(node.children) if isinstance(c, Node))
+    return out
+
+
 def blocks(root: Node, gone: set[int]) -> str:
     out, part, todo = [], [], [root]
 

@@ -118,3 +118,34 @@ def test_very_long_page():
     began = time.time()
     text = H.main_text(f"<nav>Menu</nav><article>{body}</article>")
     assert text.count("\n\n") == 39999 and time.time() - began < 20
+
+
+def test_open_elements_take_linear_time():
+    import time
+
+    for tag in ("span", "a", "b", "font"):
+        source = "<body><article><p>Start.</p>" + f"<{tag}>x" * ((1 << 20) // (len(tag) + 3)) + "</article>"
+        began = time.time()
+        assert H.main_text(source).startswith("Start.\n\nxxx")
+        assert time.time() - began < 6
+    began = time.time()
+    H.parse("<p>" + "</b><i>x" * 130_000)  # end tags that end nothing
+    assert time.time() - began < 6
+
+
+def test_deep_pages_keep_their_main_block():
+    for depth in (5, 250, 10_000):
+        source = "<body>" + "<div>" * depth + '<div class="banner"><article><p>Deep text.</p></article></div>' + "</div>" * depth
+        assert H.main_text(source) == "Deep text.", depth
+        H.subtrees(source)
+
+
+def test_words_of_furniture_may_be_an_articles_subject():
+    page = """<article><p><label>Term</label> means this.</p><div class="menu-items"><p>The menu had soup and fish.</p></div>
+    <section id="cookies"><h2>Cookies</h2><p>Bake them.</p></section><div class="menu"><a href="/">Home</a> <a href="/b">More</a></div>
+    <div class="cookie-banner"><p>We use them here.</p></div><form><label>Name</label><input></form></article>"""
+    assert H.main_text(page) == "Term means this.\n\nThe menu had soup and fish.\n\nCookies\n\nBake them."
+    assert H.main_text('<div class="menu-items"><p>The menu had soup and fish.</p></div><article><p>Text.</p></article>') == "Text."
+    page = """<article><header><h1>T</h1><div class="standfirst">Stand first.</div><ul class="key-points"><li>One</li><li>Two</li></ul>
+    <div class="byline">By someone</div><nav><p>Away</p></nav></header><p>Body.</p></article>"""
+    assert H.main_text(page) == "T\n\nStand first.\n\nOne\n\nTwo\n\nBody."
