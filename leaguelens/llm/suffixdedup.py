@@ -271,8 +271,12 @@ def repeated_spans(runs: list[Run]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     return which[row], ids[row], places[row] - a_out, places[row] - a_in + WINDOW
 
 
-def cut(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text, others) with n_bytes, n_removed, n_spans and kept (binary: the remaining bytes) added.
+ADDED = ("n_bytes", "n_removed", "n_spans", "kept")
+
+
+def cut(docs: DataFrame, prefix: str = "") -> DataFrame:
+    """docs (doc_id, text, others) with n_bytes, n_removed, n_spans and kept (binary: the remaining bytes) added, their names
+    after `prefix`.
 
     Counted in UTF-8 bytes of the whole text; a null text is empty. Documents are ordered by doc_id. Rows that share a
     doc_id (or have none, which comes first) count as documents one after the other in order of their text, so a
@@ -280,7 +284,7 @@ def cut(docs: DataFrame) -> DataFrame:
     table gives no rows. Columns of docs with the names of added ones are replaced.
     """
     spark = docs.sparkSession
-    added = ("n_bytes", "n_removed", "n_spans", "kept")
+    added = [prefix + c for c in ADDED]
     docs = docs.drop(*added)
     names = docs.columns
     key = "_block"
@@ -352,14 +356,14 @@ def cut(docs: DataFrame) -> DataFrame:
             n_spans.append(int(o[:1].sum() + (o[1:] & ~o[:-1]).sum()))
             kept.append(b.data[x:y][~o].tobytes())
         table = b.table.select(result)
-        for name, values, kind_ in (("n_bytes", n_bytes, pa.int64()), ("n_removed", n_removed, pa.int64()), ("n_spans", n_spans, pa.int64()), ("kept", kept, pa.binary())):
+        for name, values, kind_ in zip(added, (n_bytes, n_removed, n_spans, kept), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True):
             table = table.append_column(name, pa.array(values, kind_))
         return table
 
     bits = placed.groupBy(key).applyInArrow(ask, "bucket long, block long, body binary").groupBy("bucket").applyInArrow(answer, "block long, bucket long, kind int, body binary")
     runs = placed.groupBy(key).cogroup(bits.groupBy("block")).applyInArrow(send, "bucket long, block long, body binary")
     spans = runs.groupBy("bucket").applyInArrow(decide, "block long, bucket long, kind int, body binary")
-    return placed.groupBy(key).cogroup(bits.unionByName(spans).groupBy("block")).applyInArrow(clean, f"{kinds}, n_bytes long, n_removed long, n_spans long, kept binary")
+    return placed.groupBy(key).cogroup(bits.unionByName(spans).groupBy("block")).applyInArrow(clean, kinds + "".join(f", `{c}` {kind}" for c, kind in zip(added, ("long", "long", "long", "binary"), strict=True)))
 
 
 def op9_suffix_dedup(spark, sf_dir: str) -> DataFrame:
@@ -372,9 +376,13 @@ def without_repeats(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: every row stays, its text without repeated passages and n_chars set anew; columns of documents.
 
     A cut may fall inside a character of several bytes; what is left of such a character goes too. A null text stays null.
+    Other columns keep their values, whatever their names.
     """
-    out = cut(docs)
-    text = F.when(F.col("text").isNotNull(), F.when(F.col("n_removed") == 0, F.col("text")).otherwise(_valid("kept")))
+    prefix = "_"
+    while any(prefix + c in docs.columns for c in ADDED):
+        prefix += "_"
+    out = cut(docs, prefix)
+    text = F.when(F.col("text").isNotNull(), F.when(F.col(f"{prefix}n_removed") == 0, F.col("text")).otherwise(_valid(f"{prefix}kept")))
     return out.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 

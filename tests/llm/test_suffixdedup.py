@@ -93,3 +93,13 @@ def test_edge_tables(spark):
     assert len(out) == 5
     assert sorted((str(r.doc_id), r.text, r.n_chars) for r in out if r.text is not None) == sorted([("1", "", 0), ("1", "", 0), ("None", "x" + line, len(line) + 1), ("2", "éé", 2)])
     assert sum(r.text is None for r in out) == 1
+
+
+def test_stage_keeps_the_values_of_clashing_columns(spark):
+    from leaguelens.llm import suffixdedup
+
+    rows = [(1, "a" * 150 + "b" * 150, 77, "mine", 5, 6, 9, b"x"), (2, "c" + "a" * 150, 78, "yours", 7, 8, 9, b"y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_bytes int, kept string, n_removed int, n_spans int, n_chars long, _kept binary")
+    got = sorted(suffixdedup.without_repeats(spark, docs, "").collect())
+    assert [(r.n_bytes, r.kept, r.n_removed, r.n_spans, bytes(r._kept)) for r in got] == [(77, "mine", 5, 6, b"x"), (78, "yours", 7, 8, b"y")]
+    assert len(got[1].text) < 151 and got[1].n_chars == len(got[1].text)
