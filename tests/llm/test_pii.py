@@ -113,3 +113,31 @@ def test_recall_and_precision_of_added_spans(spark, model):
         wrong, clean = wrong + (found and not label), clean + (not label)
     assert planted > 200 and clean > 200
     assert hit / planted > 0.75 and hit / (hit + wrong) > 0.95, (hit, planted, wrong, clean)
+
+
+def test_forms_without_a_word_before_them(spark, model):
+    """Ordinary forms set into real sentences with nothing to announce them, whole spans only; and the false alarms of whole
+    documents that hold none of them."""
+    rng = random.Random(77)
+    d = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    w = lambda: "".join(rng.choice("aeiourtsnlm") for _ in range(rng.randint(3, 8)))
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("doc_id % 10 = 3 and lang = 'en'").orderBy("doc_id").limit(300).collect() if r.text]
+    sentences = [s.strip() for t in texts for s in t.split(".") if len(s.split()) > 6]
+    forms = {
+        "dashes": lambda: f"{d(3)}-{d(3)}-{d(4)}", "dots": lambda: f"{d(3)}.{d(3)}.{d(4)}", "area": lambda: f"0{d(4)} {d(6)}", "abroad": lambda: f"0049 {d(3)} {d(7)}",
+        "pairs": lambda: f"0{rng.randint(1, 9)} " + " ".join(d(2) for _ in range(4)), "spoken": lambda: f"{w()} dot {w()} at {w()} dot com", "brackets": lambda: f"{w()} [at] {w()} [dot] org",
+    }
+    for name, form in forms.items():
+        whole = 0
+        for _ in range(100):
+            s = rng.choice(sentences).split()
+            k = rng.randrange(2, len(s) - 2)
+            body = form()
+            text = " ".join([*s[:k], body, *s[k:]])
+            start = len(" ".join(s[:k])) + 1
+            whole += any((a, b) == (start, start + len(body)) for a, _, b in P.find([text], model)[0][1])
+        assert whole >= 90, (name, whole)
+    base, every = zip(*P.find(texts, model), strict=True)
+    added = sum(map(len, every)) - sum(map(len, base))
+    assert added <= 0.02 * len(texts), [t[a:b] for t, e, s in zip(texts, every, base, strict=True) for a, k, b in e if (a, k, b) not in s][:20]
+    assert len({round(x, 6) for x in model.thresholds}) > 1
