@@ -7,6 +7,7 @@ is one row until its orders are exploded, and no roster is joined with a table o
 from __future__ import annotations
 
 import itertools
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -125,6 +126,95 @@ class Search:
         return win * tail[0] + draw * tail[1] + (1 - win - draw) * tail[2]
 
 
+#: Prefixes of three seats that are extended at once; pools up to which trying all lineups takes less than bounding them,
+#: and as little memory.
+PREFIXES, SMALL_POOL = 64, 8
+
+
+class Bounded:
+    """The best and the safest lineup of a pool without trying all: prefixes are extended seat by seat, and one is left as soon
+    as neither can be among its lineups. What a prefix can still reach, against each order, is bounded by setting the
+    remaining seats with players who don't exist: as likely to win there as the likeliest of the pool, and as likely not to
+    lose. A block of prefixes takes some MB, whatever the pool's size."""
+
+    def __init__(self, w: np.ndarray, d: np.ndarray, orders: np.ndarray, share: np.ndarray) -> None:
+        self.n, self.share = len(w), share
+        seats = np.arange(SEATS)
+        self.win, self.draw = (np.moveaxis(x[:, orders, seats], 2, 0) for x in (w, d))  # seat x player x order
+        win = self.win.max(axis=1)
+        draw = np.maximum((self.win + self.draw).max(axis=1) - win, 0)
+        after = np.zeros((len(orders), 2 * SEATS + 3))
+        after[:, SEATS + 1 :] = 1
+        self.reach = [after]  # chance to win by half points so far, with seats from s on still to come, for s from the last
+        for s in range(SEATS - 1, -1, -1):
+            now = after.copy()
+            now[:, :-2] = (1 - win[s] - draw[s])[:, None] * after[:, :-2] + draw[s][:, None] * after[:, 1:-1] + win[s][:, None] * after[:, 2:]
+            after = now
+            self.reach.insert(0, after)
+        self.found = [(-1.0, ()), (-1.0, ())]  # of most expected wins, of best worst case
+
+    def extended(self, rows: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Every prefix with every further player, and their half-point distributions."""
+        s = rows.shape[1]
+        free = np.ones((len(rows), self.n), bool)
+        np.put_along_axis(free, rows.astype(np.int64), False, axis=1)
+        parent, player = np.nonzero(free)
+        old, win, draw = state[parent], self.win[s][player][:, :, None], self.draw[s][player][:, :, None]
+        new = np.zeros((*old.shape[:2], old.shape[2] + 2))
+        new[:, :, :-2] = old * (1 - win - draw)
+        new[:, :, 1:-1] += old * draw
+        new[:, :, 2:] += old * win
+        return np.concatenate([rows[parent], player[:, None].astype(np.int16)], axis=1), new
+
+    def bounds(self, state: np.ndarray, s: int) -> tuple[np.ndarray, np.ndarray]:
+        """(expected, worst) chance to win at most of each prefix of s seats; what they are, of a whole lineup."""
+        each = np.einsum("pok,ok->po", state, self.reach[s][:, : state.shape[2]])
+        return each @ self.share, each.min(axis=1)
+
+    def open(self, state: np.ndarray, s: int) -> tuple[np.ndarray, np.ndarray]:
+        """Prefixes that may hold one of the two, and their bounds of expected wins; nine places count."""
+        both = self.bounds(state, s)
+        keep = np.zeros(len(state), bool)
+        for value, (least, _) in zip(both, self.found, strict=True):
+            keep |= value + 1e-9 >= least
+        return np.flatnonzero(keep), both[0]
+
+    def take(self, rows: np.ndarray, state: np.ndarray) -> None:
+        for k, value in enumerate(self.bounds(state, SEATS)):
+            value = np.round(value, 9)
+            top = value.max(initial=-1.0)
+            if top >= self.found[k][0]:
+                lineup = min(map(tuple, rows[value == top].tolist()))
+                self.found[k] = min(self.found[k], (top, lineup), key=lambda x: (-x[0], x[1]))
+
+    def run(self, tries: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+        """(best, safest); tries: some lineups to begin with. Of equal ones the one of smaller places in the pool."""
+        for lineup in tries:
+            rows, state = np.zeros((1, 0), np.int16), np.ones((1, self.win.shape[2], 1))
+            for i in lineup:
+                rows, state = self.extended(rows, state)
+                state, rows = state[rows[:, -1] == i], rows[rows[:, -1] == i]
+            self.take(rows, state)
+        rows, state = np.zeros((1, 0), np.int16), np.ones((1, self.win.shape[2], 1))
+        for s in range(1, 4):
+            rows, state = self.extended(rows, state)
+            keep, value = self.open(state, s)
+            keep = keep[np.argsort(-value[keep], kind="stable")]  # those of most promise first
+            rows, state = rows[keep], state[keep]
+        for at in range(0, len(rows), PREFIXES):
+            some, held = rows[at : at + PREFIXES], state[at : at + PREFIXES]
+            for s in range(3, SEATS + 1):
+                if s > 3:
+                    some, held = self.extended(some, held)
+                keep, _ = self.open(held, s)  # again, as others have been found since
+                some, held = some[keep], held[keep]
+                if not len(some):
+                    break
+            if len(some):
+                self.take(some, held)
+        return np.array(self.found[0][1]), np.array(self.found[1][1])
+
+
 def team_results(w: np.ndarray, d: np.ndarray, lineup: np.ndarray, orders: np.ndarray) -> np.ndarray:
     """LIN-7 in a task: win, tie and loss of one lineup against each order."""
     state = np.zeros((len(orders), 2 * SEATS + 1))
@@ -160,31 +250,33 @@ def search(cells: DataFrame) -> DataFrame:
             out = []
             for hall, opp, ids, ratings, opp_ids, opp_ratings, orders, shares, w, d in zip(*(batch.column(k).to_pylist() for k in range(10)), strict=True):
                 n = len(ids)
-                tree = trees[n] = trees.get(n) or Search(n)
                 w, d = (np.broadcast_to(np.array(x).reshape(n, SEATS, -1), (n, SEATS, SEATS)) for x in (w, d))
                 seat_of = {p: k for k, p in enumerate(opp_ids)}
                 order = np.array([[seat_of[p] for p in o] for o in orders])
                 share = np.array(shares) / sum(shares) if sum(shares) > 0 else np.full(len(order), 1 / len(order))
-                won = tree.wins(w, d, order)
-                expected, worst = np.round(won @ share, 9), np.round(won.min(axis=1), 9)
-
                 def told(lineup, w=w, d=d, order=order, share=share, ids=ids):
                     r = team_results(w, d, lineup, order)
                     win, tie, loss = (float(x) for x in np.round(share @ r, 9))
                     return {"lineup": [ids[i] for i in lineup], "win": win, "tie": tie, "loss": loss, "worst": float(np.round(r[:, 0].min(), 9))}
 
-                best, safe = tree.lineups[int(expected.argmax())], tree.lineups[int(worst.argmax())]
                 strong = sorted(range(n), key=lambda i: (-ratings[i], ids[i]))[:SEATS]  # noqa: B023
                 rank = sorted(range(SEATS), key=lambda i: (-opp_ratings[i], opp_ids[i]))  # noqa: B023
                 seats = [int(np.flatnonzero(order[0] == i)[0]) for i in rank]
-                patterns = [{"name": "strength order", **told(strong)}]
+                fixed = [("strength order", strong)]
                 for name, against in ARCHETYPES:
                     lineup = [0] * SEATS
                     for r, other in enumerate(against):
                         lineup[seats[other]] = strong[r]
-                    patterns.append({"name": name, **told(lineup)})
+                    fixed.append((name, lineup))
+                patterns = [{"name": name, **told(lineup)} for name, lineup in fixed]
+                if n <= SMALL_POOL:
+                    tree = trees[n] = trees.get(n) or Search(n)
+                    won = tree.wins(w, d, order)
+                    best, safe = tree.lineups[int(np.round(won @ share, 9).argmax())], tree.lineups[int(np.round(won.min(axis=1), 9).argmax())]
+                else:
+                    best, safe = Bounded(w, d, order, share).run([lineup for _, lineup in fixed])
                 patterns.append({"name": "free optimum", **told(best)})
-                out.append((hall, opp, len(tree.lineups), told(best), told(safe), [float(w[best[s], order[0][s], s]) for s in range(SEATS)], patterns))
+                out.append((hall, opp, math.perm(n, SEATS), told(best), told(safe), [float(w[best[s], order[0][s], s]) for s in range(SEATS)], patterns))
             columns = [list(c) for c in zip(*out, strict=True)] if out else [[]] * 7
             yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(columns, kinds, strict=True)], schema=kinds)
 

@@ -35,7 +35,9 @@ def case(spark):
     return spark.createDataFrame([row], schema), ids, opp, w, d, orders, shares, ratings
 
 
-def test_search_equals_trying_all(case):
+@pytest.mark.parametrize("small", [8, 0])
+def test_search_equals_trying_all(case, small, monkeypatch):
+    monkeypatch.setattr(L, "SMALL_POOL", small)
     frame, ids, opp, w, d, orders, shares, ratings = case
     got = L.search(frame).first()
     tried = []
@@ -99,3 +101,32 @@ def test_explained(spark):
     got = {r.k: r.x for r in spark.createDataFrame(rows, "k int, b array<double>").select("k", L.explained(F.col("b")).alias("x")).collect()}
     assert (got[1].sacrifice, got[1].favoured) == (2, [1, 3, 5]) and (got[2].sacrifice, got[2].favoured) == (None, [2, 3, 4, 5])
     assert (got[3].sacrifice, got[3].favoured) == (1, [])
+
+
+def test_bounded_search_equals_all_lineups_in_little_memory(monkeypatch):
+    import tracemalloc
+
+    rng = np.random.default_rng(4)
+    for n, k, case in ((5, 1, "any"), (6, 24, "any"), (9, 5, "ties"), (9, 7, "ranked"), (12, 24, "any"), (12, 24, "ranked")):
+        w, d = rng.random((n, 5, 5)) * 0.7, rng.random((n, 5, 5)) * 0.3
+        if case == "ties":
+            w, d = w.round(1), np.zeros_like(d)
+        if case == "ranked":
+            w = np.clip(0.45 + np.sort(rng.normal(0, 0.2, n))[:, None, None] - np.sort(rng.normal(0, 0.2, 5))[None, :, None] + np.zeros((1, 1, 5)), 0.05, 0.9)
+            d = np.full_like(w, 0.05)
+        orders, share = np.array([rng.permutation(5) for _ in range(k)]), rng.dirichlet(np.ones(k))
+        tree = L.Search(n)
+        won = tree.wins(w, d, orders)
+        for size in (7, 256):
+            monkeypatch.setattr(L, "PREFIXES", size)
+            best, safe = L.Bounded(w, d, orders, share).run([list(range(5))])
+            for lineup, value in ((best, np.round(won @ share, 9)), (safe, np.round(won.min(axis=1), 9))):
+                at = int(np.flatnonzero((tree.lineups == lineup).all(axis=1))[0])
+                assert value[at] == pytest.approx(value.max(), abs=1.1e-9), (n, case)
+                if case == "ties":
+                    assert at == int(value.argmax())
+    w, d, orders = rng.random((16, 5, 5)) * 0.7, rng.random((16, 5, 5)) * 0.3, np.array([rng.permutation(5) for _ in range(24)])
+    tracemalloc.start()
+    L.Bounded(w, d, orders, np.full(24, 1 / 24)).run([list(range(5))])
+    assert tracemalloc.get_traced_memory()[1] < 100e6
+    tracemalloc.stop()
