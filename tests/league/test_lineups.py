@@ -125,6 +125,7 @@ def test_bounded_search_equals_all_lineups_in_little_memory(monkeypatch):
                 assert value[at] == pytest.approx(value.max(), abs=1.1e-9), (n, case)
                 if case == "ties":
                     assert at == int(value.argmax())
+    monkeypatch.undo()
     w, d, orders = rng.random((16, 5, 5)) * 0.7, rng.random((16, 5, 5)) * 0.3, np.array([rng.permutation(5) for _ in range(24)])
     tracemalloc.start()
     L.Bounded(w, d, orders, np.full(24, 1 / 24)).run([list(range(5))])
