@@ -54,11 +54,12 @@ def matrix(column: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def wide_rows(column: pa.Array) -> dict[int, list[int]]:
-    """floor(SCALE * x) of each component of the finite vectors with a squared length of TOO_LONG or more, by row."""
-    narrow = {i for rows, _ in matrix(column).values() for i in rows.tolist()}
+def wide_rows(column: pa.Array, held: dict[int, tuple[np.ndarray, np.ndarray]]) -> dict[int, list[int]]:
+    """floor(SCALE * x) of each component of the finite vectors with a squared length of TOO_LONG or more, by row; held: the
+    matrix of the column."""
     out = {}
-    if len(narrow) < len(column):
+    if sum(len(rows) for rows, _ in held.values()) < len(column):
+        narrow = {i for rows, _ in held.values() for i in rows.tolist()}
         for i, v in enumerate(column.to_pylist()):
             if i not in narrow and v is not None and all(x is not None and np.isfinite(x) for x in v):
                 out[i] = [int(np.floor(SCALE * x)) if abs(x) < 1e300 else int(x) * SCALE for x in v]
@@ -191,14 +192,14 @@ def search(vectors: DataFrame, k: int = 10, every: int = 100, evaluated=None) ->
     def place(batches):
         """Vectors as bytes, with their nearest pivot and the distance to it."""
         for batch in batches:
-            ids = batch.column(0).to_numpy()
-            for d, (rows, whole) in matrix(batch.column(1)).items():
+            ids, held = batch.column(0).to_numpy(), matrix(batch.column(1))
+            for d, (rows, whole) in held.items():
                 pivots = shared.value.get(d, nothing(d))[2]
                 table = pivots.distances(whole) if pivots else np.zeros((len(rows), 1))
                 square = (whole.astype(np.float64) ** 2).sum(axis=1)
                 near = table.argmin(axis=1) if len(rows) else np.zeros(0, np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(ids[rows]), pa.array(np.full(len(rows), d, np.int32)), pa.array(near), pa.array(table[np.arange(len(rows)), near]), pa.array(square), pa.array([v.tobytes() for v in whole], pa.binary())], ["vec_id", "size", "near", "gap", "square", "row"])
-            if wide := wide_rows(batch.column(1)):
+            if wide := wide_rows(batch.column(1), held):
                 n = len(wide)
                 yield pa.RecordBatch.from_arrays([pa.array(ids[list(wide)]), pa.array([len(v) for v in wide.values()], pa.int32()), pa.array([WIDE] * n, pa.int64()), pa.array([0.0] * n), pa.array([0.0] * n), pa.array([text_of(v) for v in wide.values()], pa.binary())], ["vec_id", "size", "near", "gap", "square", "row"])
 
