@@ -100,8 +100,10 @@ def win_probability(pairs: DataFrame, team: DataFrame, size: int = 5) -> DataFra
     return both.select("hall_id", "opp_hall_id", (F.aggregate(won, F.lit(0.0), lambda s, v: s + v) / F.size(won)).alias("win_share"))
 
 
-def wide_by_round(rows: DataFrame, key: str, value: str, rounds: list[int]) -> DataFrame:
-    """REP-10: a column for each round."""
+def wide_by_round(rows: DataFrame, key: str, value: str, rounds: list[int] | None = None) -> DataFrame:
+    """REP-10: a column for each round, by default for each that occurs. Rounds are few."""
+    if rounds is None:
+        rounds = [r.seq for r in rows.select("seq").distinct().orderBy("seq").collect()]
     return rows.groupBy(key).pivot("seq", rounds).agg(F.max(value)).select(key, *(F.col(str(r)).alias(f"r{r}") for r in rounds))
 
 

@@ -158,6 +158,23 @@ def counted(read):
     return reduce(DataFrame.unionByName, (df.groupBy().agg(F.count("*").alias("n")).select(F.lit(name).alias("table_name"), "n") for name, df in read.items()))
 
 
+#: Of each table the key of a row, a number that places it, and a value.
+ROW_COLUMNS = {
+    "rounds": ("round_label", "seq", "round_id"),
+    "boards": ("player_id0", "match_id", "score0"),
+    "participants": ("player_id", "match_id", "outcome"),
+    "status": ("player_id", "year", "hall_id"),
+    "names": ("name", "first_seen_year", "last_seen_year"),
+    "ratings": ("player_id", "seq", "rating_value"),
+}
+ROWS = " UNION ALL ".join(f"SELECT '{t}' AS table_name, {k} AS row_key, CAST({n} AS BIGINT) AS place, CAST({v} AS DOUBLE) AS value FROM {'sides' if t == 'participants' else t}" for t, (k, n, v) in ROW_COLUMNS.items())
+
+
+def rows_of(read):
+    """Every row of every table that was read back, by ROW_COLUMNS."""
+    return reduce(DataFrame.unionByName, (read[t].select(F.lit(t).alias("table_name"), F.col(k).alias("row_key"), F.col(n).cast("long").alias("place"), F.col(v).cast("double").alias("value")) for t, (k, n, v) in ROW_COLUMNS.items()))
+
+
 def dumped(lg):
     """All tables of the league and an empty one, which is skipped, dumped and read back."""
     given = {**tables(lg), "none": lg.rounds.where("seq < 0")}
@@ -172,10 +189,10 @@ def snapshot(lg):
     return sinks.read_snapshot(lg.spark, root, {name: df.schema for name, df in given.items()})
 
 
-@query("snk_1", "SELECT year, round_order, seq, round_id, round_label FROM rounds")
+@query("snk_1", ROWS)
 def snk_1(lg):
-    """The rounds out of a dump of all tables."""
-    return dumped(lg)["rounds"]
+    """Every row of every table of a dump."""
+    return rows_of(dumped(lg))
 
 
 @query("snk_1_tables", COUNTS)
@@ -184,10 +201,10 @@ def snk_1_tables(lg):
     return counted(dumped(lg))
 
 
-@query("snk_2", "SELECT player_id, seq, rating_value FROM ratings")
+@query("snk_2", ROWS)
 def snk_2(lg):
-    """The ratings out of a snapshot of all tables."""
-    return snapshot(lg)["ratings"].select("player_id", "seq", "rating_value")
+    """Every row of every table of a snapshot."""
+    return rows_of(snapshot(lg))
 
 
 @query("snk_2_tables", COUNTS)

@@ -173,25 +173,21 @@ def mdl_13(lg):
     return halls.select("hall_id", M.version("elo", F.lit(lg.rounds.count()), F.to_json(F.struct(F.col("hall_id").alias("hall")))).alias("model_version"))
 
 
-@query(
-    "mdl_14",
-    PREDICTED + "SELECT match_id, model, CASE WHEN p_win = greatest(p_win, p_draw, p_loss) THEN 'a' WHEN p_draw = greatest(p_win, p_draw, p_loss) THEN 'draw' ELSE 'b' END AS predicted, round(greatest(p_win, p_draw, p_loss), 8) AS probability FROM preds WHERE abs(p_win - p_loss) > 1e-9 OR model = 'flat'",
-)
-def mdl_14(lg):
-    """The log of the stand-in predictions without the boards that its SQL leaves out; mdl_14_all has them too."""
-    p = predictions(lg).where("abs(p_win - p_loss) > 1e-9 or model = 'flat'")
-    return M.prediction_log(p).withColumn("probability", F.round("probability", 8))
+LOGGED = PREDICTED + "SELECT match_id, model, CASE WHEN round(p_win, 9) = round(greatest(p_win, p_draw, p_loss), 9) THEN 'a' WHEN round(p_draw, 9) = round(greatest(p_win, p_draw, p_loss), 9) THEN 'draw' ELSE 'b' END AS predicted, round(greatest(p_win, p_draw, p_loss), 8) AS probability FROM preds"
 
 
-@query(
-    "mdl_14_all",
-    PREDICTED + "SELECT match_id, model, CASE WHEN round(p_win, 9) = round(greatest(p_win, p_draw, p_loss), 9) THEN 'a' WHEN round(p_draw, 9) = round(greatest(p_win, p_draw, p_loss), 9) THEN 'draw' ELSE 'b' END AS predicted, round(greatest(p_win, p_draw, p_loss), 8) AS probability FROM preds",
-)
-def mdl_14_all(lg):
+@query("mdl_14", LOGGED)
+def mdl_14(lg):
     """The log of the stand-in predictions of every board; ties as in prediction_log."""
     return M.prediction_log(predictions(lg)).withColumn("probability", F.round("probability", 8))
 
 
+@query("mdl_14_all", LOGGED)
+def mdl_14_all(lg):
+    """As mdl_14."""
+    return mdl_14(lg)
+
+
 def trained(lg):
     """A registry that has been trained on all rounds but the last, has logged that one, and has been trained on all; once in
     an application and table folder."""

@@ -141,10 +141,10 @@ def rep_6_computed(lg):
     return P.hall_rounds(lg.sides, computed(lg))
 
 
-@query("rep_10", "SELECT player_id, " + ", ".join(f"max(CASE WHEN seq = {r} THEN outcome END) AS r{r}" for r in range(27)) + " FROM played GROUP BY 1")
+@query("rep_10", "SELECT * FROM (PIVOT (SELECT player_id, 'r' || seq AS column_name, outcome FROM played) ON column_name USING max(outcome) GROUP BY player_id)")
 def rep_10(lg):
-    """Outcomes with a column for each round."""
-    return P.wide_by_round(lg.played, "player_id", "outcome", list(range(27)))
+    """Outcomes with a column for each round, however many there are."""
+    return P.wide_by_round(lg.played, "player_id", "outcome")
 
 
 @query("rep_10_all", "SELECT * FROM (PIVOT (SELECT p.player_id, p.seq, CAST(p.seat AS DOUBLE) AS seat, p.outcome, r.rating_value AS elo FROM played p JOIN ratings r ON r.player_id = p.player_id AND r.seq = p.seq) ON seq USING max(seat) AS seat, max(elo) AS elo, max(outcome) AS outcome GROUP BY player_id)")
