@@ -130,3 +130,14 @@ def test_rows_that_share_a_doc_id(spark):
     kept = S.keep_one(spark, docs, "")
     assert kept.columns == docs.columns
     assert sorted((r.doc_id, r.text) for r in kept.collect()) == sorted([(1, one), (1, two), (6, far)])
+
+
+def test_very_long_texts(spark):
+    """A megabyte of words, the same with one word changed, one long word, and white space alone, in one table."""
+    rng = random.Random(11)
+    words = [f"w{rng.randrange(5000)}" for _ in range(180_000)]
+    long = " ".join(words)
+    other = " ".join([*words[:90_000], "changed", *words[90_001:]])
+    rows = [(5, long), (3, other), (9, "z" * 1_500_000), (8, " \t" * 600_000), (7, None), (2, "short text")]
+    got = S.components(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((r.doc_id, r.fingerprint, r.component_id) for r in got.collect()) == slow_components(rows)

@@ -103,3 +103,12 @@ def test_stage_keeps_the_values_of_clashing_columns(spark):
     got = sorted(suffixdedup.without_repeats(spark, docs, "").collect())
     assert [(r.n_bytes, r.kept, r.n_removed, r.n_spans, bytes(r._kept)) for r in got] == [(77, "mine", 5, 6, b"x"), (78, "yours", 7, 8, b"y")]
     assert len(got[1].text) < 151 and got[1].n_chars == len(got[1].text)
+
+
+def test_very_long_texts(spark):
+    """Texts of over half a megabyte, with a passage that recurs far apart and one that a short document shares."""
+    rng = random.Random(12)
+    text = "".join(rng.choice("abcdefgh ") for _ in range(600_000))
+    rows = [(1, text), (2, text[300_000:300_180] + " tail"), (3, "y" * 5000 + text[:400_000][::-1] + text[100:350]), (4, None)]
+    got = D.cut(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in got} == slow(rows)
