@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from leaguelens.llm.common import partitions_for, stretches, text_bytes
+from leaguelens.llm.common import bounded_batches, partitions_for, stretches, sums_before, text_bytes
 
 WINDOW = 100
 CORE = 32
@@ -84,17 +84,20 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 class Block:
-    """The documents of a block in order of doc_id, and their anchors; equal on every call for equal rows."""
+    """The documents of a block in order of doc_id and start, and their anchors; equal on every call for equal rows.
 
-    def __init__(self, table: pa.Table, buckets: int) -> None:
-        order = pc.sort_indices(table, sort_keys=[("doc_id", "ascending"), ("text", "ascending")], null_placement="at_start")
+    `start` names the column of a document's place among the rows of its doc_id.
+    """
+
+    def __init__(self, table: pa.Table, buckets: int, start: str) -> None:
+        order = pc.sort_indices(table, sort_keys=[("doc_id", "ascending"), (start, "ascending")], null_placement="at_start")
         self.table = table.take(order)
         self.data, self.offsets = text_bytes(self.table["text"])
         ids = self.table["doc_id"]
         self.ids = np.array([_NO_ID if x is None else x for x in ids.to_pylist()], np.int64)
-        new = np.concatenate([[True], self.ids[1:] != self.ids[:-1]]) if len(self.ids) else np.zeros(0, bool)
-        #: where the first row of the same doc_id begins; places are counted from there
-        self.base = self.offsets[:-1][new][np.cumsum(new) - 1] if len(self.ids) else np.zeros(0, np.int64)
+        self.start = self.table[start].to_numpy().astype(np.int64)
+        #: what is taken from a place in the block to count it from the start of its doc_id
+        self.base = self.offsets[:-1] - self.start
         self.place, self.first, self.last = anchors(self.data, self.offsets)
         self.hash = _mixed(self._cores())
         self.buckets = buckets
@@ -123,6 +126,11 @@ class Block:
                 known[a:b] |= np.unpackbits(np.frombuffer(answers[bucket], np.uint8), count=b - a).astype(bool)
         return np.flatnonzero(known[self.of])
 
+    def document_of(self, ids: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """The document that holds each place, which is counted from the start of its doc_id."""
+        first, end = (np.searchsorted(self.ids, ids, side) for side in ("left", "right"))
+        return np.clip(np.searchsorted(self.start, places, "right") - 1, first, end - 1)
+
     def suffixes(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(records, order, leads): a row of bytes for each chosen anchor (bucket, right side, its length, left side
         from the anchor back, its length), their sorted order, and which of that order are the first of equal ones."""
@@ -274,28 +282,39 @@ def repeated_spans(runs: list[Run]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
 ADDED = ("n_bytes", "n_removed", "n_spans", "kept")
 
 
+def _started(docs: DataFrame, start: str) -> DataFrame:
+    """docs with the column `start`, by which rows of one doc_id follow one another in order of their text: the bytes and
+    rows before in the order of all rows. Ranges of that order are numbered side by side, so a hot doc_id is split."""
+    bounded_batches(docs.sparkSession)
+    names = docs.columns
+    plain = docs.toDF(*(c if c in ("doc_id", "text") else f"c{k}" for k, c in enumerate(names)))
+    sized = plain.withColumn("size", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1)
+    return sums_before(sized, [F.col("doc_id"), F.col("text")], start="size").drop("size").toDF(*names, start)
+
+
 def cut(docs: DataFrame, prefix: str = "") -> DataFrame:
     """docs (doc_id, text, others) with n_bytes, n_removed, n_spans and kept (binary: the remaining bytes) added, their names
     after `prefix`.
 
     Counted in UTF-8 bytes of the whole text; a null text is empty. Documents are ordered by doc_id. Rows that share a
     doc_id (or have none, which comes first) count as documents one after the other in order of their text, so a
-    repeated row is removed as a copy. Windows don't cross rows. Texts under WINDOW bytes stay as they are. An empty
+    repeated row is removed as a copy; they are dealt to blocks one by one, as rows of different ids are. Windows don't cross rows. Texts under WINDOW bytes stay as they are. An empty
     table gives no rows. Columns of docs with the names of added ones are replaced.
     """
     spark = docs.sparkSession
     added = [prefix + c for c in ADDED]
     docs = docs.drop(*added)
     names = docs.columns
-    key = "_block"
-    while key in names:
-        key += "_"
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    key, start = "_block", "_start"
+    while key in names or start in names:
+        key, start = key + "_", start + "_"
+    size, rows = docs.groupBy("doc_id").agg(F.sum(F.octet_length("text")).alias("size"), F.count("*").alias("n")).agg(F.coalesce(F.sum("size"), F.lit(0)), F.max("n")).first()
+    dealt = docs.withColumn(start, F.lit(0).cast("long")) if (rows or 0) < 2 else _started(docs, start)
     blocks, buckets = max(LEAST_PARTS, -(-size // BLOCK_BYTES)), max(LEAST_PARTS, -(-size // BUCKET_BYTES))
-    placed = docs.withColumn(key, F.pmod(F.xxhash64("doc_id"), F.lit(blocks))).repartition(partitions_for(spark, size, 24e6), key)
+    placed = dealt.withColumn(key, F.pmod(F.xxhash64("doc_id", start), F.lit(blocks))).repartition(partitions_for(spark, size, 24e6), key)
 
     def ask(table: pa.Table) -> pa.Table:
-        b = Block(table, buckets)
+        b = Block(table, buckets, start)
         parts = b.slices()
         return pa.table({"bucket": pa.array([x[0] for x in parts], pa.int64()), "block": pa.array([table[key][0].as_py()] * len(parts), pa.int64()), "body": pa.array([b.unique[x[1] : x[2]].tobytes() for x in parts], pa.binary())})
 
@@ -308,7 +327,7 @@ def cut(docs: DataFrame, prefix: str = "") -> DataFrame:
     def send(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return pa.table({"bucket": pa.array([], pa.int64()), "block": pa.array([], pa.int64()), "body": pa.array([], pa.binary())})
-        b = Block(left, buckets)
+        b = Block(left, buckets, start)
         chosen = b.repeated(dict(zip(right["bucket"].to_pylist(), right["body"].to_pylist(), strict=True)))
         rec, order, leads = b.suffixes(chosen)
         rec, chosen = rec[leads], chosen[order[leads]]
@@ -331,10 +350,11 @@ def cut(docs: DataFrame, prefix: str = "") -> DataFrame:
 
     result = placed.schema.fieldNames()
     result.remove(key)
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in placed.schema.fields if f.name != key)
+    result.remove(start)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in placed.schema.fields if f.name in result)
 
     def clean(left: pa.Table, right: pa.Table) -> pa.Table:
-        b = Block(left, buckets)
+        b = Block(left, buckets, start)
         kind, bucket, body = (right[c].to_pylist() for c in ("kind", "bucket", "body"))
         gone = np.zeros(len(b.data) + 1, np.int64)
         chosen = b.repeated({k: x for t, k, x in zip(kind, bucket, body, strict=True) if t == 0})
@@ -343,8 +363,7 @@ def cut(docs: DataFrame, prefix: str = "") -> DataFrame:
         np.add.at(gone, b.first[copies], 1)
         np.add.at(gone, b.last[copies] + WINDOW, -1)
         spans = np.frombuffer(b"".join(x for t, x in zip(kind, body, strict=True) if t == 1), "<i8").reshape(-1, 3)
-        new = np.flatnonzero(b.base == b.offsets[:-1]) if len(b.ids) else np.zeros(0, np.int64)
-        begin = b.base[new][np.searchsorted(b.ids[new], spans[:, 0])] if len(spans) else np.zeros(0, np.int64)
+        begin = b.base[b.document_of(spans[:, 0], spans[:, 1])] if len(spans) else np.zeros(0, np.int64)
         np.add.at(gone, begin + spans[:, 1], 1)
         np.add.at(gone, begin + spans[:, 2], -1)
         out = np.cumsum(gone)[:-1] > 0

@@ -112,3 +112,19 @@ def test_very_long_texts(spark):
     rows = [(1, text), (2, text[300_000:300_180] + " tail"), (3, "y" * 5000 + text[:400_000][::-1] + text[100:350]), (4, None)]
     got = D.cut(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in got} == slow(rows)
+
+
+@pytest.mark.parametrize("seed", [5, 6])
+def test_rows_of_one_doc_id_are_dealt_to_blocks(spark, seed):
+    """Half of the rows have no doc_id or share one; they count in order of doc_id and text."""
+    rng = random.Random(seed)
+    rows = [(rng.choice((None, None, 7, d)), t) for d, t in corpus(seed)]
+    order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is not None, rows[i][0] or 0, rows[i][1] is not None, (rows[i][1] or "").encode()))
+    want = slow([(k, rows[i][1]) for k, i in enumerate(order)])
+    docs = spark.createDataFrame([(d, t, i, "a", "b") for i, (d, t) in enumerate(rows)], "doc_id long, text string, size int, _start string, _part string")
+    got = D.cut(docs).collect()
+    made = sorted((str(r.doc_id), r.text or "", r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in got)
+    assert made == sorted((str(rows[i][0]), rows[i][1] or "", *want[k]) for k, i in enumerate(order))
+    assert sorted(r["size"] for r in got) == list(range(len(rows))) and {(r["_start"], r["_part"]) for r in got} == {("a", "b")}
+    start = D._started(docs, "_new").select("doc_id", "text", "_new").collect()
+    assert len({r["_new"] for r in start}) == len(rows)
