@@ -22,6 +22,8 @@ CAPACITIES = (1024, 2048, 4096, 8192, 16384, 32768)
 OVERHEAD, BALANCE = 256, 65536
 #: Pieces of a group, about. The last bins of a group are emptier than others; with thousands of pieces that is little.
 GROUP_PIECES = 5000
+#: Equal pieces, those of rows with one doc_id and length, that go to a group together at most.
+TOGETHER = 250
 
 
 def cost(capacity: int) -> float:
@@ -60,7 +62,8 @@ def pack(docs: DataFrame, length: Column | None = None, capacities: tuple[int, .
     piece counts a document's pieces from 0, start is the piece's first token in the document, position its first in the
     bin, capacity the bin's permitted length. length: the tokens of a row, by default the bytes of `text` and one end
     mark, so a null or empty text has one token; a row of no tokens has no piece, and a length that is null counts as 0.
-    Repeated rows are packed each. An empty table gives no rows. Only keys and lengths are shuffled.
+    Repeated rows are packed each. An empty table gives no rows. Only keys and lengths are shuffled. Equal pieces, as rows
+    without doc_id may have in any number, are counted before they are shuffled and dealt TOGETHER at a time.
     """
     largest = max(capacities)
     length = F.coalesce(F.octet_length("text"), F.lit(0)) + 1 if length is None else F.coalesce(length, F.lit(0))
@@ -69,9 +72,14 @@ def pack(docs: DataFrame, length: Column | None = None, capacities: tuple[int, .
     pieces = pieces.select("doc_id", F.col("piece").cast("long"), "start", F.least(F.col("n") - F.col("start"), F.lit(largest)).alias("n_tokens"))
     total = sized.agg(F.sum(F.ceil(F.col("n") / largest))).first()[0] or 0
     groups = max(1, -(-int(total) // GROUP_PIECES))
-    spread = pieces.withColumn("_group", F.pmod(F.xxhash64("doc_id", "piece", "n_tokens"), F.lit(groups)))
+    counted = pieces.groupBy("doc_id", "piece", "start", "n_tokens").agg(F.count("*").alias("n"))
+    dealt = counted.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(TOGETHER).cast("long"))).alias("part"))
+    dealt = dealt.withColumn("n", F.least(F.col("n") - F.col("part"), F.lit(TOGETHER)))
+    of = F.when(F.col("part") == 0, F.xxhash64("doc_id", "piece", "n_tokens")).otherwise(F.xxhash64("doc_id", "piece", "n_tokens", "part"))
+    spread = dealt.withColumn("_group", F.pmod(of, F.lit(groups))).drop("part")
 
     def run(table: pa.Table) -> pa.Table:
+        table = table.take(pa.array(np.repeat(np.arange(table.num_rows), table["n"].to_numpy())))
         table = table.sort_by([("n_tokens", "descending"), ("doc_id", "ascending"), ("piece", "ascending")])
         bins, positions, held = best_fit(table["n_tokens"].to_pylist(), capacities)
         first = table["_group"][0].as_py() << 32

@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 from leaguelens.llm import packing as P
 
@@ -82,3 +83,19 @@ def test_edge_rows(spark):
     got = sorted((str(r.doc_id), r.piece, r.n_tokens) for r in P.pack(docs).collect())
     assert got == [("1", 0, 1), ("2", 0, 1), ("2", 0, 1), ("None", 0, 32768), ("None", 1, 32768), ("None", 2, 14465)]
     assert P.pack(docs.limit(0)).count() == 0
+
+
+def test_equal_rows_without_doc_id_are_split(spark):
+    """A third of the rows are equal and have no doc_id: each is packed once, and no group gets all of them."""
+    n = 6000
+    docs = spark.range(3 * n).selectExpr(f"if(id < {n}, null, id) doc_id", f"if(id < {n}, 'same text', repeat('x', int(id % 900))) text")
+    rows = P.pack(docs).collect()
+    assert len(rows) == 3 * n and all(r.start == 0 and r.piece == 0 for r in rows)
+    per = Counter(r.bin_id >> 32 for r in rows)
+    assert len(per) == -(-3 * n // P.GROUP_PIECES) and max(Counter(r.bin_id >> 32 for r in rows if r.doc_id is None).values()) < n / 2
+    ends = {}
+    for r in sorted(rows, key=lambda r: (r.bin_id, r.position)):
+        assert r.position == ends.get(r.bin_id, 0)
+        ends[r.bin_id] = r.position + r.n_tokens
+        assert ends[r.bin_id] <= r.capacity
+    assert sum(ends.values()) == sum(len(r.text) + 1 for r in docs.select("text").collect())
