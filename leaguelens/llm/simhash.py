@@ -192,7 +192,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
 
 
-#: Order of a fingerprint all of whose rows have no doc_id.
+#: Order of a fingerprint all of whose rows have no doc_id; it may be a doc_id too, so it alone tells nothing.
 _NO_ID = (1 << 63) - 1
 
 
@@ -238,7 +238,8 @@ def near_links(fps: DataFrame, buckets: int) -> DataFrame:
 
 
 def named(own: DataFrame) -> DataFrame:
-    """fp, root (struct first, fp: the node of the component's smallest doc_id), n of each fingerprint of own (doc_id, fp).
+    """fp, root (struct first, fp: the node of the component's smallest doc_id), component_id (root.first, null if no row of
+    the component has a doc_id), n of each fingerprint of own (doc_id, fp).
 
     Nodes are ordered by their smallest doc_id, so that the root of a component tells its name without a look-up.
     """
@@ -248,7 +249,17 @@ def named(own: DataFrame) -> DataFrame:
     parts = partitions_for(spark, size * 45 * 24, 32e6)
     spread = single.select("fp", "first").repartition(max(1, min(parts, size // 20_000 + 1)))
     top = roots(near_links(spread, max(64, 4 * parts))).select(F.col("node.fp").alias("fp"), "root")
-    return single.join(top, "fp", "left").select("fp", F.coalesce("root", F.struct("first", "fp")).alias("root"), "n")
+    out = single.join(top, "fp", "left").select("fp", F.coalesce("root", F.struct("first", "fp")).alias("root"), "n")
+    last = own.where(F.col("doc_id") == _NO_ID).select("fp")
+    if last.isEmpty():
+        return out.withColumn("component_id", F.expr(f"nullif(root.first, {_NO_ID})"))
+    # The largest doc_id stands in the table: components whose smallest one it is are told from those without any.
+    out = checkpointed(out)
+    real = out.join(last.distinct(), "fp", "left_semi").where(F.col("root.first") == _NO_ID).groupBy("root").agg(F.min("fp").alias("own"))
+    out = out.join(real, "root", "left")
+    root = F.when(F.col("own").isNull(), F.col("root")).otherwise(F.struct(F.col("root.first"), F.col("own").alias("fp")))
+    name = F.when(F.col("own").isNull(), F.expr(f"nullif(root.first, {_NO_ID})")).otherwise(F.lit(_NO_ID))
+    return out.select("fp", root.alias("root"), "n", name.alias("component_id"))
 
 
 def components(docs: DataFrame) -> DataFrame:
@@ -260,7 +271,7 @@ def components(docs: DataFrame) -> DataFrame:
     """
     own = checkpointed(fingerprints(docs))
     size = own.count()
-    by_fp = named(own).select("fp", F.expr(f"nullif(root.first, {_NO_ID})").alias("component_id"), "n")
+    by_fp = named(own).select("fp", "component_id", "n")
     out = join_counted(own, by_fp, "fp", "n", size)  # copies share a fingerprint
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
@@ -278,7 +289,7 @@ def keep_one(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     without doc_id can't be told from others, so it stays.
     """
     own = checkpointed(fingerprints(docs))
-    first = named(own).select("root").distinct().where(F.col("root.first") != _NO_ID).select(F.col("root.first").alias("id"), F.col("root.fp").alias("own_fp"))
+    first = named(own).where("component_id is not null").select(F.col("component_id").alias("id"), F.col("root.fp").alias("own_fp")).distinct()
     many = checkpointed(own.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("id")))
     first = checkpointed(first)
     once = first.join(many, "id", "left_anti")

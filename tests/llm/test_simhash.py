@@ -141,3 +141,15 @@ def test_very_long_texts(spark):
     rows = [(5, long), (3, other), (9, "z" * 1_500_000), (8, " \t" * 600_000), (7, None), (2, "short text")]
     got = S.components(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted((r.doc_id, r.fingerprint, r.component_id) for r in got.collect()) == slow_components(rows)
+
+
+def test_the_largest_doc_id_is_an_id(spark):
+    """2^63 - 1 names its component, alone, with copies and beside rows without doc_id; those without any have no name."""
+    top = (1 << 63) - 1
+    one, two, three, four = "a b c d e f g h i j k l", "q r s t u v w x y z 1 2", "5 6 7 8 9 10 11 12 13 14", "k1 k2 k3 k4 k5 k6 k7"
+    rows = [(top, one), (None, one), (top, one), (None, two), (3, three), (top, three), (top, four)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((str(r.doc_id), r.component_id or 0) for r in S.components(docs).collect())
+    assert got == sorted([(str(top), top), (str(top), top), ("None", top), ("None", 0), ("3", 3), (str(top), 3), (str(top), top)])
+    kept = sorted((str(r.doc_id), r.text) for r in S.keep_one(spark, docs, "").collect())
+    assert kept == sorted([(str(top), one), (str(top), four), ("3", three), ("None", one), ("None", two)])
