@@ -102,30 +102,54 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * margins + self.shift, -30, 30)))
 
 
-def counterfactuals(text: str, clean: bool) -> list[tuple[str, str]]:
-    """(sentence, counterfactual) pairs of a labelled text, both lower-cased; choices depend on the text alone.
+def term_swaps(text: str, clean: bool) -> Iterable[tuple[str, list[str], int | None, str, str]]:
+    """(sentence, its words, place, term, other) of a labelled text, lower-cased; choices depend on the text alone.
 
-    Every identity term of a sentence is swapped once. Of a clean text one sentence without terms gets a term at some
-    place, paired with another term of the group there, and with the sentence as it is.
+    Every identity term of a sentence is swapped once for another one of its group, at all its places (place is None). Of a
+    clean text one sentence without terms gets a term at some place.
     """
-    text, pairs, plain = text.lower(), [], []
+    text, plain = text.lower(), []
     rng = random.Random(xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")))
     for m in _SENTENCE.finditer(text):
         own = _WORD.findall(m.group())
         named = sorted(set(own) & _GROUP.keys())
         for term in named:
             other = rng.choice([t for t in _GROUP[term] if t != term])
-            pairs.append((m.group(), _WORD.sub(lambda w, a=term, b=other: b if w.group() == a else w.group(), m.group())))
+            yield m.group(), own, None, term, other
         if clean and own and not named:
-            plain.append(own)
+            plain.append((m.group(), own))
     if plain:
-        own, term = rng.choice(plain), rng.choice(_TERMS)
+        (sentence, own), term = rng.choice(plain), rng.choice(_TERMS)
         at, other = rng.randint(0, len(own)), rng.choice([t for t in _GROUP[term] if t != term])
-        mention, swapped = (" ".join([*own[:at], t, *own[at:]]) for t in (term, other))
-        pairs += [(mention, swapped), (mention, " ".join(own))]
+        yield sentence, own, at, term, other
+
+
+def counterfactuals(text: str, clean: bool) -> list[tuple[str, str]]:
+    """(sentence, counterfactual) pairs of a labelled text: the sentences of `term_swaps`. One that a term is put in is paired
+    with another term of the group there, and with the sentence as it is."""
+    pairs = []
+    for sentence, own, at, term, other in term_swaps(text, clean):
+        if at is None:
+            pairs.append((sentence, _WORD.sub(lambda w, a=term, b=other: b if w.group() == a else w.group(), sentence)))
+        else:
+            mention, swapped = (" ".join([*own[:at], t, *own[at:]]) for t in (term, other))
+            pairs += [(mention, swapped), (mention, " ".join(own))]
     return pairs
 
 
+def changes(text: str, clean: bool) -> Iterable[tuple[int, list[str], list[str]]]:
+    """(id, features gained, features lost) of each of the `counterfactuals`, without building them: identity terms have
+    no beginnings among the features, so a swap changes those of two words. Time and memory grow with the text, not with
+    the text times its terms. Equal pairs have equal ids."""
+    last, digest, known = None, 0, set()
+    for sentence, own, at, term, other in term_swaps(text, clean):
+        if sentence is not last:
+            last, digest, known = sentence, xxhash.xxh64_intdigest(sentence.encode("utf-8", "surrogatepass")), set(own)
+        for instead in (other,) if at is None else (other, None):
+            gained = [] if instead is None or instead in known else [instead]
+            yield xxhash.xxh64_intdigest(f"{digest}|{at}|{term}|{instead}") >> 1, gained, [term]
+
+
 class Matrix:
     """A sparse matrix of `width` columns by the places and values of its entries."""
 
@@ -262,9 +286,7 @@ def read(sample: DataFrame) -> DataFrame:
             out = []
             for text, label in zip(texts(batch.column(0)), batch.column(1).to_pylist(), strict=True):
                 out.append((xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) >> 1, label, False, sorted(feature_set(text)), []))
-                for a, b in counterfactuals(text, not label):
-                    one, two = feature_set(a), feature_set(b)
-                    out.append((xxhash.xxh64_intdigest(f"{a}|{b}".encode("utf-8", "surrogatepass")) >> 1, label, True, sorted(two - one), sorted(one - two)))
+                out += [(pair, label, True, gained, lost) for pair, gained, lost in changes(text, not label)]
             columns = zip(*out, strict=True) if out else [()] * 5
             kinds = (pa.int64(), pa.int32(), pa.bool_(), pa.list_(pa.string()), pa.list_(pa.string()))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["id", "label", "swap", "plus", "minus"])

@@ -1,5 +1,6 @@
 import math
 import random
+import time
 
 import numpy as np
 
@@ -115,3 +116,25 @@ def test_spark_reads_as_memory_does(spark):
     assert set(here.weights) == set(there.weights)
     sentences = ["a young person sings", "that muslim person is stupid", "it was vile"]
     assert np.allclose(here.margins(sentences), there.margins(sentences), atol=0.02)
+
+
+def test_changes_are_those_of_the_swapped_sentences():
+    rng = random.Random(8)
+    for n in (0, 1, 3, 12, 40):
+        for clean in (True, False):
+            text = "".join(rng.choice([*T._TERMS[:12], "Muslim", "nice", "a", "İst"]) + rng.choice((" ", " ", ", ", ". ", "\n")) for _ in range(n))
+            sets = [(T.feature_set(a), T.feature_set(b)) for a, b in T.counterfactuals(text, clean)]
+            assert [(sorted(p), sorted(m)) for _, p, m in T.changes(text, clean)] == [(sorted(b - a), sorted(a - b)) for a, b in sets]
+
+
+def test_a_very_long_sentence_with_all_terms(spark):
+    """A labelled text of over a megabyte without a full stop, in training and scoring; its pairs stay small."""
+    long = " ".join((*T._TERMS, "word")) * 1500
+    assert len(long) > 1_000_000
+    began, found = time.time(), list(T.changes(long, clean=False))
+    assert len(found) >= len(T._TERMS) - 1 and sum(len(p) + len(m) for _, p, m in found) <= 2 * len(found) and time.time() - began < 5
+    rows = [*biased(40), (long, 0), (long + " stupid trash", 1)]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")
+    model = T.fit_on(docs, spark.createDataFrame([(i, y) for i, (_, y) in enumerate(rows)], "doc_id long, toxic int"))
+    got = {r.doc_id: r.score for r in T.judge(docs, model).collect()}
+    assert len(got) == len(rows) and got[len(rows) - 1] > got[len(rows) - 2]
