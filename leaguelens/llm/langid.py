@@ -24,6 +24,8 @@ from leaguelens.llm.common import bounded_batches, bounded_sample, fold, text_by
 TRAIN_ROWS = 300
 #: Pieces of each document at most that are learned from, drawn from the whole text.
 PIECES = 40
+#: Different labels at most. The model and the sample grow with them, so a column of other things is an error.
+LANGUAGES = 500
 #: The label of a text without any letter.
 UNDETERMINED = "und"
 ORDERS = (2, 3, 4)
@@ -173,9 +175,11 @@ def sampled(known: DataFrame, rows: int) -> tuple[DataFrame, dict[str, int]]:
     """At most `rows` documents of each language, those with the smallest hash of doc_id, and the rows of each language.
 
     The counts tell under which hash about twice as many documents of a language lie, so one pass finds the keys of all
-    languages; one that has too few there (its documents repeat) is sampled by itself.
+    languages; one that has too few there (its documents repeat) is sampled by itself. ValueError if there are over LANGUAGES.
     """
-    counts = {r.lang: r["count"] for r in known.groupBy("lang").count().collect()}
+    counts = {r.lang: r["count"] for r in known.groupBy("lang").count().limit(LANGUAGES + 1).collect()}
+    if len(counts) > LANGUAGES:
+        raise ValueError(f"lang has over {LANGUAGES} different values")
     if not counts:
         return known.limit(0), counts
     below = {g: min((1 << 63) - 1, -(1 << 63) + (2 * rows + 100 << 64) // n) for g, n in counts.items()}

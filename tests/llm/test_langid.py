@@ -1,5 +1,6 @@
 import numpy as np
 import pyarrow.parquet as pq
+import pytest
 
 from leaguelens.llm import langid
 
@@ -68,3 +69,9 @@ def test_pieces_come_from_the_whole_text(monkeypatch):
     monkeypatch.setattr(langid, "folded", lambda data, f=langid.folded: seen.append(bytes(data)) or f(data))
     langid.train([("the start of it " * 4000 + "zebra end of it " * 4000, "en")], epochs=1)
     assert any(b"zebra" in s for s in seen) and any(b"start" in s for s in seen)
+
+
+def test_a_column_of_other_things_is_refused(spark):
+    rows = spark.range(langid.LANGUAGES + 2).selectExpr("id doc_id", "'some text' text", "concat('x', id) lang")
+    with pytest.raises(ValueError, match="different values"):
+        langid.fit_on(rows)
