@@ -183,7 +183,8 @@ def sampled(known: DataFrame, rows: int) -> tuple[DataFrame, dict[str, int]]:
     if not counts:
         return known.limit(0), counts
     below = {g: min((1 << 63) - 1, -(1 << 63) + (2 * rows + 100 << 64) // n) for g, n in counts.items()}
-    limits = known.sparkSession.createDataFrame(sorted(below.items()), "lang string, _below long")
+    spark = known.sparkSession  # its small tables are made from Arrow: from rows, Python workers of the executors would make them
+    limits = spark.createDataFrame(pa.table({"lang": pa.array(sorted(below), pa.string()), "_below": pa.array([below[g] for g in sorted(below)], pa.int64())}))
     keys = known.select("doc_id", "lang", F.xxhash64("doc_id").alias("_hash")).join(F.broadcast(limits), "lang").where("_hash <= _below")
     by_lang: dict[str, list] = {g: [] for g in counts}
     for r in keys.select("lang", "_hash", "doc_id").distinct().collect():
@@ -196,7 +197,8 @@ def sampled(known: DataFrame, rows: int) -> tuple[DataFrame, dict[str, int]]:
         else:
             chosen += [(k, g) for _, k in sorted(found)[:rows]]
     kind = T.StructType([known.schema["doc_id"], known.schema["lang"]])
-    return known.join(F.broadcast(known.sparkSession.createDataFrame(chosen, kind)), ["doc_id", "lang"], "left_semi"), counts
+    keys = pa.table({"doc_id": pa.array([k for k, _ in chosen]), "lang": pa.array([g for _, g in chosen], pa.string())})
+    return known.join(F.broadcast(spark.createDataFrame(keys, kind)), ["doc_id", "lang"], "left_semi"), counts
 
 
 def fit_on(labelled: DataFrame, rows: int = TRAIN_ROWS) -> Model:

@@ -28,7 +28,6 @@ import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from leaguelens.llm.common import bounded_batches, partitions_for, stretches, sums_before, text_bytes
 
@@ -37,7 +36,7 @@ CORE = 32
 LEFT = WINDOW - CORE
 #: Text bytes of a block of documents, and of the documents whose suffixes meet in a bucket, about.
 BLOCK_BYTES, BUCKET_BYTES, LEAST_PARTS = 4 << 20, 8 << 20, 16
-_CHUNK = 1 << 17
+_CHUNK, _ROWS = 1 << 17, 1 << 12
 _NO_ID = -(1 << 63)
 
 
@@ -60,8 +59,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     n = len(data) - WINDOW + 1
     if n <= 0:
         return (np.zeros(0, np.int64),) * 3
-    place = np.empty(n, np.int64)
-    low = np.uint64(_CHUNK * 2 - 1)
+    low, before, turns, places = np.uint64(_CHUNK * 2 - 1), -1, [], []  # where the anchor changes, and to what place
     for at in range(0, n, _CHUNK):
         end = min(n, at + _CHUNK)
         h = core_hashes(data[at : end + WINDOW - 1])
@@ -72,15 +70,19 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
             wide *= 2
         if wide < LEFT + 1:
             least = np.minimum(least[: -(LEFT + 1 - wide)], least[LEFT + 1 - wide :])
-        place[at:end] = (least & low).astype(np.int64) + at
-    turns = np.flatnonzero(place[1:] != place[:-1]) + 1
+        place = (least & low).astype(np.int64) + at
+        new = np.flatnonzero(np.diff(place, prepend=before))
+        turns.append(new + at)
+        places.append(place[new])
+        before = place[-1]
+    turns, places = np.concatenate(turns), np.concatenate(places)
     ends = offsets[1:] - WINDOW + 1
-    first = np.unique(np.concatenate([[0], turns, offsets[:-1], ends]))
+    first = np.unique(np.concatenate([turns, offsets[:-1], ends]))
     first = first[(first >= 0) & (first < n)]
     last = np.append(first[1:], n) - 1
     doc = np.searchsorted(offsets, first, "right") - 1
     inside = first + WINDOW <= offsets[doc + 1]
-    return place[first[inside]], first[inside], last[inside]
+    return places[np.searchsorted(turns, first[inside], "right") - 1], first[inside], last[inside]
 
 
 class Block:
@@ -139,12 +141,12 @@ class Block:
         right, left = np.minimum(WINDOW, self.offsets[doc + 1] - p), np.minimum(LEFT, p - self.offsets[doc])
         rec = np.zeros((len(p), 4 + WINDOW + 1 + LEFT + 1), np.uint8)
         rec[:, :4] = self.bucket_of(self.hash[chosen]).astype(">u4").view(np.uint8).reshape(-1, 4)
-        reach = np.arange(WINDOW)
-        rec[:, 4 : 4 + WINDOW] = np.where(reach < right[:, None], self.data[np.minimum(p[:, None] + reach, len(self.data) - 1)], 0)
-        rec[:, 4 + WINDOW] = right
-        back = np.arange(LEFT)
-        rec[:, 5 + WINDOW : -1] = np.where(back < left[:, None], self.data[np.maximum(p[:, None] - 1 - back, 0)], 0)
-        rec[:, -1] = left
+        reach, back = np.arange(WINDOW), np.arange(LEFT)
+        for at in range(0, len(p), _ROWS):  # the places of all bytes at once would take many times the block
+            part = slice(at, at + _ROWS)
+            rec[part, 4 : 4 + WINDOW] = np.where(reach < right[part, None], self.data[np.minimum(p[part, None] + reach, len(self.data) - 1)], 0)
+            rec[part, 5 + WINDOW : -1] = np.where(back < left[part, None], self.data[np.maximum(p[part, None] - 1 - back, 0)], 0)
+        rec[:, 4 + WINDOW], rec[:, -1] = right, left
         order = np.argsort(rec.view(f"S{rec.shape[1]}").ravel(), kind="stable") if len(p) else np.zeros(0, np.int64)
         rec = rec[order]
         leads = np.ones(len(p), bool)
@@ -292,9 +294,9 @@ def _started(docs: DataFrame, start: str) -> DataFrame:
     return sums_before(sized, [F.col("doc_id"), F.col("text")], start="size").drop("size").toDF(*names, start)
 
 
-def cut(docs: DataFrame, prefix: str = "") -> DataFrame:
+def cut(docs: DataFrame, prefix: str = "", characters: bool = False) -> DataFrame:
     """docs (doc_id, text, others) with n_bytes, n_removed, n_spans and kept (binary: the remaining bytes) added, their names
-    after `prefix`.
+    after `prefix`. characters: what a cut leaves of a character of several bytes isn't kept; n_removed is without it.
 
     Counted in UTF-8 bytes of the whole text; a null text is empty. Documents are ordered by doc_id. Rows that share a
     doc_id (or have none, which comes first) count as documents one after the other in order of their text, so a
@@ -356,7 +358,7 @@ def cut(docs: DataFrame, prefix: str = "") -> DataFrame:
     def clean(left: pa.Table, right: pa.Table) -> pa.Table:
         b = Block(left, buckets, start)
         kind, bucket, body = (right[c].to_pylist() for c in ("kind", "bucket", "body"))
-        gone = np.zeros(len(b.data) + 1, np.int64)
+        gone = np.zeros(len(b.data) + 1, np.int32)
         chosen = b.repeated({k: x for t, k, x in zip(kind, bucket, body, strict=True) if t == 0})
         _, order, leads = b.suffixes(chosen)
         copies = chosen[order[~leads]]
@@ -366,14 +368,15 @@ def cut(docs: DataFrame, prefix: str = "") -> DataFrame:
         begin = b.base[b.document_of(spans[:, 0], spans[:, 1])] if len(spans) else np.zeros(0, np.int64)
         np.add.at(gone, begin + spans[:, 1], 1)
         np.add.at(gone, begin + spans[:, 2], -1)
-        out = np.cumsum(gone)[:-1] > 0
+        out = np.cumsum(gone, out=gone)[:-1] > 0
         n_bytes, n_removed, n_spans, kept = [], [], [], []
         for x, y in zip(b.offsets[:-1], b.offsets[1:], strict=True):
             o = out[x:y]
             n_bytes.append(int(y - x))
             n_removed.append(int(o.sum()))
             n_spans.append(int(o[:1].sum() + (o[1:] & ~o[:-1]).sum()))
-            kept.append(b.data[x:y][~o].tobytes())
+            rest = b.data[x:y][~o].tobytes()
+            kept.append(rest.decode("utf-8", "ignore").encode() if characters and n_removed[-1] else rest)
         table = b.table.select(result)
         for name, values, kind_ in zip(added, (n_bytes, n_removed, n_spans, kept), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True):
             table = table.append_column(name, pa.array(values, kind_))
@@ -400,11 +403,6 @@ def without_repeats(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     prefix = "_"
     while any(prefix + c in docs.columns for c in ADDED):
         prefix += "_"
-    out = cut(docs, prefix)
-    text = F.when(F.col("text").isNotNull(), F.when(F.col(f"{prefix}n_removed") == 0, F.col("text")).otherwise(_valid(f"{prefix}kept")))
+    out = cut(docs, prefix, characters=True)  # a function of its own would double the Python workers of an executor
+    text = F.when(F.col("text").isNotNull(), F.when(F.col(f"{prefix}n_removed") == 0, F.col("text")).otherwise(F.col(f"{prefix}kept").cast("string")))
     return out.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
-
-
-@F.pandas_udf(StringType())
-def _valid(kept):
-    return kept.map(lambda b: None if b is None else bytes(b).decode("utf-8", "ignore"))

@@ -75,3 +75,11 @@ def test_a_column_of_other_things_is_refused(spark):
     rows = spark.range(langid.LANGUAGES + 2).selectExpr("id doc_id", "'some text' text", "concat('x', id) lang")
     with pytest.raises(ValueError, match="different values"):
         langid.fit_on(rows)
+
+
+def test_sampling_runs_no_python_on_executors(spark):
+    rows = spark.range(400).selectExpr("id doc_id", "concat('some text ', id) text", "if(id % 4 = 0, 'x', 'y') lang")
+    sample, counts = langid.sampled(rows, 30)
+    assert counts == {"x": 100, "y": 300}
+    assert "ExistingRDD" not in sample._jdf.queryExecution().executedPlan().toString()
+    assert {r.lang: r["count"] for r in sample.groupBy("lang").count().collect()} == {"x": 30, "y": 30}

@@ -1,7 +1,9 @@
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from leaguelens.llm import suffixdedup as D
@@ -128,3 +130,26 @@ def test_rows_of_one_doc_id_are_dealt_to_blocks(spark, seed):
     assert sorted(r["size"] for r in got) == list(range(len(rows))) and {(r["_start"], r["_part"]) for r in got} == {("a", "b")}
     start = D._started(docs, "_new").select("doc_id", "text", "_new").collect()
     assert len({r["_new"] for r in start}) == len(rows)
+
+
+def test_a_block_of_copies_takes_little_memory():
+    """All anchors of 4 MB of text are repeated, so each becomes a suffix; what is built for that stays in proportion."""
+    rng = random.Random(31)
+    half = "".join(rng.choices("abcdefgh ", k=2_000_000))
+    table = pa.table({"doc_id": pa.array([1, 2], pa.int64()), "text": [half, half], "_start": pa.array([0, 0], pa.int64())})
+    tracemalloc.start()
+    block = D.Block(table, 16, "_start")
+    chosen = block.repeated({})
+    rec, order, leads = block.suffixes(chosen)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(chosen) == len(block.place) > 100_000 and leads.sum() * 2 == len(leads)
+    assert peak < 100e6
+
+
+def test_the_stage_runs_one_python_function_after_the_other(spark):
+    """Two in one stage of tasks take twice the workers, and the executor keeps them all."""
+    docs = spark.createDataFrame([(1, "é" * 200), (2, "xé" + "é" * 100 + "y"), (3, None)], "doc_id long, text string")
+    out = D.without_repeats(spark, docs, "")
+    assert "EvalPython" not in out._jdf.queryExecution().executedPlan().toString()
+    assert {r.doc_id: r.text for r in out.collect()} == {1: windows_removed(("é" * 200).encode(), set()).decode("utf-8", "ignore"), 2: "xy", 3: None}
