@@ -75,3 +75,16 @@ def test_symmetric_draw_changes_nothing_but_the_deviation():
     assert x[0] == y[0] == 1000.0 and x[1] == y[1] < 350
     up, down = R.solved(a, a, np.array([1.0]))
     assert up[0] > 1000 > down[0] and abs(up[0] + down[0] - 2000) < 1e-9
+
+
+def test_a_round_takes_few_jobs(spark):
+    n, rounds = 40, 6
+    games = [(q, f"p{(7 * q + 2 * i) % n:02d}", f"p{(7 * q + 2 * i + 1) % n:02d}") for q in range(rounds) for i in range(n // 2)]
+    played = spark.createDataFrame([(q, k, x, y, float(k)) for q, a, b in games for k, (x, y) in enumerate(((a, b), (b, a)))], "seq long, side int, player_id string, opp_player_id string, outcome double")
+    context = spark.sparkContext
+    context.setJobGroup("rounds", "")
+    try:
+        assert R.forward_pass(played, list(range(rounds))).count() == n * rounds
+        assert len(context.statusTracker().getJobIdsForGroup("rounds")) <= 3 * rounds + 6
+    finally:
+        context.setJobGroup("", "")
