@@ -222,3 +222,18 @@ def test_families_of_ones_own(spark):
     finally:
         FM.FAMILIES.pop("even", None)
     assert M.walk_forward(b, (), [5]).count() == 0
+
+
+def test_a_step_needs_little_memory_beside_its_rows():
+    import tracemalloc
+
+    rng, n = np.random.default_rng(1), 200_000
+    d, x, y = E.Dense.new(4), rng.normal(size=(n, 12)), rng.random(n).round()
+    tracemalloc.start()
+    try:
+        sums, dx = d.gradients(x, y)
+        assert tracemalloc.get_traced_memory()[1] < 1.2 * x.nbytes  # dx alone is as large as x
+    finally:
+        tracemalloc.stop()
+    few = [d.gradients(x[i : i + 1], y[i : i + 1]) for i in range(0, n, 20_000)]
+    assert all(np.allclose(dx[20_000 * k], v[0]) for k, (_, v) in enumerate(few)) and np.isclose(sums[0].sum(), (d.gradients(x[::-1], y[::-1])[0][0]).sum())
