@@ -1,3 +1,4 @@
+import json
 import math
 import random
 
@@ -141,3 +142,20 @@ def test_live_round_carries_the_halls_other_players(spark):
     assert got["c"].rating == 1100.0 and got["c"].rd == pytest.approx(float(R.idle(np.array([100.0]), np.array([0.06]), 2)[0]))
     assert got["a"].rating > 1000 > got["b"].rating
     assert E.HALL_DIM == 2
+
+
+def test_a_cycle_predicts_only_new_rounds_anew(spark, tmp_path, monkeypatch):
+    fitted, real = [], FM.folds.fit_rounds
+    monkeypatch.setattr(FM.folds, "fit_rounds", lambda rows, configs, before: fitted.append(before) or real(rows, configs, before))
+    b = plain_boards(spark, 240, 12, lambda x, rng: rng.random() < (0.7 if x[0] > 0 else 0.3)).withColumn("year", F.lit(2001)).cache()
+    grid = (*GRID, M.Candidate("v", M.EMBEDDED, 6.0, 1.0, 4))
+    r, fresh = G.Registry(spark, str(tmp_path / "one")), G.Registry(spark, str(tmp_path / "two"))
+    r.retrain(b.where("seq < 11"), grid, burn_in=8, least=10)
+    r.retrain(b, grid, burn_in=8, least=10)
+    assert fitted == [[8, 9, 10, 11], [11, 12]]  # the last one of each is the fit to all boards
+    fresh.retrain(b, grid, burn_in=8, least=10)
+    near = lambda g: {x.name: {k: round(v, 9) if isinstance(v, float) else v for k, v in json.loads(x.metrics).items()} for x in g.models().where("trained_rounds = 12").collect()}
+    assert near(r) == near(fresh) and len(near(r)) == 3
+    changed = b.withColumn("outcome_a", F.when(F.col("match_id") == 9, 1 - F.col("outcome_a")).otherwise(F.col("outcome_a")))  # of round 9
+    r.retrain(changed, grid, burn_in=8, least=10)
+    assert fitted[-1] == [9, 10, 11, 12]
